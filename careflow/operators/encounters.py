@@ -48,16 +48,29 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
             "covered": F.sum(only(F.col(COVERAGE))),
         }
 
-    def first_seen(key: str, name: str) -> DataFrame:
-        seen = encounters.groupBy(key).agg(F.min(started).alias("first_on"))
-        if key == "uuid":
-            seen = seen.where(F.col(key).isNotNull())
-        return by_period(seen, as_of, lambda p: {name: F.count_if(p.happened(F.col("first_on")))})
-
+    # patients and practitioners share one scan and one shuffle: (kind, key) -> first date seen
+    keys = F.inline(F.array(
+        F.struct(F.lit("patient").alias("kind"), F.col("uuid").alias("key")),
+        F.struct(F.lit("practitioner").alias("kind"), F.col("practioner_id").alias("key")),
+    ))
+    seen = (
+        encounters.select(started.alias("started"), keys)
+        .groupBy("kind", "key").agg(F.min("started").alias("first_on"))
+        .transform(
+            lambda d: by_period(
+                d, as_of,
+                lambda p: {
+                    "patients": F.count_if(
+                        p.happened(F.col("first_on")) & (F.col("kind") == "patient") & F.col("key").isNotNull()
+                    ),
+                    "practitioners": F.count_if(p.happened(F.col("first_on")) & (F.col("kind") == "practitioner")),
+                },
+            )
+        )
+    )
     rows = by_period(encounters, as_of, sums).where(F.col("visits") > 0)
     return (
-        rows.join(first_seen("uuid", "patients"), "period")
-        .join(first_seen("practioner_id", "practitioners"), "period")
+        rows.join(seen, "period")
         .select(
             "period",
             F.col("visits").alias("total_visit_volume"),

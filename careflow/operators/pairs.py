@@ -1,43 +1,20 @@
 """Pair statistics within an owner (patient): co-occurrence, transitions, recurrence gaps.
 
 Pair counts are defined over pairs of *items* (concepts), never over pairs of rows. Every operator
-therefore reduces its input to one row per distinct item of an owner before anything is joined, so
-the join work of an owner depends on how many different items it has (at most the vocabulary), not
-on how many rows. What is left of a large owner is cut into tiles: items are hashed into t tiles,
-t growing with the owner's item count, and every tile pair is its own join key and so its own task.
-Pairs leave a task already summed by the map-side aggregate.
+therefore reduces its input to one row per distinct item (and year) of an owner, with map-side
+combine, before anything is joined. The join work of an owner depends on how many different items
+it has, which the vocabulary bounds, and not on how many rows: an owner with a third of all rows
+is an ordinary owner after the first aggregate. Pairs leave a task already summed by the partial
+aggregate above the join, and the join is an equi-join that adaptive execution may split further.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.columns import ratio
 
-TILE_ITEMS = 512  # expected items of one owner per tile
-
-
-def _tiled_pairs(
-    items: DataFrame, owner: Sequence[str], item: str, carry: Sequence[str], condition: Column,
-    left: Column | None = None,
-) -> DataFrame:
-    """Join the items of each owner with each other under ``condition`` (columns a_*, b_*).
-
-    ``left`` restricts the rows that may stand on the a side.
-    """
-    size = F.count(F.lit(1)).over(Window.partitionBy(*owner))
-    sized = items.withColumn("_tiles", F.ceil(size / F.lit(TILE_ITEMS)).cast("int"))
-    tile = F.pmod(F.xxhash64(item), F.col("_tiles")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    columns = (item, *carry)
-    left_rows = sized if left is None else sized.where(left)
-    a = left_rows.select(*owner, tile.alias("_ta"), every.alias("_tb"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = sized.select(*owner, every.alias("_ta"), tile.alias("_tb"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, [*owner, "_ta", "_tb"]).where(condition)
-
 
 def cooccurrence(df: DataFrame, owner: str, item: str, k: int, distinct: bool = True, name: str = "count") -> DataFrame:
     """The k item pairs (a < b) that share most owners.
@@ -46,13 +23,16 @@ def cooccurrence(df: DataFrame, owner: str, item: str, k: int, distinct: bool =
     multiplicities m and n contributes m * n. The multiplicities are summed before the join, so
     repeated rows are never paired one by one.
     """
-    counts = df.where(F.col(owner).isNotNull() & F.col(item).isNotNull()).groupBy(owner, item).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = (
+        df.where(F.col(owner).isNotNull() & F.col(item).isNotNull())
+        .groupBy(owner, F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     )
-    pairs = _tiled_pairs(counts, [owner], item, ["n"], F.col(f"a_{item}") < F.col(f"b_{item}"))
+    a = counts.selectExpr(owner, "item AS a_item", "n AS a_n")
+    b = counts.selectExpr(owner, "item AS b_item", "n AS b_n")
+    pairs = a.join(b, owner).where("a_item < b_item")
     weight = F.count(F.lit(1)) if distinct else F.sum(F.col("a_n") * F.col("b_n"))
     return (
-        pairs.groupBy(F.col(f"a_{item}").alias("item_a"), F.col(f"b_{item}").alias("item_b"))
+        pairs.groupBy(F.col("a_item").alias("item_a"), F.col("b_item").alias("item_b"))
         .agg(weight.cast("bigint").alias(name))
         .orderBy(F.desc(name), "item_a", "item_b")
         .limit(k)
@@ -62,42 +42,62 @@ def cooccurrence(df: DataFrame, owner: str, item: str, k: int, distinct: bool =
 def transition_counts(df: DataFrame, owner: str, item: str, date: str, horizon: int = 365) -> DataFrame:
     """Pairs of distinct (item, day) records of an owner with 0 < days from a to b <= horizon.
 
-    Days are cut into buckets of ``horizon`` days and each (owner, bucket, item) keeps the array of
-    its distinct day offsets, at most ``horizon`` numbers. For a in bucket i a partner is either
-    in bucket i with a later offset or in bucket i + 1 with an offset not above a's. Both cases
-    are equi-joins on (owner, bucket), so a long history spreads over its buckets, and one joined
-    row stands for all day pairs of two items.
+    Days are cut into buckets of ``horizon`` days. For a record of a in bucket i a partner lies
+    either in bucket i at a later offset or in bucket i + 1 at an offset not above its own: two
+    equi-joins on (owner, bucket), so a long history spreads over its buckets.
+
+    The days of an item in a bucket are the bits of a few words. The a side has one row per
+    distinct (item, day) with the mask of the offsets up to its own, the b side one row per item
+    and bucket. The partners of a record among all days of an item are then one mask and one
+    population count per word: the mask itself in the next bucket, its inverse in the own bucket.
+    An owner with a third of all rows costs (items x days) x items, however many rows it has.
     """
-    d = F.unix_date(F.col(date).cast("date"))
+    words = range(-(-horizon // _WORD_BITS))
     base = (
         df.where(F.col(owner).isNotNull() & F.col(item).isNotNull() & F.col(date).isNotNull())
-        .groupBy(owner, F.col(item).alias("item"), F.floor(d / F.lit(horizon)).cast("int").alias("bucket"))
-        .agg(F.collect_set(F.pmod(d, F.lit(horizon))).alias("days"))
+        .select(owner, F.col(item).alias("item"), F.unix_date(F.col(date).cast("date")).alias("day"))
+        .selectExpr(owner, "item", f"CAST(floor(day / {horizon}) AS INT) AS at", f"pmod(day, {horizon}) AS off")
+        .groupBy(owner, "item", "at")
+        .agg(*[F.expr(f"bit_or(IF({_in_word(w)}, shiftleft(1L, off % {_WORD_BITS}), 0L)) AS w{w}") for w in words])
     )
-    shifted = F.inline(
-        F.array(
-            F.struct(F.col("bucket").alias("at"), F.lit(False).alias("next")),
-            F.struct((F.col("bucket") - 1).alias("at"), F.lit(True).alias("next")),
-        )
+    pieces = ", ".join(f"named_struct('first', {_WORD_BITS * w}, 'word', w{w})" for w in words)
+    # a word with one bit gives its position directly; only words with more are searched
+    positions = (
+        "IF(bit_count(word) = 1, array(bit_count(word - 1)), "
+        f"filter(sequence(0, {_WORD_BITS - 1}), i -> (shiftright(word, i) & 1L) = 1L))"
     )
-    rows = base.select(owner, "item", "days", shifted)
-    single = (F.size("a_days") == 1) & (F.size("b_days") == 1)
-
-    def follows(a: Column, b: Column) -> Column:
-        return F.when(F.col("b_next"), b <= a).otherwise(b > a)
-
-    one = follows(F.col("a_days")[0], F.col("b_days")[0]).cast("bigint")
-    many = F.aggregate(
-        "a_days", F.lit(0).cast("bigint"),
-        lambda acc, a: acc + F.size(F.filter("b_days", lambda b: follows(a, b))).cast("bigint"),
+    a = (
+        base.selectExpr(owner, "at", "item", f"inline(array({pieces}))")
+        .where("word <> 0")
+        .selectExpr(owner, "at", "item", "first", f"explode({positions}) AS i")
+        .selectExpr(owner, "at", "item", "first + i AS off")
+        .selectExpr(owner, "at", "item AS a_item", *[f"{_mask(w)} AS m{w}" for w in words])
     )
-    pairs = _tiled_pairs(
-        rows, [owner, "at"], "item", ["days", "next"], F.col("a_item") != F.col("b_item"), ~F.col("next")
+    bits = [f"w{w}" for w in words]
+    places = "inline(array(named_struct('at', at, 'flip', -1L), named_struct('at', at - 1, 'flip', 0L)))"
+    b = base.withColumnRenamed("item", "b_item").selectExpr(owner, "b_item", *bits, places)
+    found = " + ".join(f"bit_count(w{w} & (m{w} ^ flip))" for w in words)
+    return (
+        a.join(b, [owner, "at"]).where("a_item <> b_item")
+        .groupBy(F.col("a_item").alias("item_a"), F.col("b_item").alias("item_b"))
+        .agg(F.expr(f"sum({found})").alias("transitions"))
+        .where("transitions > 0")
     )
+
+
+_WORD_BITS = 63  # bits used of a 64-bit word, so that words stay non-negative
+
+
+def _in_word(w: int) -> str:
+    return f"off BETWEEN {_WORD_BITS * w} AND {_WORD_BITS * w + _WORD_BITS - 1}"
+
+
+def _mask(w: int) -> str:
+    """Bits of word w for the offsets up to ``off``."""
+    first = _WORD_BITS * w
     return (
-        pairs.groupBy(F.col("a_item").alias("item_a"), F.col("b_item").alias("item_b"))
-        .agg(F.sum(F.when(single, one).otherwise(many)).alias("transitions"))
-        .where(F.col("transitions") > 0)
+        f"CASE WHEN off < {first} THEN 0L WHEN off >= {first + _WORD_BITS} THEN -1L "
+        f"ELSE shiftrightunsigned(-1L, {first + 63} - off) END"
     )
 
 

@@ -187,7 +187,8 @@ def hazard_by_bins(
     bin i is [i * width + 1, (i + 1) * width]. The extremes enter as scalar subqueries.
     """
     v = F.col(value)
-    lo, hi = df.agg(F.min(value)).scalar(), F.coalesce(df.agg(F.max(value)).scalar(), F.lit(0))
+    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+    lo, hi = bounds["lo"], F.coalesce(bounds["hi"], F.lit(0))
     width = F.when(hi > lo, F.ceil((hi - lo) / F.lit(float(parts)))).otherwise(F.lit(1000)).cast("bigint")
     groups = df.where(F.col(by).isNotNull() & ~F.col(by).isin(*exclude))
     binned = F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, F.floor((v - 1) / F.col("width")))
@@ -196,7 +197,7 @@ def hazard_by_bins(
         .groupBy(by, binned.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("_event").alias("events"))
     )
-    spine = groups.select(by).distinct().select(
+    spine = counts.select(by).distinct().select(
         by, width.alias("width"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(hi / width))).alias("bin")
     )
     zero = F.lit(0).cast("bigint")

@@ -95,9 +95,15 @@ def mortality_rate(patients: DataFrame) -> DataFrame:
 
 
 def age_wealth_correlation(patients: DataFrame, as_of: dt.date) -> DataFrame:
-    """Pearson correlation of whole-year age and income; 0.0 where undefined."""
-    r = F.corr(age_at_end(as_of).cast("double"), F.col("family_income").cast("double"))
-    return patients.agg(F.round(F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)), 3).alias("age_wealth_correlation"))
+    """Pearson correlation of whole-year age and income; 0.0 where undefined.
+
+    Written as covariance over deviations: the built-in ``corr`` raises for a constant column in
+    ANSI mode.
+    """
+    age, income = age_at_end(as_of).cast("double"), F.col("family_income").cast("double")
+    x, y = F.when(income.isNotNull(), age), F.when(age.isNotNull(), income)
+    r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return patients.agg(F.round(r, 3).alias("age_wealth_correlation"))
 
 
 def income_inequality_index(patients: DataFrame, rank_mode: str = "row") -> DataFrame:

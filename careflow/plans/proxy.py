@@ -16,8 +16,28 @@ from careflow.schemas import Tables
 AS_OF = dt.date(2001, 6, 30)
 
 
+# Schemas of the source tables (given, so that no file footer is read to plan a query).
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +70,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority"
     )
     parts = source(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand", "p_size")
-    return source(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(parts, "l_partkey")
+    lines = source(spark, sf_dir, "lineitem").join(orders, "l_orderkey").join(parts, "l_partkey")
+    return lines.where(F.col("o_custkey").isNotNull())
 
 
 def _line_id() -> Column:
@@ -123,13 +144,13 @@ def event_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(
-        patients=patients(spark, sf_dir),
-        conditions=conditions(spark, sf_dir),
-        encounters=encounters(spark, sf_dir),
-        allergies=allergies(spark, sf_dir),
-    )
+VIEWS = {"patients": patients, "conditions": conditions, "encounters": encounters, "allergies": allergies}
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
+    """The named views (all by default)."""
+    wanted = names or tuple(VIEWS)
+    return Tables(**{n: view(spark, sf_dir) if n in wanted else None for n, view in VIEWS.items()})
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +178,8 @@ VIEWS_SQL = {
     "lines": """
         SELECT *, CAST(o_orderdate AS DATE) AS record, CAST(l_shipdate AS DATE) AS ship,
                concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_id
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""",
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+        WHERE o_custkey IS NOT NULL""",
     "conditions": """
         SELECT record AS condition_record_date,
                CASE WHEN ship >= record THEN ship END AS date_of_abetment,

@@ -46,7 +46,7 @@ CONDITIONS_SQL = """located AS (
 
 @query("g6_condition_kpis_by_state", with_views(["conditions", "patients", "states"], "SELECT * FROM by_state", CONDITIONS_SQL))
 def g6_condition_kpis_by_state(spark, sf_dir):
-    t = proxy.tables(spark, sf_dir)
+    t = proxy.tables(spark, sf_dir, "conditions", "patients")
     return geo.condition_kpis_by_state(t.conditions, t.patients, proxy.states(spark, sf_dir), AS_OF)
 
 
@@ -71,7 +71,7 @@ ENCOUNTERS_SQL = """located AS (
 
 @query("g7_encounter_kpis_by_state", with_views(["encounters", "patients", "states"], "SELECT * FROM by_state", ENCOUNTERS_SQL))
 def g7_encounter_kpis_by_state(spark, sf_dir):
-    t = proxy.tables(spark, sf_dir)
+    t = proxy.tables(spark, sf_dir, "encounters", "patients")
     return geo.encounter_kpis_by_state(t.encounters, t.patients, proxy.states(spark, sf_dir), AS_OF)
 
 
@@ -107,7 +107,7 @@ ALLERGIES_SQL = """located AS (
 
 @query("g8_allergy_kpis_by_state", with_views(["allergies", "encounters", "patients", "states"], "SELECT * FROM by_state", ALLERGIES_SQL))
 def g8_allergy_kpis_by_state(spark, sf_dir):
-    t = proxy.tables(spark, sf_dir)
+    t = proxy.tables(spark, sf_dir, "allergies", "encounters", "patients")
     return geo.allergy_kpis_by_state(t.allergies, t.patients, t.encounters, proxy.states(spark, sf_dir))
 
 
@@ -116,7 +116,7 @@ SELECT geolocated_state, 'avg_out_of_pocket' AS kpi_id, average_patient_out_of_p
        0.0::DOUBLE AS trend, FALSE AS is_simulated
 FROM by_state""", ENCOUNTERS_SQL))
 def g1_state_kpi_by_id(spark, sf_dir):
-    return geo.state_kpi("avg_out_of_pocket", proxy.tables(spark, sf_dir), proxy.states(spark, sf_dir), AS_OF)
+    return geo.state_kpi("avg_out_of_pocket", proxy.tables(spark, sf_dir, "encounters", "patients"), proxy.states(spark, sf_dir), AS_OF)
 
 
 @query("g2_conditions_with_state", with_views(["conditions", "patients"], """

@@ -65,13 +65,13 @@ def s3_result_upsert(spark, sf_dir):
 
 
 @query("s4_result_documents", with_views(["encounters"], """
-SELECT 'encounters' AS entity_name, 4::BIGINT AS kpis,
-       (SELECT count(DISTINCT encounter_type) FROM encounters) + (SELECT least(count(DISTINCT encounter_reason), 10) FROM encounters) AS metrics,
-       0::BIGINT AS advanced_metrics"""))
+SELECT 'encounters' AS entity_name, 'kpis' AS section, 'kpis' AS metric, 4::BIGINT AS documents
+UNION ALL SELECT 'encounters', 'metrics', 'encounters_by_type', count(DISTINCT encounter_type) FROM encounters
+UNION ALL SELECT 'encounters', 'metrics', 'top_causes', least(count(DISTINCT encounter_reason), 10) FROM encounters"""))
 def s4_result_documents(spark, sf_dir):
     path, _ = _stored_kpis(spark, sf_dir)
-    size = lambda c: F.size(c).cast("bigint").alias(c)
-    return store.dashboard(spark, path, "encounters").select("entity_name", size("kpis"), size("metrics"), size("advanced_metrics"))
+    documents = store.dashboard(spark, path, "encounters")
+    return documents.groupBy("entity_name", "section", "metric").agg(F.count("data").alias("documents"))
 
 
 @query("s5_full_scan", "SELECT * FROM customer")

@@ -88,7 +88,7 @@ FROM (""" + " UNION ALL ".join(
     f"SELECT geolocated_state, '{k}' AS kpi_id, {k}::DOUBLE AS value FROM by_state" for k in RANKED
 ) + ")", qg.ENCOUNTERS_SQL))
 def r6_state_ranking(spark, sf_dir):
-    wide = geo.family_by_state("encounters", proxy.tables(spark, sf_dir), proxy.states(spark, sf_dir), AS_OF)
+    wide = geo.family_by_state("encounters", proxy.tables(spark, sf_dir, "encounters", "patients"), proxy.states(spark, sf_dir), AS_OF)
     tidy = wide.select(geo.STATE, *[F.col(k).cast("double").alias(k) for k in RANKED]).unpivot(geo.STATE, RANKED, "kpi_id", "value")
     return rs.state_ranking(tidy)
 
@@ -133,7 +133,7 @@ FROM ({ORACLES["p_kpis_by_period"]}) p
 LEFT JOIN ({ORACLES["c_kpis_by_period"]}) c ON c.period = p.period
 LEFT JOIN ({ORACLES["e_kpis_by_period"]}) e ON e.period = p.period""")
 def r11_executive_summary(spark, sf_dir):
-    t = proxy.tables(spark, sf_dir)
+    t = proxy.tables(spark, sf_dir, "patients", "conditions", "encounters")
     return rs.executive_summary(
         pa.patient_kpis(t.patients, AS_OF), co.condition_kpis(t.conditions, AS_OF), en.encounter_kpis(t.encounters, AS_OF)
     )

@@ -127,15 +127,13 @@ def read_metrics(spark: SparkSession, store: str, entity: str, metric_type: str
 
 
 def dashboard(spark: SparkSession, store: str, entity: str) -> DataFrame:
-    """One row per entity with its ``kpis``, ``metrics`` and ``advanced_metrics`` documents.
+    """The documents of an entity by section (kpis, metrics, advanced_metrics) and result table.
 
-    Result documents are report-sized, so collecting them per entity is bounded.
+    An entity without results gives no rows.
     """
-    kinds = ["kpis", "metrics", "advanced_metrics"]
-    pick = lambda k: F.sort_array(
-        F.collect_list(F.when(F.lower("metric_type") == k, F.struct("metric", "data")))
-    ).alias(k)
-    return read_metrics(spark, store, entity).groupBy("entity_name").agg(*[pick(k) for k in kinds])
+    return read_metrics(spark, store, entity).select(
+        "entity_name", F.lower("metric_type").alias("section"), "metric", "data", "updated_at"
+    )
 
 
 def restore_metric(rows: DataFrame, metric: str, schema: str) -> DataFrame:

@@ -10,7 +10,7 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -50,9 +50,8 @@ def normalised(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark: SparkSession, con, sf_dir: str, fn, sql: str) -> str | None:
-    """None when equal, else what differs."""
-    df = fn(spark, sf_dir)
+def compare(df: DataFrame, con, sql: str) -> str | None:
+    """None when the query's rows equal those of the SQL, else what differs."""
     got = normalised(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
@@ -79,7 +78,7 @@ def main() -> int:
     for name in only or QUERIES:
         start = time.time()
         try:
-            problem = compare(spark, con, sf_dir, QUERIES[name], ORACLES[name])
+            problem = compare(QUERIES[name](spark, sf_dir), con, ORACLES[name])
         except Exception as e:  # noqa: BLE001
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         failed += problem is not None

@@ -3,7 +3,8 @@
 The KPI snapshots for today and for 7, 30 and 365 days ago are computed in ONE aggregation with
 one conditional aggregate per (period, measure). Nothing is exploded or cross-joined: the
 aggregate yields a single wide row (or one per group), which ``inline`` turns into one row per
-period afterwards.
+period afterwards. Measures are SQL expressions: hundreds of them cost one parse each, not a call
+into the JVM per operator.
 """
 
 from __future__ import annotations
@@ -12,11 +13,9 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import day
-
 # Look-back of the historical snapshots, in days.
 LOOKBACK_DAYS = {"last_week": 7, "last_month": 30, "last_year": 365}
 
@@ -30,16 +29,16 @@ class Period:
     current: bool = False
 
     @property
-    def ref_col(self) -> Column:
-        return day(self.ref)
+    def date(self) -> str:
+        return f"DATE'{self.ref}'"
 
-    def happened(self, date: Column) -> Column:
+    def happened(self, date: str) -> str:
         """The fact dated ``date`` belongs to the snapshot (every fact does for ``current``)."""
-        return F.lit(True) if self.current else F.coalesce(date <= self.ref_col, F.lit(False))
+        return "true" if self.current else f"coalesce({date} <= {self.date}, false)"
 
-    def ended(self, date: Column) -> Column:
+    def ended(self, date: str) -> str:
         """The end ``date`` has been reached (any recorded end counts for ``current``)."""
-        return date.isNotNull() if self.current else F.coalesce(date <= self.ref_col, F.lit(False))
+        return f"({date} IS NOT NULL)" if self.current else f"coalesce({date} <= {self.date}, false)"
 
 
 def periods(as_of: dt.date) -> list[Period]:
@@ -48,32 +47,27 @@ def periods(as_of: dt.date) -> list[Period]:
 
 
 def aggregate_points(
-    df: DataFrame,
-    points: Sequence[tuple[Column, dict[str, Column]]],
-    label: str,
-    by: Sequence[str] = (),
+    df: DataFrame, points: Sequence[tuple[str, dict[str, str]]], label: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """One aggregation for all points, returned as one row per (group, point).
 
-    ``points`` pairs a label column (literal) with its named aggregates; every point must name the
-    same aggregates.
+    ``points`` pairs a SQL literal with its named SQL aggregates; every point names the same
+    aggregates.
     """
     names = list(points[0][1])
-    aggs = [c.alias(f"{i}_{n}") for i, (_, ms) in enumerate(points) for n, c in ms.items()]
-    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    aggs = [f"{e} AS `{i}_{n}`" for i, (_, ms) in enumerate(points) for n, e in ms.items()]
+    wide = df.groupBy(*by).agg(*[F.expr(a) for a in aggs]) if by else df.selectExpr(*aggs)
     rows = [
-        F.struct(lab.alias(label), *[F.col(f"{i}_{n}").alias(n) for n in names])
-        for i, (lab, _) in enumerate(points)
+        f"named_struct('{label}', {value}, " + ", ".join(f"'{n}', `{i}_{n}`" for n in names) + ")"
+        for i, (value, _) in enumerate(points)
     ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    return wide.selectExpr(*by, f"inline(array({', '.join(rows)}))")
 
 
 def by_period(
     df: DataFrame,
     as_of: dt.date,
-    measures: Callable[[Period], dict[str, Column]],
+    measures: Callable[[Period], dict[str, str]],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    return aggregate_points(
-        df, [(F.lit(p.name), measures(p)) for p in periods(as_of)], "period", by
-    )
+    return aggregate_points(df, [(f"'{p.name}'", measures(p)) for p in periods(as_of)], "period", by)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.columns import decade, decade_label, month_label, pct, ratio, years_between
@@ -17,29 +17,14 @@ PENICILLIN_PATTERN = "^[pP]enicillin$"
 ANAPHYLAXIS = "Anaphylaxis"
 READMISSION_DAYS = 30
 
-
-def is_penicillin() -> Column:
-    return F.coalesce(F.col("allergy_description").rlike(PENICILLIN_PATTERN), F.lit(False))
-
-
-def is_delabeling_eligible() -> Column:
-    """Penicillin allergy without a severe symptom and without anaphylaxis."""
-    return (
-        is_penicillin()
-        & (F.col("primary_symptom_severity") != "SEVERE")
-        & (F.col("secondary_symptom_severity") != "SEVERE")
-        & (F.col("primary_symptom_description") != ANAPHYLAXIS)
-    )
-
-
-def is_drug() -> Column:
-    return F.coalesce((F.col("category") == "medication"), F.lit(False)) | F.coalesce(
-        F.col("allergen_nature") == "drug", F.lit(False)
-    )
-
-
-def is_environmental() -> Column:
-    return (F.col("category") == "environment") | (F.col("allergen_nature") == "environment")
+IS_PENICILLIN = f"coalesce(allergy_description RLIKE '{PENICILLIN_PATTERN}', false)"
+# penicillin allergy without a severe symptom and without anaphylaxis
+IS_ELIGIBLE = (
+    f"({IS_PENICILLIN} AND primary_symptom_severity <> 'SEVERE' AND secondary_symptom_severity <> 'SEVERE' "
+    f"AND primary_symptom_description <> '{ANAPHYLAXIS}')"
+)
+IS_DRUG = "(coalesce(category = 'medication', false) OR coalesce(allergen_nature = 'drug', false))"
+IS_ENVIRONMENTAL = "(category = 'environment' OR allergen_nature = 'environment')"
 
 
 def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
@@ -49,12 +34,14 @@ def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
     Every period and every state report of the distinct-patient KPIs follows from these dates.
     """
     detected = F.col("allergy_detection_date")
-    never = F.lit(None).cast("date")
     per_code = (
         allergies.where(F.col("uuid").isNotNull())
         .groupBy("uuid", "allergy_code")
-        .agg(F.min(detected).alias("_on"), F.min(F.when(is_drug(), detected)).alias("_drug_on"),
-             F.bool_or(is_drug()).alias("_drug"))
+        .agg(
+            F.min(detected).alias("_on"),
+            F.min(F.when(F.expr(IS_DRUG), detected)).alias("_drug_on"),
+            F.bool_or(F.expr(IS_DRUG)).alias("_drug"),
+        )
     )
     # a NULL code sorts wherever its date falls, so count coded entries only
     coded = F.sum(F.col("allergy_code").isNotNull().cast("int")).over(
@@ -69,37 +56,34 @@ def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
         F.min(F.when(F.col("_coded") == 2, F.col("_on"))).alias("poly_on"),
     )
     back = pairs.repeat_visit_days(encounters, "uuid", F.to_date("visit_start"), READMISSION_DAYS)
-    return per_patient.join(back, "uuid", "left").withColumn("readmitted_on", F.coalesce("readmitted_on", never))
+    return per_patient.join(back, "uuid", "left")
 
 
 def allergy_kpis(allergies: DataFrame, patients: DataFrame, encounters: DataFrame, as_of: dt.date) -> DataFrame:
     """The eight allergy KPIs per period, with patients and visits as of the period."""
-    detected, cured = F.col("allergy_detection_date"), F.col("allergy_cure_date")
 
-    def row_measures(p: Period) -> dict[str, Column]:
-        inside = p.happened(detected)
+    def row_measures(p: Period) -> dict[str, str]:
+        inside = p.happened("allergy_detection_date")
         return {
-            "total": F.count_if(inside),
-            "cured": F.count_if(inside & p.ended(cured)),
-            "severe": F.count_if(inside & (F.col("primary_symptom_severity") == "SEVERE")),
-            "penicillin": F.count_if(inside & is_penicillin()),
-            "eligible": F.count_if(inside & is_delabeling_eligible()),
+            "total": f"count_if({inside})",
+            "cured": f"count_if({inside} AND {p.ended('allergy_cure_date')})",
+            "severe": f"count_if({inside} AND primary_symptom_severity = 'SEVERE')",
+            "penicillin": f"count_if({inside} AND {IS_PENICILLIN})",
+            "eligible": f"count_if({inside} AND {IS_ELIGIBLE})",
         }
 
-    def patient_measures(p: Period) -> dict[str, Column]:
-        allergic = p.happened(F.col("allergic_on"))
-        poly = F.col("codes") >= 2 if p.current else p.happened(F.col("poly_on"))
-        drug = F.col("drug") if p.current else p.happened(F.col("drug_on"))
+    def patient_measures(p: Period) -> dict[str, str]:
+        allergic = p.happened("allergic_on")
         return {
-            "allergic": F.count_if(allergic),
-            "poly": F.count_if(poly),
-            "drug": F.count_if(drug),
-            "readmitted": F.count_if(allergic & p.ended(F.col("readmitted_on"))),
+            "allergic": f"count_if({allergic})",
+            "poly": "count_if(codes >= 2)" if p.current else f"count_if({p.happened('poly_on')})",
+            "drug": "count_if(drug)" if p.current else f"count_if({p.happened('drug_on')})",
+            "readmitted": f"count_if({allergic} AND {p.ended('readmitted_on')})",
         }
 
     rows = by_period(allergies, as_of, row_measures)
     people = by_period(allergic_patients(allergies, encounters), as_of, patient_measures)
-    everyone = by_period(patients, as_of, lambda p: {"everyone": F.count_if(population(p))})
+    everyone = by_period(patients, as_of, lambda p: {"everyone": f"count_if({population(p)})"})
     total, allergic = F.col("total"), F.col("allergic")
     return (
         rows.where(total > 0).join(people, "period").join(everyone.where("everyone > 0"), "period")
@@ -185,7 +169,7 @@ def pollen_seasonality(allergies: DataFrame) -> DataFrame:
     The unpartitioned window orders at most 13 aggregated rows.
     """
     monthly = (
-        allergies.where(is_environmental())
+        allergies.where(IS_ENVIRONMENTAL)
         .groupBy(F.month("allergy_detection_date").alias("month_number"))
         .agg(F.count(F.lit(1)).alias("count"))
     )

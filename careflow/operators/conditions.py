@@ -34,40 +34,42 @@ def condition_kpis(conditions: DataFrame, as_of: dt.date) -> DataFrame:
     Row measures take one scan and one shuffle-free aggregate. Distinct measures reduce to the
     first date a (patient, concept) counts, from which every period follows.
     """
-    record, end = F.col("condition_record_date"), F.col("date_of_abetment")
+    record, end = "condition_record_date", "date_of_abetment"
 
-    def row_measures(p: Period) -> dict[str, Column]:
+    def row_measures(p: Period) -> dict[str, str]:
         inside = p.happened(record)
-        cured = inside & p.ended(end)
+        cured = f"({inside} AND {p.ended(end)})"
         return {
-            "total": F.count_if(inside),
-            "cured": F.count_if(cured),
-            "cure_days": F.avg(F.when(cured, F.datediff(end, record))),
-            "recent": F.count_if(inside & (record >= F.date_sub(p.ref_col, 30))),
-            "chronic": F.count_if(inside & ~p.ended(end) & (F.datediff(p.ref_col, record) >= CHRONIC_DAYS)),
+            "total": f"count_if({inside})",
+            "cured": f"count_if({cured})",
+            "cure_days": f"avg(IF({cured}, datediff({end}, {record}), NULL))",
+            "recent": f"count_if({inside} AND {record} >= date_sub({p.date}, 30))",
+            "chronic": (
+                f"count_if({inside} AND NOT {p.ended(end)} AND datediff({p.date}, {record}) >= {CHRONIC_DAYS})"
+            ),
         }
 
     rows = by_period(conditions, as_of, row_measures)
     concepts = (
         conditions.groupBy("medical_concepts").agg(F.min(record).alias("first_on"))
-        .transform(lambda d: by_period(d, as_of, lambda p: {"concepts": F.count_if(p.happened(F.col("first_on")))}))
+        .transform(lambda d: by_period(d, as_of, lambda p: {"concepts": f"count_if({p.happened('first_on')})"}))
     )
     per_patient = (
         conditions.where(is_resolved())
         .groupBy("uuid", "medical_concepts")
-        .agg(F.min(F.when(record.isNotNull(), F.greatest(record, end))).alias("cured_on"))
+        .agg(F.expr(f"min(IF({record} IS NOT NULL, greatest({record}, {end}), NULL)) AS cured_on"))
         .transform(
             lambda d: by_period(
                 d, as_of,
                 # a NULL concept makes a patient count without adding a concept
                 lambda p: {
-                    "patient": F.count_if(p.happened(F.col("cured_on"))),
-                    "k": F.count_if(p.happened(F.col("cured_on")) & F.col("medical_concepts").isNotNull()),
+                    "patient": f"count_if({p.happened('cured_on')})",
+                    "k": f"count_if({p.happened('cured_on')} AND medical_concepts IS NOT NULL)",
                 },
                 ["uuid"],
             )
         )
-        .where(F.col("patient") > 0)
+        .where("patient > 0")
         .groupBy("period")
         .agg(F.avg("k").alias("complexity"))
     )

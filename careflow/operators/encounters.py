@@ -34,41 +34,38 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     are reduced to the first date each was seen, from which every period follows. A NULL
     practitioner is one group in the load, as recorded.
     """
-    started = known_on(F.col("visit_start"))
+    dated = encounters.withColumn("_started", known_on(F.col("visit_start")))
 
-    def sums(p: Period) -> dict[str, Column]:
-        inside = p.happened(started)
-        only = lambda c: F.when(inside, c)
+    def sums(p: Period) -> dict[str, str]:
+        inside = p.happened("_started")
+        only = lambda e: f"IF({inside}, {e}, NULL)"
+        hours = "(unix_timestamp(visit_end) - unix_timestamp(visit_start)) / 3600.0D"
         return {
-            "visits": F.count_if(inside),
-            "revenue": F.sum(only(F.col(TOTAL))),
-            "hours": F.avg(only(duration_hours())),
-            "oop": F.avg(only(out_of_pocket())),
-            "base": F.avg(only(F.col(BASE))),
-            "covered": F.sum(only(F.col(COVERAGE))),
+            "visits": f"count_if({inside})",
+            "revenue": f"sum({only(TOTAL)})",
+            "hours": f"avg({only(hours)})",
+            "oop": f"avg({only(f'{TOTAL} - coalesce({COVERAGE}, 0.0D)')})",
+            "base": f"avg({only(BASE)})",
+            "covered": f"sum({only(COVERAGE)})",
+        }
+
+    def first_seen(p: Period) -> dict[str, str]:
+        seen = p.happened("first_on")
+        return {
+            "patients": f"count_if({seen} AND kind = 'patient' AND key IS NOT NULL)",
+            "practitioners": f"count_if({seen} AND kind = 'practitioner')",
         }
 
     # patients and practitioners share one scan and one shuffle: (kind, key) -> first date seen
-    keys = F.inline(F.array(
-        F.struct(F.lit("patient").alias("kind"), F.col("uuid").alias("key")),
-        F.struct(F.lit("practitioner").alias("kind"), F.col("practioner_id").alias("key")),
-    ))
-    seen = (
-        encounters.select(started.alias("started"), keys)
-        .groupBy("kind", "key").agg(F.min("started").alias("first_on"))
-        .transform(
-            lambda d: by_period(
-                d, as_of,
-                lambda p: {
-                    "patients": F.count_if(
-                        p.happened(F.col("first_on")) & (F.col("kind") == "patient") & F.col("key").isNotNull()
-                    ),
-                    "practitioners": F.count_if(p.happened(F.col("first_on")) & (F.col("kind") == "practitioner")),
-                },
-            )
-        )
+    keys = (
+        "inline(array(named_struct('kind', 'patient', 'key', uuid), "
+        "named_struct('kind', 'practitioner', 'key', practioner_id)))"
+    )
+    seen = by_period(
+        dated.selectExpr("_started", keys).groupBy("kind", "key").agg(F.min("_started").alias("first_on")),
+        as_of, first_seen,
     )
-    rows = by_period(encounters, as_of, sums).where(F.col("visits") > 0)
+    rows = by_period(dated, as_of, sums).where(F.col("visits") > 0)
     return (
         rows.join(seen, "period")
         .select(

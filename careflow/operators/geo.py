@@ -164,9 +164,9 @@ def allergy_kpis_by_state(
         "n": F.count(F.lit(1)),
         "cured": F.count("allergy_cure_date"),
         "severe": F.count_if(F.col("primary_symptom_severity") == "SEVERE"),
-        "penicillin": F.count_if(al.is_penicillin()),
+        "penicillin": F.count_if(F.expr(al.IS_PENICILLIN)),
         "eligible": F.count_if(
-            al.is_penicillin()
+            F.expr(al.IS_PENICILLIN)
             & ~F.col("primary_symptom_severity").eqNullSafe("SEVERE")
             & ~F.col("secondary_symptom_severity").eqNullSafe("SEVERE")
             & ~F.col("primary_symptom_description").eqNullSafe(al.ANAPHYLAXIS)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import day, pct, ratio, rounded, trunc, whole_years, years_between
+from careflow.functions.columns import day, pct, ratio, rounded, trunc, whole_years
 from careflow.functions.periods import Period, aggregate_points, by_period
 from careflow.operators import statistics as st
 
@@ -18,12 +18,11 @@ def is_alive() -> Column:
     return F.col("death_date").isNull()
 
 
-def population(p: Period) -> Column:
+def population(p: Period) -> str:
     """Registered at the snapshot: born by ``ref`` and not dead before it."""
     if p.current:
-        return F.lit(True)
-    death = F.col("death_date")
-    return F.coalesce(F.col("birth_date") <= p.ref_col, F.lit(False)) & (death.isNull() | (death >= p.ref_col))
+        return "true"
+    return f"(coalesce(birth_date <= {p.date}, false) AND (death_date IS NULL OR death_date >= {p.date}))"
 
 
 def patient_kpis(patients: DataFrame, as_of: dt.date, status: str = "as_of") -> DataFrame:
@@ -35,24 +34,24 @@ def patient_kpis(patients: DataFrame, as_of: dt.date, status: str = "as_of") ->
     """
     if status not in ("as_of", "recorded"):
         raise ValueError(f"unknown status: {status}")
-    death = F.col("death_date")
 
-    def measures(p: Period) -> dict[str, Column]:
+    def measures(p: Period) -> dict[str, str]:
         inside = population(p)
         at_ref = status == "as_of" and not p.current
-        alive = inside & ((death.isNull() | (death > p.ref_col)) if at_ref else death.isNull())
-        age_day = p.ref_col if at_ref else day(as_of)
-        income = F.when(alive, F.col("family_income"))
+        still = f"(death_date IS NULL OR death_date > {p.date})" if at_ref else "death_date IS NULL"
+        alive = f"({inside} AND {still})"
+        age_day = p.date if at_ref else f"DATE'{as_of}'"
+        income = f"IF({alive}, family_income, NULL)"
         return {
-            "total": F.count_if(inside),
-            "alive": F.count_if(alive),
-            "males": F.count_if(inside & (F.col("gender") == "M")),
-            "females": F.count_if(inside & (F.col("gender") == "F")),
-            "mean_income": F.avg(income),
-            "median_income": F.percentile_approx(income, 0.5, 10000),
-            "age": F.avg(F.when(alive, years_between(F.col("birth_date"), age_day))),
-            "married": F.count_if(inside & (F.col("marital_status") == "M")),
-            "doctors": F.count_if(inside & (F.lower("doctorate") != NO_DOCTORATE)),
+            "total": f"count_if({inside})",
+            "alive": f"count_if({alive})",
+            "males": f"count_if({inside} AND gender = 'M')",
+            "females": f"count_if({inside} AND gender = 'F')",
+            "mean_income": f"avg({income})",
+            "median_income": f"percentile_approx({income}, 0.5D, 10000)",
+            "age": f"avg(IF({alive}, datediff({age_day}, birth_date) / 365.25D, NULL))",
+            "married": f"count_if({inside} AND marital_status = 'M')",
+            "doctors": f"count_if({inside} AND lower(doctorate) <> '{NO_DOCTORATE}')",
         }
 
     return by_period(patients, as_of, measures).where(F.col("total") > 0).select("period", *_kpi_columns())
@@ -133,19 +132,19 @@ def ten_year_trends(patients: DataFrame, as_of: dt.date, years: int = 10) -> Dat
     One scan: conditional aggregates per (race, year), summed over races. Age is taken at 31
     December; a year without population yields zeros.
     """
-    born, died = F.year("birth_date"), F.year("death_date")
 
-    def measures(y: int) -> dict[str, Column]:
-        inside = (born <= y) & (died.isNull() | (died > y))
-        age = whole_years(F.col("birth_date"), day(dt.date(y, 12, 31)))
+    def measures(y: int) -> dict[str, str]:
+        born = f"year(birth_date) <= {y}"
+        inside = f"({born} AND (death_date IS NULL OR year(death_date) > {y}))"
+        age = f"CAST(datediff(DATE'{y}-12-31', birth_date) / 365.25D AS INT)"
         return {
-            "n": F.count_if(inside),
-            "working": F.count_if(inside & age.between(20, 64)),
-            "deaths": F.count_if(died == y),
-            "exposed": F.count_if((born <= y) & (died.isNull() | (died >= y))),
+            "n": f"count_if({inside})",
+            "working": f"count_if({inside} AND {age} BETWEEN 20 AND 64)",
+            "deaths": f"count_if(year(death_date) = {y})",
+            "exposed": f"count_if({born} AND (death_date IS NULL OR year(death_date) >= {y}))",
         }
 
-    points = [(F.lit(as_of.year - i), measures(as_of.year - i)) for i in range(1, years + 1)]
+    points = [(str(as_of.year - i), measures(as_of.year - i)) for i in range(1, years + 1)]
     per_race = aggregate_points(patients, points, "year", ["race"])
     n, working = F.sum("n"), F.sum("working")
     return per_race.groupBy("year").agg(

@@ -147,15 +147,17 @@ def life_table(
     first; the fold runs over the few bins of a group.
     """
     counts = df.groupBy(by, age.alias("_age"), died.alias("_died")).agg(F.count(F.lit(1)).alias("_n"))
-    width, a, n = bins[0], F.col("_age"), F.col("_n")
+    width = bins[0]
 
-    def measures(top: int) -> dict[str, Column]:
-        exposed = (a > top - width) if at_risk == "start" else (a >= top)
-        in_bin = (a > top - width) & (a <= top) & F.col("_died")
-        total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
-        return {"at_risk": total(exposed), "deaths": total(in_bin)}
+    def measures(top: int) -> dict[str, str]:
+        exposed = f"_age > {top - width}" if at_risk == "start" else f"_age >= {top}"
+        in_bin = f"_age > {top - width} AND _age <= {top} AND _died"
+        return {
+            "at_risk": f"coalesce(sum(IF({exposed}, _n, 0L)), 0L)",
+            "deaths": f"coalesce(sum(IF({in_bin}, _n, 0L)), 0L)",
+        }
 
-    steps = aggregate_points(counts, [(F.lit(t), measures(t)) for t in bins], "age", [by])
+    steps = aggregate_points(counts, [(str(t), measures(t)) for t in bins], "age", [by])
     seed = F.array().cast("array<struct<age:int,at_risk:bigint,deaths:bigint,survival:double>>")
 
     def step(acc: Column, s: Column) -> Column:

@@ -17,10 +17,10 @@ METRIC_KEY = ["entity_name", "metric_type"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not path:
-        path = tempfile.mkdtemp(prefix="careflow-")
-        spark.sparkContext.setCheckpointDir(path)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="careflow-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(path)
     return path
 
 

@@ -39,6 +39,14 @@ def rounded(value: Column, digits: int = 2) -> Column:
     return F.round(F.coalesce(value.cast("double"), F.lit(0.0)), digits)
 
 
+MONEY = "DECIMAL(20,6)"  # type in which money is summed: exact, so no order of addition shows
+
+
+def money(total: Column) -> Column:
+    """An exact money total rounded to cents, as double; NULL becomes 0.0."""
+    return F.round(F.coalesce(total, F.lit(0).cast(MONEY)), 2).cast("double")
+
+
 def ceiled(value: Column) -> Column:
     return F.coalesce(F.ceil(value), F.lit(0)).cast("bigint")
 

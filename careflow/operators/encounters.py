@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import hours_between, known_on, ratio, rounded, text_month
+from careflow.functions.columns import MONEY, hours_between, known_on, money, ratio, rounded, text_month
 from careflow.functions.periods import Period, by_period
 from careflow.operators import statistics as st
 
@@ -42,11 +42,11 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
         hours = "(unix_timestamp(visit_end) - unix_timestamp(visit_start)) / 3600.0D"
         return {
             "visits": f"count_if({inside})",
-            "revenue": f"sum({only(TOTAL)})",
+            "revenue": f"sum({only(f'CAST({TOTAL} AS {MONEY})')})",
             "hours": f"avg({only(hours)})",
             "oop": f"avg({only(f'{TOTAL} - coalesce({COVERAGE}, 0.0D)')})",
             "base": f"avg({only(BASE)})",
-            "covered": f"sum({only(COVERAGE)})",
+            "covered": f"sum({only(f'CAST({COVERAGE} AS {MONEY})')})",
         }
 
     def first_seen(p: Period) -> dict[str, str]:
@@ -71,11 +71,11 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
         .select(
             "period",
             F.col("visits").alias("total_visit_volume"),
-            rounded(F.col("revenue")).alias("total_revenue_generated"),
+            money(F.col("revenue")).alias("total_revenue_generated"),
             rounded(F.col("hours")).alias("average_encounter_duration_hours"),
             rounded(F.col("oop")).alias("average_patient_out_of_pocket"),
             rounded(F.col("base")).alias("average_base_fee"),
-            rounded(F.col("covered")).alias("total_covered_amount"),
+            money(F.col("covered")).alias("total_covered_amount"),
             F.col("patients").alias("unique_patients_seen"),
             rounded(ratio(F.col("visits"), F.col("practitioners"))).alias("average_practitioner_load"),
         )

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import ceiled, day, pct, ratio, rounded, trunc, years_between
+from careflow.functions.columns import MONEY, ceiled, day, money, pct, ratio, rounded, trunc, years_between
 from careflow.operators import allergies as al
 from careflow.operators.conditions import CHRONIC_DAYS
 from careflow.operators.encounters import BASE, COVERAGE, TOTAL, duration_hours
@@ -124,12 +124,12 @@ def encounter_kpis_by_state(
     covered = F.coalesce(F.col(COVERAGE), F.lit(0.0))
     sums = {
         "n": F.count(F.lit(1)),
-        "revenue": F.sum(fees),
+        "revenue": F.sum(fees.cast(MONEY)),
         "hours": F.sum(duration_hours()),
         "timed": F.count(duration_hours()),
         "oop": F.sum(F.greatest(F.lit(0.0), fees - covered)),
         "base": F.sum(F.coalesce(F.col(BASE), F.lit(0.0))),
-        "covered": F.sum(covered),
+        "covered": F.sum(covered.cast(MONEY)),
         "recent": F.count_if(F.to_date("visit_start") >= F.date_sub(day(as_of), 30)),
     }
     rows = _sum_by_state(encounters, patients, sums, count_patients=True)
@@ -145,11 +145,11 @@ def encounter_kpis_by_state(
     n = F.col("n")
     return scaffold(states, rows, load, values=[
         n.alias("total_visit_volume"),
-        rounded(F.col("revenue")).alias("total_revenue_generated"),
+        money(F.col("revenue")).alias("total_revenue_generated"),
         rounded(ratio(F.col("hours"), F.col("timed"))).alias("average_encounter_duration_hours"),
         rounded(ratio(F.col("oop"), n)).alias("average_patient_out_of_pocket"),
         rounded(ratio(F.col("base"), n)).alias("average_base_fee"),
-        rounded(F.col("covered")).alias("total_covered_amount"),
+        money(F.col("covered")).alias("total_covered_amount"),
         F.col("people").alias("unique_patients_seen"),
         rounded(F.col("load")).alias("average_practitioner_load"),
         F.col("recent").alias("encounters_30d"),

@@ -10,11 +10,11 @@ KPIS_SQL = """facts AS (
     SELECT period, avg(n) AS load FROM (SELECT period, practioner_id, count(*) AS n FROM facts GROUP BY 1, 2) GROUP BY period),
   encounter_kpis AS (
     SELECT f.period, count(*) AS total_visit_volume,
-           round(sum(visting_total_fees), 2) AS total_revenue_generated,
+           round(sum(CAST(visting_total_fees AS DECIMAL(20, 6))), 2)::DOUBLE AS total_revenue_generated,
            round(avg((epoch(visit_end) - epoch(visit_start)) / 3600.0::DOUBLE), 2) AS average_encounter_duration_hours,
            round(avg(visting_total_fees - coalesce(coverage, 0.0::DOUBLE)), 2) AS average_patient_out_of_pocket,
            round(avg(visiting_base_fees), 2) AS average_base_fee,
-           round(sum(coverage), 2) AS total_covered_amount,
+           round(sum(CAST(coverage AS DECIMAL(20, 6))), 2)::DOUBLE AS total_covered_amount,
            count(DISTINCT uuid) AS unique_patients_seen,
            round(any_value(load), 2) AS average_practitioner_load
     FROM facts f JOIN load l ON l.period = f.period GROUP BY f.period)"""

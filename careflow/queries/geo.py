@@ -57,11 +57,11 @@ ENCOUNTERS_SQL = """located AS (
     FROM (SELECT geolocated_state, practioner_id, count(*) AS n FROM located WHERE practioner_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
   by_state AS (
     SELECT s.geolocated_state, count(l.uuid) AS total_visit_volume,
-           round(coalesce(sum(visting_total_fees), 0), 2) AS total_revenue_generated,
+           round(coalesce(sum(CAST(visting_total_fees AS DECIMAL(20, 6))), 0), 2)::DOUBLE AS total_revenue_generated,
            round(coalesce(avg((epoch(visit_end) - epoch(visit_start)) / 3600.0::DOUBLE), 0), 2) AS average_encounter_duration_hours,
            round(coalesce(avg(greatest(0.0::DOUBLE, visting_total_fees - coalesce(coverage, 0.0::DOUBLE))) FILTER (l.uuid IS NOT NULL), 0), 2) AS average_patient_out_of_pocket,
            round(coalesce(avg(visiting_base_fees), 0), 2) AS average_base_fee,
-           round(coalesce(sum(coverage), 0), 2) AS total_covered_amount,
+           round(coalesce(sum(CAST(coverage AS DECIMAL(20, 6))), 0), 2)::DOUBLE AS total_covered_amount,
            count(DISTINCT l.uuid) AS unique_patients_seen,
            coalesce(any_value(load), 0) AS average_practitioner_load,
            count(*) FILTER (CAST(visit_start AS DATE) >= DATE '2001-06-30' - 30) AS encounters_30d

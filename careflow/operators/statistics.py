@@ -13,9 +13,11 @@ from careflow.functions.periods import aggregate_points
 _BLOCK_BITS = 20  # a window never orders more than 2^20 siblings below the top level
 
 
-def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Distinct integral values with their counts and running positions, without a global sort.
 
+    ``weight`` names a column of row counts for input that is already aggregated.
+
     Returns ``by..., value, n, n_before, distinct_before, n_total``: the rows (and distinct
     values) that precede the value within its group. Rows are first reduced to one per distinct
     value with map-side combine, so a value or group holding a third of all rows costs nothing.
@@ -27,7 +29,7 @@ def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     leaves = (
         df.where(F.col(value).isNotNull())
         .groupBy(*by, v.alias(value))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
         .withColumn("_mid", F.shiftright(value, _BLOCK_BITS))
         .withColumn("_top", F.shiftright(value, 2 * _BLOCK_BITS))
     )
@@ -66,17 +68,26 @@ def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
+def _value_at(rank: Column, value: str) -> Column:
+    """Aggregate over ``ordered_counts``: the value at a 1-based rank."""
+    hit = (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
+    return F.max(F.when(hit, F.col(value)))
+
+
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
     """Exact median of an integral column per group (mean of the two middle values)."""
-    pos = ordered_counts(df, value, by)
+    low = F.floor((F.col("n_total") + 1) / 2)
+    high = F.floor(F.col("n_total") / 2) + 1
+    middle = (_value_at(low, value) + _value_at(high, value)) / F.lit(2.0)
+    return ordered_counts(df, value, by).groupBy(*by).agg(middle.alias(name))
 
-    def at(rank: Column) -> Column:
-        hit = (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
-        return F.max(F.when(hit, F.col(value)))
 
+def lower_median(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, name: str = "median"
+) -> DataFrame:
+    """The lower of the two middle values per group, exact at any size."""
     low = F.floor((F.col("n_total") + 1) / 2)
-    high = F.floor(F.col("n_total") / 2) + 1
-    return pos.groupBy(*by).agg(((at(low) + at(high)) / F.lit(2.0)).alias(name))
+    return ordered_counts(df, value, by, weight).groupBy(*by).agg(_value_at(low, value).alias(name))
 
 
 def gini(df: DataFrame, value: str, rank_mode: str = "row", name: str = "gini") -> DataFrame:

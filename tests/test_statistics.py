@@ -127,3 +127,8 @@ def test_top_k_ties(spark):
     df = spark.createDataFrame([(x,) for x in "bbaaccd"] + [(None,)] * 9, "x string")
     assert rows(st.top_k(df, "x", 2)) == [("a", 2), ("b", 2)]
     assert math.isclose(st.top_k(df, "x", 9).count(), 4)
+
+
+def test_lower_median_of_weighted_counts(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", 9, 2), ("b", 5, 1), ("b", 1 << 45, 2)], "g string, v bigint, w bigint")
+    assert dict(rows(st.lower_median(df, "v", ["g"], "w"))) == {"a": 1, "b": 1 << 45}

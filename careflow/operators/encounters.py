@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import MONEY, hours_between, known_on, money, ratio, rounded, text_month
+from careflow.functions.columns import hours_between, known_on, money, ratio, rounded, text_month
 from careflow.functions.periods import Period, by_period
 from careflow.operators import statistics as st
 
@@ -22,6 +22,16 @@ def duration_hours() -> Column:
     return hours_between(F.col("visit_start"), F.col("visit_end"))
 
 
+def exact_parts(amount: str) -> dict[str, str]:
+    """An amount as whole units and millionths, so that its total is exact in 64-bit sums."""
+    millionths = f"floor({amount} * 1000000D + 0.5D)"
+    return {"units": f"{millionths} div 1000000", "rest": f"{millionths} % 1000000"}
+
+
+def exact_total(name: str) -> Column:
+    return F.expr(f"CAST({name}_units AS DECIMAL(20,0)) + CAST({name}_rest AS DECIMAL(20,0)) * 0.000001BD")
+
+
 def fill_missing_fees(encounters: DataFrame) -> DataFrame:
     """NULL fees become 0.0, as the analytics load does."""
     return encounters.fillna(0.0, [BASE, TOTAL, COVERAGE])
@@ -42,11 +52,11 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
         hours = "(unix_timestamp(visit_end) - unix_timestamp(visit_start)) / 3600.0D"
         return {
             "visits": f"count_if({inside})",
-            "revenue": f"sum({only(f'CAST({TOTAL} AS {MONEY})')})",
+            **{f"revenue_{n}": f"sum({only(e)})" for n, e in exact_parts(TOTAL).items()},
             "hours": f"avg({only(hours)})",
             "oop": f"avg({only(f'{TOTAL} - coalesce({COVERAGE}, 0.0D)')})",
             "base": f"avg({only(BASE)})",
-            "covered": f"sum({only(f'CAST({COVERAGE} AS {MONEY})')})",
+            **{f"covered_{n}": f"sum({only(e)})" for n, e in exact_parts(COVERAGE).items()},
         }
 
     def first_seen(p: Period) -> dict[str, str]:
@@ -71,11 +81,11 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
         .select(
             "period",
             F.col("visits").alias("total_visit_volume"),
-            money(F.col("revenue")).alias("total_revenue_generated"),
+            money(exact_total("revenue")).alias("total_revenue_generated"),
             rounded(F.col("hours")).alias("average_encounter_duration_hours"),
             rounded(F.col("oop")).alias("average_patient_out_of_pocket"),
             rounded(F.col("base")).alias("average_base_fee"),
-            money(F.col("covered")).alias("total_covered_amount"),
+            money(exact_total("covered")).alias("total_covered_amount"),
             F.col("patients").alias("unique_patients_seen"),
             rounded(ratio(F.col("visits"), F.col("practitioners"))).alias("average_practitioner_load"),
         )

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, mixing, simhash, toxicity
+from careflow.llm import bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, toxicity, url_filter
+from careflow.sources.store import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +51,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.UrlRule.parse(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+]
+
+
+@query("op2_url_filter")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled URLs are those that the rules decide, with the rule's verdict."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
@@ -90,6 +109,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_list(found: str, base_only: bool) -> Column:
+    """kind:start:end of the findings, comma-joined."""
+    spans = F.filter(found, lambda x: x["kind_no"] < len(secret_scan.BASE_RULES)) if base_only else F.col(found)
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new ledger, so that every text is unseen; each document is the one version of its path."""
+    ledger = secret_scan.Ledger(spark, scratch_path(spark, "ledger"))
+    named = ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "text")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    of = [number(r.kind) for r in secret_scan.BASE_RULES]
+    return ledger.findings_by_path(named).select(
+        "doc_id", *of, F.sha2(span_list("found", True).cast("binary"), 256).alias("base_sha256"), span_list("found", False).alias("spans")
+    )
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -97,3 +137,47 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = toxicity.scorer(docs, toxicity.fit(docs, labels))
     scored = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_language_model")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = language_model.score(docs, remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_document_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beside = sketches.with_next(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text")
+    n = F.length("text")
+    cut = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
+    rows = beside.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    return sketches.with_sketch(rows, "edited", "edited_sketch").select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketches.fingerprint_text(F.col("sketch")).alias("fingerprint"),
+        sketches.fingerprint_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+CHAT_SQL = """
+WITH placed AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM conversations),
+rolled AS (
+  SELECT *, md5(string_agg(coalesce(length(role) || ':' || role, '-') || '|' || coalesce(length(text) || ':' || text, '-'), '|')
+                OVER (PARTITION BY conv_id ORDER BY place)) AS prefix,
+         max(place) OVER (PARTITION BY conv_id) AS n_turns FROM placed),
+whole AS (SELECT n_turns, prefix, min(conv_id) AS conv_id FROM rolled WHERE place = n_turns GROUP BY ALL),
+kept AS (SELECT conv_id, n_turns FROM whole w WHERE NOT EXISTS (SELECT 1 FROM rolled r WHERE r.place < r.n_turns AND r.place = w.n_turns AND r.prefix = w.prefix))
+SELECT r.conv_id, CAST((r.place - 1) // 512 AS INTEGER) AS part, CAST(k.n_turns AS BIGINT) AS n_turns,
+       string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), ''
+                  ORDER BY r.place) AS text
+FROM rolled r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY ALL
+"""
+
+
+@query("op10_chat_formatting", CHAT_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

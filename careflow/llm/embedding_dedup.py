@@ -191,16 +191,17 @@ def near_duplicates(
                 for s in range(bounds[r], bounds[r + 1], CHUNK):
                     to = min(s + CHUNK, bounds[r + 1])
                     yield _batch(2, chunk={
-                        **{c: [part[c][s]] for c in ("dim", "label", "turn", "bucket")}, "a": [part["class_id"][s]],
+                        **{c: [part[c][s]] for c in ("dim", "label", "turn", "bucket")}, "a": [part["class_id"][s]], "b": [part["class_id"][bounds[r]]],
                         "ids": [part["class_id"][s:to].tobytes()], "copies": [part["copies"][s:to].tobytes()],
                         "signs": [own[s:to].tobytes()], "vectors": [b"".join(part["vector"][s:to])],
                     })
 
     found = stored(dealt.mapInArrow(compare, FOUND), "found")
     bucket = ["dim", "label", "turn", "bucket"]
-    data = ["a", "ids", "copies", "signs", "vectors"]
+    data = ["a", "b", "ids", "copies", "signs", "vectors"]
     left, right = (found.where("kind = 2").select(*bucket, *(F.col(c).alias(f"{c}_{side}") for c in data)) for side in "lr")
-    pairs = left.join(right, bucket).where("a_l < a_r").select("dim", "turn", *(f"{c}_{s}" for s in "lr" for c in data[1:]))
+    pairs = left.join(right, bucket).where("a_l < a_r AND b_l <> b_r")  # chunks of one piece have met
+    pairs = pairs.select("dim", "turn", *(f"{c}_{s}" for s in "lr" for c in data[2:]))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +214,7 @@ def near_duplicates(
                 turns = np.full(len(ids), turn)
                 yield from _results(ids, copies, *_near(unit, own.reshape(-1, tables), turns, i, j + n, threshold))
 
-    found = stored(found.where("kind < 2").drop(*bucket, *data[1:]).union(pairs.mapInArrow(across, FOUND).drop(*bucket, *data[1:])), "links")
+    found = stored(found.where("kind < 2").select("kind", "a", "b", "n").union(pairs.mapInArrow(across, FOUND).select("kind", "a", "b", "n")), "links")
     degree = found.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
     sets = connected_components(found.where("kind = 0").select("a", "b"))
     named = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.common import stored, word_count
+from careflow.llm.common import stored, unused, word_count
 
 #: Hexadecimal digits of a document's hash that make its random number, exact as a double.
 DIGITS = 13
@@ -80,12 +80,11 @@ def mix(
 ) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it (see ``plan_mix``)."""
     targets = source_targets(docs.select(source_col, word_count(F.col(text_col)).alias("size")), source_col, weights, share, most)
-    rates = targets.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    taken = docs.join(rates, F.col("_source").eqNullSafe(F.col(source_col)), "left")
+    of, rate, copy = unused(docs, "_source", "_rate", "_copy")
+    rates = targets.select(F.col("source").alias(of), F.col("rate").alias(rate))
+    taken = docs.join(rates, F.col(of).eqNullSafe(F.col(source_col)), "left")
     # at most ``most`` copies of a row are made, so the rows made are bounded by the rows read
-    return taken.withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col(id_col), seed)))
-    ).drop("_copy", "_rate", "_source")
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies(F.col(rate), F.col(id_col), seed)))).drop(copy, rate, of)
 
 
 def plan_mix(

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.common import stored
+from careflow.llm.common import stored, unused
 
 
 class Rule(NamedTuple):
@@ -140,16 +140,18 @@ def redact(docs: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: st
     cuts = (
         ledger.findings().withColumn("before", F.coalesce(before, F.lit(0)))
         .groupBy("blob").agg(
-            F.array_sort(F.collect_list(F.struct("start", "kind_no", "before"))).alias("_cuts"), F.max("end").alias("_rest")
+            F.array_sort(F.collect_list(F.struct("start", "kind_no", "before"))).alias("cuts"), F.max("end").alias("rest")
         )
     )
-    marked = docs.withColumn("_blob", blob_id(F.col(text_col))).join(cuts.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    of, cuts_of, rest_of = unused(docs, "_blob", "_cuts", "_rest")
+    cuts = cuts.toDF(of, cuts_of, rest_of)
+    marked = docs.withColumn(of, blob_id(F.col(text_col))).join(cuts, of, "left")
 
     def piece(cut: Column) -> Column:
         between = F.substring(text_col, (cut["before"] + 1).cast("int"), F.greatest(cut["start"] - cut["before"], F.lit(0)).cast("int"))
         own = (cut["start"] >= cut["before"]) | (cut["before"] == 0)
         return F.concat(between, F.when(own, mask).otherwise(""))
 
-    rest = F.substring(text_col, (F.col("_rest") + 1).cast("int"), F.length(text_col))
-    text = F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(F.transform("_cuts", piece), ""), rest)).otherwise(F.col(text_col))
+    rest = F.substring(text_col, (F.col(rest_of) + 1).cast("int"), F.length(text_col))
+    text = F.when(F.col(cuts_of).isNotNull(), F.concat(F.array_join(F.transform(cuts_of, piece), ""), rest)).otherwise(F.col(text_col))
     return marked.withColumn(text_col, text).select(*docs.columns)

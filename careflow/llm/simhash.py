@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import merge_roots, sorted_pieces, stored, words
+from careflow.llm.common import merge_roots, sorted_pieces, stored, unused, words
 from careflow.llm.components import connected_components
 
 SEED = 42
@@ -234,9 +234,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
         F.min(F.struct("id", "text_hash")).alias("kept"), F.count("*").alias("rows")
     )
     first = stored(first.select("kept.*", "rows"), "kept")
-    key = [F.col("_id").eqNullSafe(F.col(id_col)), F.col("_hash") == F.xxhash64(text_col)]
+    id_of, hash_of = unused(docs, "kept_id", "kept_hash")
+    key = [F.col(id_of).eqNullSafe(F.col(id_col)), F.col(hash_of) == F.xxhash64(text_col)]
 
     def of(rows: str) -> DataFrame:
-        return docs.join(first.where(rows).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), key, "left_semi")
+        return docs.join(first.where(rows).select(F.col("id").alias(id_of), F.col("text_hash").alias(hash_of)), key, "left_semi")
 
     return of("rows = 1").union(of("rows > 1").dropDuplicates([id_col, text_col]))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.common import SPACES, stored
+from careflow.llm.common import SPACES, stored, unused
 
 K, WIDTH = 128, 5
 
@@ -19,18 +19,19 @@ def with_sketch(df: DataFrame, text_col: str, sketch_col: str, k: int = K, width
     Words are hashed once and a shingle's hash is made of its words' hashes.
     """
     plain = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES, " " * len(SPACES))
-    hashed = df.withColumn("_words", F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    n = F.size("_words")
+    (at_words,) = unused(df, "_words")
+    hashed = df.withColumn(at_words, F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    n = F.size(at_words)
 
     def shingle(at: Column) -> Column:
-        return F.xxhash64(*[F.get("_words", at + j) for j in range(width)])
+        return F.xxhash64(*[F.get(at_words, at + j) for j in range(width)])
 
     shingles = (
         F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), shingle))
-        .when(n > 0, F.array(F.xxhash64("_words")))
+        .when(n > 0, F.array(F.xxhash64(at_words)))
         .otherwise(F.array().cast("array<bigint>"))
     )
-    return hashed.withColumn(sketch_col, smallest(shingles, k)).drop("_words")
+    return hashed.withColumn(sketch_col, smallest(shingles, k)).drop(at_words)
 
 
 def smallest(hashes: Column, k: int = K) -> Column:

@@ -61,7 +61,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    return docs.join(F.broadcast(chosen), F.col("_id") == F.col(id_col)).select(F.col(text_col).alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("text", "label")
 
 
 def fit(

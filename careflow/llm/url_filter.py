@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import stored
+from careflow.llm.common import stored, unused
 
 #: Lengths of the n-grams of host and path, and the buckets that their hashes fall in.
 GRAMS, BUCKETS = (3, 4), 4096
@@ -55,12 +55,12 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
     return out
 
 
-def _gram(part: str, n: int):
-    """The bucket of the n-gram of the characters of ``part`` at a place."""
+def _gram(letters_of: str, kind: str, n: int):
+    """The bucket of the n-gram of host or path at a place in its list of characters."""
 
     def bucket(at: Column) -> Column:
-        letters = [F.get(part, at + j) for j in range(n)]
-        return F.pmod(F.xxhash64(F.lit(part), *letters), F.lit(BUCKETS)).cast("int")
+        letters = [F.get(letters_of, at + j) for j in range(n)]
+        return F.pmod(F.xxhash64(F.lit(kind), *letters), F.lit(BUCKETS)).cast("int")
 
     return bucket
 
@@ -71,13 +71,14 @@ def features(pages: DataFrame, host_col: str = "host", path_col: str = "path", o
     The bucket after the last is in every list and stands for the intercept. NULL is an empty part.
     """
     columns, lists = [], []
-    for part, name in ((host_col, "_host"), (path_col, "_path")):
+    parts = unused(pages, "_host", "_path")
+    for part, name, kind in zip((host_col, path_col), parts, ("host", "path")):
         marked = F.concat(F.lit("^"), F.coalesce(F.col(part), F.lit("")), F.lit("$"))
         columns.append(F.split(marked, "").alias(name))
         for n in GRAMS:
             starts = F.sequence(F.lit(0), F.greatest(F.size(name) - n, F.lit(0)))
-            lists.append(F.transform(starts, _gram(name, n)))
-    return pages.select("*", *columns).withColumn(out, F.concat(*lists, F.array(F.lit(BUCKETS)))).drop("_host", "_path")
+            lists.append(F.transform(starts, _gram(name, kind, n)))
+    return pages.select("*", *columns).withColumn(out, F.concat(*lists, F.array(F.lit(BUCKETS)))).drop(*parts)
 
 
 def margin(weights: Sequence[float], buckets: str = "features") -> Column:
@@ -103,7 +104,8 @@ def fit(labelled: DataFrame, most: int = MOST_ROWS, rounds: int = ROUNDS, penalt
         error = (1 / (1 + F.exp(-margin(ahead)))) - F.col("label")
         scale = F.when(F.col("bucket") == BUCKETS, 1.0).otherwise(1 / F.sqrt(F.col("size").cast("double")))
         gradient = (
-            rows.select(error.alias("error"), F.size("features").alias("size"), F.explode("features").alias("bucket"))
+            rows.select(error.alias("error"), F.size("features").alias("size"), "features")
+            .select("error", "size", F.explode("features").alias("bucket"))
             .groupBy("bucket").agg(F.sum(F.col("error") * scale).alias("sum"))
         ).collect()
         new = [w * (1 - 2 * penalty) for w in ahead]
@@ -116,18 +118,19 @@ def fit(labelled: DataFrame, most: int = MOST_ROWS, rounds: int = ROUNDS, penalt
 
 
 def judge(pages: DataFrame, rules: Sequence[UrlRule], labelled: DataFrame | None = None, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
-    """``pages`` with host, path, rule, score and verdict (allow or block).
+    """``pages`` with host, path, rule, score and verdict (allow or block), which replace columns of these names.
 
     A rule's verdict stands; where none fits, a URL whose score (probability of block) exceeds ``threshold`` is blocked. The classifier is
     trained on ``labelled`` (host, path, label: 1 to block), else on the URLs of ``pages`` that rules decide. No row is moved:
     rules and weights are constants of the plan.
     """
+    rule, grams = unused(pages, "_rule", "_features")
     host, path = host_and_path(F.col(url_col))
     found = pages.withColumns({"host": host, "path": path})
-    found = found.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    found = found.withColumn(rule, rule_of(F.col("host"), F.col("path"), rules))
     if labelled is None:
-        labelled = found.where("_rule IS NOT NULL").select("host", "path", (F.col("_rule.verdict") == "block").cast("int").alias("label"))
+        labelled = found.where(F.col(rule).isNotNull()).select("host", "path", (F.col(f"{rule}.verdict") == "block").cast("int").alias("label"))
     weights = fit(labelled)
-    scored = features(found, out="_features").withColumn("score", 1 / (1 + F.exp(-margin(weights, "_features"))))
+    scored = features(found, out=grams).withColumn("score", 1 / (1 + F.exp(-margin(weights, grams))))
     learned = F.when(F.col("score") > threshold, "block").otherwise("allow")
-    return scored.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", F.coalesce("_rule.verdict", learned)).drop("_features", "_rule")
+    return scored.withColumn("rule", F.col(f"{rule}.rule")).withColumn("verdict", F.coalesce(f"{rule}.verdict", learned)).drop(grams, rule)

@@ -1,24 +1,34 @@
-"""Parquet stores: keyed upsert of entity tables and the metrics result store."""
+"""Parquet stores published by manifests: keyed upsert of entity tables and the metrics result store."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET = "key_bucket"
 METRIC_KEY = ["entity_name", "metric_type"]
+#: Parts of a keyed table beyond which an upsert compacts it.
+COMPACT_AFTER = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a local one only where none is set."""
+    """The shared folder the cluster names for checkpoints.
+
+    Where none is set, a local master gets a temporary folder; on a cluster that folder would be another one on each machine,
+    so it is an error.
+    """
     context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="careflow-")
+    path = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="careflow-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path
@@ -29,68 +39,141 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def latest_by_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """The row with the greatest ``order_col`` of every key.
+# --- manifests: a small JSON file names the parts of a version, and is written last
 
-    Filtering ``row_number`` to 1 lets Spark cut every task's rows to one per key before the
-    shuffle, so a key that holds a third of all rows is not shuffled row by row. Equal order
-    values are decided by the remaining columns.
-    """
-    rest = [c for c in df.columns if c not in keys and c != order_col]
-    w = Window.partitionBy(*keys).orderBy(F.desc(order_col), *rest)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+def _file_system(spark: SparkSession, path: str):
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of, of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def merge_upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """``target`` with the rows of ``batch`` inserted or replacing their key.
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    of, fs = _file_system(spark, path)
+    found = fs.globStatus(of(f"{path}/_manifests/*.json")) or []
+    return sorted(f.getPath().toString() for f in found)
 
-    A batch row replaces a stored row of equal ``order_col``, so replaying a batch changes nothing.
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """The newest published version: {} where there is none."""
+    found = _versions(spark, path)
+    if not found:
+        return {}
+    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) | {"version": len(found)}
+
+
+def publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make ``manifest``, derived from version ``manifest["version"]``, the next version.
+
+    The file appears under its name in one step and never replaces another: a writer that was overtaken gets an error.
     """
-    tagged = target.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    rest = [c for c in batch.columns if c not in keys and c != order_col]
-    w = Window.partitionBy(*keys).orderBy(F.desc(order_col), F.desc("_new"), *rest)
-    return tagged.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_new")
+    of, fs = _file_system(spark, path)
+    name = f"{path}/_manifests/{manifest.get('version', 0) + 1:010d}.json"
+    draft = of(f"{path}/_manifests/.{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "version"}).encode()))
+    out.close()
+    if fs.exists(of(name)) or not fs.rename(draft, of(name)):
+        fs.delete(draft, False)
+        raise RuntimeError(f"another writer has published {name}")
+
+
+def _write_part(df: DataFrame, path: str) -> str:
+    name = f"part-{uuid.uuid4().hex}"
+    df.hint("rebalance").write.parquet(f"{path}/{name}")
+    return name
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete parts that the newest version does not name; for a time when nobody reads an older one or writes."""
+    of, fs = _file_system(spark, path)
+    manifest = read_manifest(spark, path)
+    named = {*manifest.get("parts", []), *manifest.get("documents", {}).values()}
+    for found in fs.globStatus(of(f"{path}/part-*")) or []:
+        if found.getPath().getName() not in named:
+            fs.delete(found.getPath(), True)
 
 
-def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+# --- keyed tables
+
+
+def _identity(df: DataFrame, keys: Sequence[str], order_col: str) -> Column:
+    """NULL, but for a key with a NULL part all other columns: such rows are equal only as a whole."""
+    partial = F.lit(False)
+    for k in keys:
+        partial = partial | F.col(k).isNull()
+    rest = [c for c in df.columns if c not in keys and c != order_col and not c.startswith("_")]
+    return F.when(partial, F.struct(*rest) if rest else F.lit(0))
+
+
+def latest_by_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """The row with the greatest ``order_col`` of every key.
+
+    Filtering ``row_number`` to 1 lets Spark cut every task's rows to one per key before the
+    shuffle, so a key that holds a third of all rows is not shuffled row by row. Equal order
+    values are decided by the remaining columns. Rows whose key has a NULL part are kept apart, but for rows that are equal in all
+    columns other than ``order_col``.
+    """
+    rest = [c for c in df.columns if c not in keys and c != order_col]
+    w = Window.partitionBy(*keys, "_same").orderBy(F.desc(order_col), *rest)
+    named = df.withColumn("_same", _identity(df, keys, order_col))
+    return named.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_same")
 
 
 def upsert(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order_col: str, buckets: int = 64
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order_col: str, compact_after: int = COMPACT_AFTER
 ) -> None:
-    """Upsert a batch into a Parquet table partitioned by a hash of its key.
+    """Add a batch to a keyed table; readers see the newest row of each key.
 
-    Only the key buckets that occur in the batch are read and rewritten. The merged buckets are
-    checkpointed to the shared folder before the dynamic partition overwrite, because Spark cannot
-    overwrite files it is still reading; a failed write can be repeated with the same batch.
+    The batch, cut to one row per key, becomes a new part, and the manifest that names it is published last: a write that stops half-way changes
+    nothing and can be repeated, as can a whole batch. Stored rows are not read or rewritten, until ``compact_after`` parts
+    have gathered. Keys and order column are kept with the table; other ones are refused. Columns may come and go: an upserted row keeps the
+    stored values of columns that its batch lacks.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(BUCKET)
-    incoming = latest_by_key(batch, keys, order_col).select("*", bucket)
-    stored = _read_if_present(spark, path)
-    merged = incoming
-    if stored is not None:
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most `buckets` numbers
-        target = stored.where(F.col(BUCKET).isin(touched)).select(*incoming.columns)
-        merged = merge_upsert(target, incoming, keys, order_col)
-    shared_dir(spark)
-    merged = merged.checkpoint()
-    (
-        merged.repartition(BUCKET, F.pmod(F.xxhash64(*keys, F.lit("file")), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
+    manifest = read_manifest(spark, path)
+    contract = {"keys": list(keys), "order": order_col}
+    if manifest and {k: manifest[k] for k in contract} != contract:
+        raise ValueError(f"{path} is keyed by {manifest['keys']} and ordered by {manifest['order']}, not {contract}")
+    part = _write_part(latest_by_key(batch, keys, order_col), path)
+    manifest = {"version": 0, "parts": []} | manifest | contract
+    publish(spark, path, manifest | {"parts": [*manifest["parts"], part]})
+    if len(manifest["parts"]) >= compact_after:
+        compact(spark, path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    """The newest row of each key: by the order column, and of equal ones the one added last."""
+    manifest = read_manifest(spark, path)
+    parts = [spark.read.parquet(f"{path}/{p}") for p in manifest["parts"]]
+    if len(parts) == 1:
+        return parts[0]
+    keys, order_col = manifest["keys"], manifest["order"]
+    columns = list(dict.fromkeys(c for p in parts for c in p.columns))
+    patchy = [c for c in columns if not all(c in p.columns for p in parts)]
+    rows = None
+    for n, part in enumerate(parts):
+        # a value wrapped in a struct tells a stored NULL from a column that the part lacks
+        part = part.withColumns({"_part": F.lit(n), **{c: F.struct(F.col(c).alias("v")) for c in patchy if c in part.columns}})
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    newest = [F.desc(order_col), F.desc("_part")]
+    same = Window.partitionBy(*keys, "_same")
+    rows = rows.withColumn("_same", _identity(rows, keys, order_col))
+    older = same.orderBy(*newest).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    filled = {c: F.first(c, ignorenulls=True).over(older)["v"] for c in patchy}
+    ranked = rows.select("*", F.row_number().over(same.orderBy(*newest)).alias("_rank"), *(v.alias(f"_new_{c}") for c, v in filled.items()))
+    kept = ranked.where("_rank = 1").withColumns({c: F.col(f"_new_{c}") for c in patchy})
+    return kept.select(*columns)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Rewrite the newest rows as one part. Older parts stay until ``vacuum``."""
+    manifest = read_manifest(spark, path)
+    if len(manifest.get("parts", [])) > 1:
+        publish(spark, path, manifest | {"parts": [_write_part(read_store(spark, path), path)]})
+
+
+# --- metrics store
+
+DOCUMENT = "metric string, data string, updated_at timestamp, entity_name string, metric_type string"
 
 
 def metric_rows(df: DataFrame, entity: str, metric_type: str, metric: str, updated_at: dt.datetime) -> DataFrame:
@@ -107,23 +190,27 @@ def metric_rows(df: DataFrame, entity: str, metric_type: str, metric: str, updat
 def write_metrics(
     results: dict[str, DataFrame], store: str, entity: str, metric_type: str, updated_at: dt.datetime
 ) -> None:
-    """S3: replace the documents of one (entity_name, metric_type), leaving all others alone."""
+    """S3: replace the documents of one (entity_name, metric_type), leaving all others alone.
+
+    A result without rows leaves no document. Readers see the old documents until the new ones are complete.
+    """
     parts = [metric_rows(df, entity, metric_type, name, updated_at) for name, df in results.items()]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*METRIC_KEY)
-        .parquet(store)
-    )
-
-
-def read_metrics(spark: SparkSession, store: str, entity: str, metric_type: str | None = None) -> DataFrame:
-    """The documents of an entity; the filter prunes the store's partitions."""
-    rows = spark.read.parquet(store).where(F.col("entity_name") == entity)
-    return rows if metric_type is None else rows.where(F.col("metric_type") == metric_type)
+    spark = rows.sparkSession
+    part = _write_part(rows, store)
+    manifest = read_manifest(spark, store)
+    publish(spark, store, manifest | {"documents": manifest.get("documents", {}) | {json.dumps([entity, metric_type]): part}})
+
+
+def read_metrics(spark: SparkSession, store: str, entity: str | None = None, metric_type: str | None = None) -> DataFrame:
+    """The documents of an entity and type, or of all; only their parts are read."""
+    parts = [
+        f"{store}/{part}" for key, part in read_manifest(spark, store).get("documents", {}).items()
+        if entity in (None, json.loads(key)[0]) and metric_type in (None, json.loads(key)[1])
+    ]
+    return spark.read.schema(DOCUMENT).parquet(*parts) if parts else spark.createDataFrame([], DOCUMENT)
 
 
 def dashboard(spark: SparkSession, store: str, entity: str) -> DataFrame:

@@ -168,25 +168,64 @@ def test_upsert_inserts_updates_and_replays(spark, tmp_path):
     path = str(tmp_path / "t")
     make = lambda data: spark.createDataFrame(data, "k string, v string, at int")
     read = lambda: rows(store.read_store(spark, path).select("k", "v", "at"), "k")
-    store.upsert(spark, path, make([("a", "1", 1), ("b", "1", 1), ("b", "2", 2)]), ["k"], "at", buckets=4)
+    store.upsert(spark, path, make([("a", "1", 1), ("b", "1", 1), ("b", "2", 2)]), ["k"], "at")
     assert read() == [("a", "1", 1), ("b", "2", 2)]
     batch = make([("b", "3", 3), ("c", "1", 1)])
     for _ in range(2):
-        store.upsert(spark, path, batch, ["k"], "at", buckets=4)
+        store.upsert(spark, path, batch, ["k"], "at")
         assert read() == [("a", "1", 1), ("b", "3", 3), ("c", "1", 1)]
-    store.upsert(spark, path, make([("c", "late", 0), ("a", "same", 1)]), ["k"], "at", buckets=4)
+    store.upsert(spark, path, make([("c", "late", 0), ("a", "same", 1)]), ["k"], "at")
     assert read() == [("a", "same", 1), ("b", "3", 3), ("c", "1", 1)]  # equal order: the batch wins
 
 
-def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
-    path = tmp_path / "t"
-    df = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("at"))
-    store.upsert(spark, str(path), df, ["k"], "at", buckets=4)
-    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
-    store.upsert(spark, str(path), df.where("k = '7'").withColumn("at", F.lit(2)), ["k"], "at", buckets=4)
-    kept = [p for p in before if p.exists() and p.stat().st_mtime_ns == before[p]]
-    assert len({p.parent for p in kept}) == 3
-    assert store.read_store(spark, str(path)).count() == 200
+def test_upsert_of_keys_with_null_parts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([("a", None, "x", 1), ("a", None, "y", 1), ("a", None, "x", 1), (None, 1, "x", 1), ("a", 1, "x", 1)], "k string, n int, v string, at int")
+    for at in (1, 2):
+        store.upsert(spark, path, batch.withColumn("at", F.lit(at)), ["k", "n"], "at")
+    want = [("a", None, "x", 2), ("a", None, "y", 2), ("a", 1, "x", 2), (None, 1, "x", 2)]
+    assert sorted(rows(store.read_store(spark, path)), key=str) == sorted(want, key=str)
+
+
+def test_upsert_keeps_columns_that_a_batch_lacks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.upsert(spark, path, spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "k string, at int, extra string"), ["k"], "at")
+    store.upsert(spark, path, spark.createDataFrame([("a", 2), ("c", 2)], "k string, at int"), ["k"], "at")
+    assert rows(store.read_store(spark, path).select("k", "at", "extra"), "k") == [("a", 2, "old"), ("b", 1, "old"), ("c", 2, None)]
+    store.upsert(spark, path, spark.createDataFrame([("a", 3, None)], "k string, at int, extra string"), ["k"], "at")
+    assert rows(store.read_store(spark, path).select("k", "at", "extra"), "k")[0] == ("a", 3, None)
+
+
+def test_upsert_refuses_other_keys_and_compacts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("at"))
+    with pytest.raises(ValueError):
+        store.upsert(spark, path, df, ["k"], "at")
+        store.upsert(spark, path, df, ["at"], "k")
+    for at in range(1, 5):
+        store.upsert(spark, path, df.where(F.col("k") < "3").withColumn("at", F.lit(at)), ["k"], "at", compact_after=3)
+    assert len(store.read_manifest(spark, path)["parts"]) <= 3
+    got = store.read_store(spark, path)
+    assert got.count() == 200 and got.where("at = 4").count() == df.where(F.col("k") < "3").count()
+    store.vacuum(spark, path)
+    assert len(list((tmp_path / "t").glob("part-*"))) == len(store.read_manifest(spark, path)["parts"])
+    assert store.read_store(spark, path).count() == 200
+
+
+def test_upsert_that_stops_half_way_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a", 1)], "k string, at int")
+    store.upsert(spark, path, df, ["k"], "at")
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            store.upsert(spark, path, df.withColumn("at", F.lit(2)), ["k"], "at")
+    assert rows(store.read_store(spark, path)) == [("a", 1)]
+    behind = store.read_manifest(spark, path)
+    store.upsert(spark, path, df.withColumn("at", F.lit(3)), ["k"], "at")
+    with pytest.raises(RuntimeError):  # another writer was first
+        store.publish(spark, path, behind)
+    assert rows(store.read_store(spark, path)) == [("a", 3)]
 
 
 def test_hot_key_in_a_batch(spark):
@@ -209,7 +248,9 @@ def test_metrics_store_replaces_one_key(spark, tmp_path):
     assert store.dashboard(spark, path, "nobody").count() == 0
     back = store.restore_metric(store.read_metrics(spark, path, "patients", "Kpis"), "t", "name string, value bigint")
     assert rows(back) == [("x", 9)]
-    assert qu.validate(spark.read.parquet(path), "metrics").where("violations > 0").count() == 0
+    store.write_metrics({"t": df(1).limit(0)}, path, "patients", "Kpis", LOADED_AT)  # an empty result leaves no document
+    assert store.read_metrics(spark, path, "patients", "Kpis").count() == 0
+    assert qu.validate(store.read_metrics(spark, path), "metrics").where("violations > 0").count() == 0
 
 
 def test_load_and_analytics_runs(spark, tmp_path):
@@ -220,7 +261,7 @@ def test_load_and_analytics_runs(spark, tmp_path):
     t = etl.stored_tables(spark, tables_dir)
     assert (t.patients.count(), t.conditions.count(), t.encounters.count(), t.allergies.count()) == (3, 3, 2, 3)
     analytics.run_analytics(t, metrics, AS_OF, LOADED_AT)
-    keys = {tuple(r) for r in spark.read.parquet(metrics).select("entity_name", "metric_type").distinct().collect()}
+    keys = {tuple(r) for r in store.read_metrics(spark, metrics).select("entity_name", "metric_type").distinct().collect()}
     assert keys == {(e, m) for e in etl.LOADED for m in ("Kpis", "Metrics", "Advanced_metrics")}
     kpis = store.dashboard(spark, metrics, "encounters").where("section = 'kpis'").collect()
     current = next(json.loads(d.data) for d in kpis if '"current"' in d.data)

@@ -88,8 +88,8 @@ def decade_label(age: Column) -> Column:
 # Patterns of coded names such as "Name (nature)".
 NAME_PATTERN = r"([^(]+)\("
 NATURE_PATTERN = r"\(([^)]+)\)"
-CONCEPT_PATTERN = r"^(.*?)\("
-SEMANTICS_PATTERN = r"\((.*?)\)$"
+CONCEPT_PATTERN = r"(?s)^(.*)\("
+SEMANTICS_PATTERN = r"\(([^()]*)\)[^(]*$"
 
 
 def _before_parenthesis(text: Column, pattern: str) -> Column:
@@ -99,13 +99,14 @@ def _before_parenthesis(text: Column, pattern: str) -> Column:
 def coded_name(text: Column) -> tuple[Column, Column]:
     """Split ``Name (nature)`` into (name, nature).
 
-    The name is trimmed; without a parenthesis it is the whole text, and the nature is ''.
+    The name ends before the first parenthesis, whose content is the nature; further ones are not read. The name is trimmed; without a
+    parenthesis it is the whole text, and the nature is ''.
     """
     return _before_parenthesis(text, NAME_PATTERN), F.regexp_extract(text, NATURE_PATTERN, 1)
 
 
 def concept_and_semantics(text: Column) -> tuple[Column, Column]:
-    """Split a fully specified name into the concept and its semantics."""
+    """Split a fully specified name into the concept before, and the semantics inside, its last parenthesis."""
     return (
         _before_parenthesis(text, CONCEPT_PATTERN),
         F.trim(F.regexp_extract(text, SEMANTICS_PATTERN, 1)),

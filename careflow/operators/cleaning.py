@@ -90,22 +90,18 @@ def fill_allergy_sentinels(df: DataFrame) -> DataFrame:
     return df.fillna({c: v for c, v in ALLERGY_DEFAULTS.items() if c in df.columns})
 
 
-def salted_membership(child: DataFrame, keys: DataFrame, key: str, how: str, salts: int = 16) -> DataFrame:
-    """Semi or anti join of ``child`` with a key list, safe for a key that holds a third of all rows.
+def membership(child: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of ``child`` with a key list; neither side is repeated.
 
-    Rows carry a salt from the hash of the whole row and the key list is repeated once per salt, so
-    a hot key is spread over ``salts`` join keys. The salt also keeps later steps from reusing the
-    join's partitioning by ``key``, which leaves adaptive execution free to split what is still
-    skewed.
+    A key that holds a third of all rows makes one large partition of ``child``, which adaptive execution splits at the measured
+    size, equal rows too; the last step, which deals the rows out anew at a balanced size, leaves it free to, whatever follows.
     """
-    salted = child.withColumn("_salt", F.pmod(F.xxhash64(*child.columns), F.lit(salts)).cast("int"))
-    repeated = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return salted.join(repeated, [key, "_salt"], how).select(*child.columns)
+    return child.join(keys.select(key), key, how).select(*child.columns).hint("rebalance")
 
 
 def keep_known_parents(child: DataFrame, parents: DataFrame, key: str = "uuid", parent_key: str = "uuid") -> DataFrame:
     """Rows whose key exists among the parents."""
-    return salted_membership(child, parents.select(F.col(parent_key).alias(key)), key, "left_semi")
+    return membership(child, parents.select(F.col(parent_key).alias(key)), key, "left_semi")
 
 
 def orphan_count(child: DataFrame, parents: DataFrame, key: str = "uuid", parent_key: str = "uuid") -> DataFrame:

@@ -33,8 +33,8 @@ def exact_total(name: str) -> Column:
 
 
 def fill_missing_fees(encounters: DataFrame) -> DataFrame:
-    """NULL fees become 0.0, as the analytics load does."""
-    return encounters.fillna(0.0, [BASE, TOTAL, COVERAGE])
+    """NULL fees become 0.0. Every metric of fees does this first, so callers need not."""
+    return encounters.fillna(0.0, [c for c in (BASE, TOTAL, COVERAGE) if c in encounters.columns])
 
 
 def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
@@ -44,7 +44,7 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     are reduced to the first date each was seen, from which every period follows. A NULL
     practitioner is one group in the load, as recorded.
     """
-    dated = encounters.withColumn("_started", known_on(F.col("visit_start")))
+    dated = fill_missing_fees(encounters).withColumn("_started", known_on(F.col("visit_start")))
 
     def sums(p: Period) -> dict[str, str]:
         inside = p.happened("_started")
@@ -108,7 +108,7 @@ def top_causes(encounters: DataFrame, k: int = 10) -> DataFrame:
 
 def coverage_vs_oop_by_type(encounters: DataFrame) -> DataFrame:
     """E13."""
-    return _typed(encounters).groupBy("encounter_type").agg(
+    return _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(
         rounded(F.avg(COVERAGE)).alias("avg_covered"), rounded(F.avg(out_of_pocket())).alias("avg_out_of_pocket")
     )
 
@@ -120,7 +120,7 @@ def top_practitioners(encounters: DataFrame, k: int = 10) -> DataFrame:
 
 def fee_divergence_by_type(encounters: DataFrame) -> DataFrame:
     """E15."""
-    return _typed(encounters).groupBy("encounter_type").agg(
+    return _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(
         rounded(F.avg(BASE)).alias("avg_base"), rounded(F.avg(TOTAL)).alias("avg_total")
     )
 
@@ -128,7 +128,7 @@ def fee_divergence_by_type(encounters: DataFrame) -> DataFrame:
 def most_expensive_causes(encounters: DataFrame, k: int = 10) -> DataFrame:
     """E16."""
     return (
-        encounters.where(F.col("encounter_reason").isNotNull())
+        fill_missing_fees(encounters).where(F.col("encounter_reason").isNotNull())
         .groupBy("encounter_reason")
         .agg(rounded(F.avg(TOTAL)).alias("avg_total"))
         .orderBy(F.desc("avg_total"), "encounter_reason")
@@ -138,7 +138,7 @@ def most_expensive_causes(encounters: DataFrame, k: int = 10) -> DataFrame:
 
 def high_cost_anomalies(encounters: DataFrame, k: float = 2.0) -> DataFrame:
     """Encounters per reason whose fee exceeds mean + k standard deviations of the reason."""
-    named = encounters.where(F.col("encounter_reason").isNotNull())
+    named = fill_missing_fees(encounters).where(F.col("encounter_reason").isNotNull())
     return st.zscore_outliers(named, "encounter_reason", TOTAL, k)
 
 
@@ -176,5 +176,5 @@ def readmission_timeline(encounters: DataFrame, months: int = 12) -> DataFrame:
 
 def uncovered_cost_trajectory(encounters: DataFrame, months: int = 12) -> DataFrame:
     """Average out-of-pocket cost in each of the last months."""
-    monthly = _by_month(encounters).groupBy("month_start").agg(rounded(F.avg(out_of_pocket())).alias("avg_out_of_pocket"))
+    monthly = _by_month(fill_missing_fees(encounters)).groupBy("month_start").agg(rounded(F.avg(out_of_pocket())).alias("avg_out_of_pocket"))
     return _last_months(monthly, months)

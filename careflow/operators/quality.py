@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.operators.cleaning import salted_membership
+from careflow.operators.cleaning import membership
 from careflow.schemas import KEYS
 
 
@@ -139,7 +139,7 @@ def apply_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 def cascade_delete(child: DataFrame, removed: DataFrame, key: str = "uuid") -> DataFrame:
     """The child rows left after their parents in ``removed`` are deleted."""
-    return salted_membership(child, removed.select(key), key, "left_anti")
+    return membership(child, removed.select(key), key, "left_anti")
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -19,16 +19,30 @@ def survival_curves(life_table: DataFrame) -> DataFrame:
     )
 
 
-def hazard_by_race(hazard: DataFrame, races: Sequence[str]) -> DataFrame:
-    """R2: income bin -> hazard in percent per race, 0 where a race has no such bin."""
+def _names(df: DataFrame, column: str, names: Sequence[str] | None) -> list[str]:
+    """The pivot's columns: those given, then all others in the data, in order. Their number is that of the columns made."""
+    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
+    return [*(names or ()), *(n for n in found if n not in (names or ()))]
+
+
+def hazard_by_race(hazard: DataFrame, races: Sequence[str] | None = None) -> DataFrame:
+    """R2: income bin -> hazard in percent per race, 0 where a race has no such bin.
+
+    Every race of ``hazard`` has a column; ``races`` come first, whether they occur or not.
+    """
+    races = _names(hazard, "race", races)
     wide = hazard.groupBy("bin", "label").pivot("race", list(races)).agg(F.first("hazard"))
     return wide.select("bin", "label", *[F.round(F.coalesce(F.col(f"`{r}`"), F.lit(0.0)) * 100, 1).alias(r) for r in races])
 
 
 def trends_by_category(trends: DataFrame, categories: Sequence[str] = ALLERGY_CATEGORIES) -> DataFrame:
-    """Year -> detections per category, 0 filled; undated records are left out."""
-    wide = trends.where(F.col("year") > 0).groupBy("year").pivot("category", list(categories)).agg(F.sum("count"))
-    return wide.fillna(0, list(categories))
+    """Year -> detections per category, 0 filled; undated records are left out.
+
+    Every category in the data has a column, those without one are ``unknown``; ``categories`` come first, whether they occur or not.
+    """
+    dated = trends.where(F.col("year") > 0).withColumn("category", F.coalesce("category", F.lit("unknown")))
+    names = _names(dated, "category", categories)
+    return dated.groupBy("year").pivot("category", names).agg(F.sum("count")).fillna(0, names)
 
 
 def severity_by_nature(matrix: DataFrame) -> DataFrame:

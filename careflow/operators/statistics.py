@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from careflow.functions.columns import ratio, trunc
 from careflow.functions.periods import aggregate_points
@@ -16,6 +17,7 @@ _BLOCK_BITS = 20  # a window never orders more than 2^20 siblings below the top
 def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Distinct integral values with their counts and running positions, without a global sort.
 
+    Columns of other types are refused: their values would be cut to integers.
     ``weight`` names a column of row counts for input that is already aggregated.
 
     Returns ``by..., value, n, n_before, distinct_before, n_total``: the rows (and distinct
@@ -25,6 +27,9 @@ def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: st
     every window partition holds at most 2^20 rows, and the top level one row per 2^40 values.
     """
     by = list(by)
+    kind = df.schema[value].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{value} is {kind.simpleString()}; ranks are kept for integers only")
     v = F.col(value).cast("bigint")
     leaves = (
         df.where(F.col(value).isNotNull())
@@ -197,26 +202,32 @@ def hazard_by_bins(
     """Event rate per group and equal-width value bin, every bin of every group present.
 
     Width = ceil((max - min) / parts), or 1000 when all values are equal; bin 0 is [0, width],
-    bin i is [i * width + 1, (i + 1) * width]. The extremes enter as scalar subqueries.
+    bin i is [i * width + 1, (i + 1) * width], and bins below zero go on downwards. Only the bins from that of the least to that of the greatest
+    value are given, about ``parts`` of them, however far from zero they lie. Rows without a value are a bin
+    of their own, NULL, in the groups that have such rows. The extremes enter as scalar subqueries.
     """
     v = F.col(value)
     bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], F.coalesce(bounds["hi"], F.lit(0))
+    lo, hi = F.coalesce(bounds["lo"], F.lit(0)), F.coalesce(bounds["hi"], F.lit(0))
     width = F.when(hi > lo, F.ceil((hi - lo) / F.lit(float(parts)))).otherwise(F.lit(1000)).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def bin_of(x: Column, size: Column) -> Column:
+        return F.when(x == 0, zero).otherwise(F.floor((x - 1) / size)).cast("bigint")
+
     groups = df.where(F.col(by).isNotNull() & ~F.col(by).isin(*exclude))
-    binned = F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, F.floor((v - 1) / F.col("width")))
     counts = (
         groups.select(by, value, event.alias("_event"), width.alias("width"))
-        .groupBy(by, binned.alias("bin"))
+        .groupBy(by, F.when(v.isNotNull(), bin_of(v, F.col("width"))).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("_event").alias("events"))
     )
-    spine = counts.select(by).distinct().select(
-        by, width.alias("width"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(hi / width))).alias("bin")
-    )
-    zero = F.lit(0).cast("bigint")
-    return spine.join(counts, [by, "bin"], "left").select(
+    bins = F.sequence(bin_of(lo, width), F.greatest(F.floor(hi / width), bin_of(lo, width)).cast("bigint"))
+    spine = counts.select(by).distinct().select(by, F.explode(bins).alias("bin"))
+    rows = spine.join(counts, [by, "bin"], "left").union(counts.where("bin IS NULL").select(by, "bin", "n", "events"))
+    rows = rows.withColumn("width", width)
+    return rows.select(
         by, "bin",
-        F.concat(F.lit("Q"), F.col("bin").cast("string")).alias("label"),
+        F.when(F.col("bin").isNull(), "unknown").otherwise(F.concat(F.lit("Q"), F.col("bin").cast("string"))).alias("label"),
         F.when(F.col("bin") == 0, zero).otherwise(F.col("bin") * F.col("width") + 1).alias("low"),
         ((F.col("bin") + 1) * F.col("width")).alias("high"),
         F.coalesce("n", zero).alias("n"),
@@ -225,33 +236,23 @@ def hazard_by_bins(
     )
 
 
-def zscore_outliers(df: DataFrame, by: str, value: str, k: float = 2.0, salts: int = 16) -> DataFrame:
+def zscore_outliers(df: DataFrame, by: str, value: str, k: float = 2.0) -> DataFrame:
     """Rows whose value exceeds mean + k * stddev of their group, counted per group.
 
-    The group statistics are joined back. A group may hold a third of all rows, so equal values
-    are first combined map-side, and the rows then carry a salt derived from the value while the
-    statistics are repeated once per salt: the hot group spreads over ``salts`` tasks. Adaptive
-    execution still turns the join into a broadcast when the measured statistics are small.
+    Equal values are combined map-side before the group statistics are joined back. A group that still holds a third of all rows is one
+    large partition, which adaptive execution splits: the few outliers are dealt out anew before they are counted, so that
+    nothing after the join needs its partitioning.
     """
     rows = df.select(by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    stats = (
+    limits = (
         rows.groupBy(by)
         .agg(F.avg("_v").alias("_mean"), F.stddev_samp("_v").alias("_std"))
         .where(F.col("_std") > 0)
-        .select(by, (F.col("_mean") + F.lit(k) * F.col("_std")).alias("_limit"))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    )
-    salted = (
-        rows.groupBy(by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int"))
-    )
-    return (
-        salted.join(stats, [by, "_salt"])
-        .where(F.col("_v") > F.col("_limit"))
-        .groupBy(by)
-        .agg(F.sum("_n").alias("anomaly_count"))
+        .select(F.col(by).alias("_group"), (F.col("_mean") + F.lit(k) * F.col("_std")).alias("_limit"))
     )
+    counted = rows.groupBy(by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    outliers = counted.join(limits, (F.col(by) == F.col("_group")) & (F.col("_v") > F.col("_limit"))).select(by, "_n")
+    return outliers.hint("rebalance").groupBy(by).agg(F.sum("_n").alias("anomaly_count"))
 
 
 def top_k(df: DataFrame, by: str, k: int, name: str = "count") -> DataFrame:

@@ -12,8 +12,8 @@ KPIS_SQL = """facts AS (
     SELECT f.period, count(*) AS total_visit_volume,
            round(sum(CAST(visting_total_fees AS DECIMAL(20, 6))), 2)::DOUBLE AS total_revenue_generated,
            round(avg((epoch(visit_end) - epoch(visit_start)) / 3600.0::DOUBLE), 2) AS average_encounter_duration_hours,
-           round(avg(visting_total_fees - coalesce(coverage, 0.0::DOUBLE)), 2) AS average_patient_out_of_pocket,
-           round(avg(visiting_base_fees), 2) AS average_base_fee,
+           round(avg(coalesce(visting_total_fees, 0.0::DOUBLE) - coalesce(coverage, 0.0::DOUBLE)), 2) AS average_patient_out_of_pocket,
+           round(avg(coalesce(visiting_base_fees, 0.0::DOUBLE)), 2) AS average_base_fee,
            round(sum(CAST(coverage AS DECIMAL(20, 6))), 2)::DOUBLE AS total_covered_amount,
            count(DISTINCT uuid) AS unique_patients_seen,
            round(any_value(load), 2) AS average_practitioner_load
@@ -39,8 +39,8 @@ def e12_top_causes(spark, sf_dir):
 
 
 @query("e13_coverage_vs_oop_by_type", with_views(["encounters"], """
-SELECT encounter_type, round(avg(coverage), 2) AS avg_covered,
-       round(avg(visting_total_fees - coalesce(coverage, 0.0::DOUBLE)), 2) AS avg_out_of_pocket
+SELECT encounter_type, round(avg(coalesce(coverage, 0.0::DOUBLE)), 2) AS avg_covered,
+       round(avg(coalesce(visting_total_fees, 0.0::DOUBLE) - coalesce(coverage, 0.0::DOUBLE)), 2) AS avg_out_of_pocket
 FROM encounters GROUP BY encounter_type"""))
 def e13_coverage_vs_oop_by_type(spark, sf_dir):
     return en.coverage_vs_oop_by_type(encounters(spark, sf_dir))
@@ -54,14 +54,14 @@ def e14_top_practitioners(spark, sf_dir):
 
 
 @query("e15_fee_divergence_by_type", with_views(["encounters"], """
-SELECT encounter_type, round(avg(visiting_base_fees), 2) AS avg_base, round(avg(visting_total_fees), 2) AS avg_total
+SELECT encounter_type, round(avg(coalesce(visiting_base_fees, 0.0::DOUBLE)), 2) AS avg_base, round(avg(coalesce(visting_total_fees, 0.0::DOUBLE)), 2) AS avg_total
 FROM encounters GROUP BY encounter_type"""))
 def e15_fee_divergence_by_type(spark, sf_dir):
     return en.fee_divergence_by_type(encounters(spark, sf_dir))
 
 
 @query("e16_most_expensive_causes", with_views(["encounters"], """
-SELECT encounter_reason, round(avg(visting_total_fees), 2) AS avg_total FROM encounters GROUP BY encounter_reason
+SELECT encounter_reason, round(avg(coalesce(visting_total_fees, 0.0::DOUBLE)), 2) AS avg_total FROM encounters GROUP BY encounter_reason
 ORDER BY avg_total DESC, encounter_reason LIMIT 10"""))
 def e16_most_expensive_causes(spark, sf_dir):
     return en.most_expensive_causes(encounters(spark, sf_dir))
@@ -70,9 +70,10 @@ def e16_most_expensive_causes(spark, sf_dir):
 def _anomaly_sql(view: str) -> str:
     return with_views([view], f"""
 SELECT v.encounter_reason, count(*) AS anomaly_count
-FROM {view} v JOIN (SELECT encounter_reason, avg(visting_total_fees) AS m, stddev_samp(visting_total_fees) AS s
-                    FROM {view} GROUP BY encounter_reason) t ON t.encounter_reason = v.encounter_reason
-WHERE s > 0 AND visting_total_fees > m + 2 * s GROUP BY v.encounter_reason""")
+FROM filled v JOIN (SELECT encounter_reason, avg(visting_total_fees) AS m, stddev_samp(visting_total_fees) AS s
+                    FROM filled GROUP BY encounter_reason) t ON t.encounter_reason = v.encounter_reason
+WHERE s > 0 AND visting_total_fees > m + 2 * s GROUP BY v.encounter_reason""",
+        f"filled AS (SELECT encounter_reason, coalesce(visting_total_fees, 0.0::DOUBLE) AS visting_total_fees FROM {view})")
 
 
 @query("e17_high_cost_anomaly_index", _anomaly_sql("event_fees"))
@@ -98,7 +99,7 @@ def e19_readmission_timeline(spark, sf_dir):
 
 @query("e20_uncovered_cost_trajectory", with_views(["encounters"], """
 SELECT CAST(date_trunc('month', visit_start) AS DATE) AS month_start,
-       round(avg(visting_total_fees - coalesce(coverage, 0.0::DOUBLE)), 2) AS avg_out_of_pocket,
+       round(avg(coalesce(visting_total_fees, 0.0::DOUBLE) - coalesce(coverage, 0.0::DOUBLE)), 2) AS avg_out_of_pocket,
        strftime(date_trunc('month', visit_start), '%b %Y') AS label
 FROM encounters GROUP BY ALL ORDER BY month_start DESC LIMIT 12"""))
 def e20_uncovered_cost_trajectory(spark, sf_dir):

@@ -158,7 +158,7 @@ def p20_wealth_trajectory(spark, sf_dir):
 
 
 HAZARD_SQL = """bounds AS (
-    SELECT max(family_income) AS hi,
+    SELECT max(family_income) AS hi, min(family_income) AS lo,
            CASE WHEN max(family_income) > min(family_income)
                 THEN CAST(ceil((max(family_income) - min(family_income)) / 10.0::DOUBLE) AS BIGINT) ELSE 1000 END AS width
     FROM patients),
@@ -166,8 +166,8 @@ HAZARD_SQL = """bounds AS (
     SELECT race, bin, 'Q' || CAST(bin AS VARCHAR) AS label, low, high, count(uuid) AS n, count(death_date) AS deaths,
            round(count(death_date)::DOUBLE / greatest(count(uuid), 1), 3) AS hazard
     FROM (SELECT race, b AS bin, CASE WHEN b = 0 THEN 0 ELSE b * width + 1 END AS low, (b + 1) * width AS high
-          FROM (SELECT DISTINCT race FROM patients WHERE race <> 'other'), bounds, range(0, 1000) r(b)
-          WHERE b <= hi // width) s
+          FROM (SELECT race, width, unnest(range(CASE WHEN lo = 0 THEN 0 ELSE CAST(floor((lo - 1) / width::DOUBLE) AS BIGINT) END, hi // width + 1)) AS b
+                FROM (SELECT DISTINCT race FROM patients WHERE race <> 'other'), bounds)) s
     LEFT JOIN (SELECT race AS r2, uuid, death_date, family_income FROM patients) ON r2 = race AND family_income BETWEEN low AND high
     GROUP BY race, bin, low, high)"""
 

@@ -215,7 +215,7 @@ def test_encounter_metrics(spark):
     assert rows(en.top_causes(df)) == [("r", 2), ("s", 1)]
     assert rows(en.top_practitioners(df, 1)) == [("d1", 2)]
     assert rows(en.most_expensive_causes(df)) == [("s", 100.0), ("r", 20.0)]
-    assert rows(en.coverage_vs_oop_by_type(df)) == [("wellness", 5.0, 43.33)]
+    assert rows(en.coverage_vs_oop_by_type(df)) == [("wellness", 3.33, 43.33)]  # unknown coverage counts as none
     assert rows(en.fee_divergence_by_type(df)) == [("wellness", 10.0, 46.67)]
     assert rows(en.readmission_timeline(df), "month_start") == [
         (date("2020-01-01"), 2, 1, "Jan 2020"), (date("2020-03-01"), 1, 0, "Mar 2020"),

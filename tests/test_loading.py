@@ -96,11 +96,18 @@ def test_clean_conditions(raw):
     assert got == [
         ("ghost", date("2020-02-01"), "Stress", "finding"),
         ("u1", date("2020-01-01"), "Viral sinusitis", "disorder"),
-        ("u1", date("2020-02-01"), "Stress", "finding) (finding"),
+        ("u1", date("2020-02-01"), "Stress (finding)", "finding"),
         ("u2", None, "Plain", ""),
     ]
 
 
+def test_concepts_end_at_the_last_parenthesis(spark):
+    texts = ["Injury (crush) of hand (disorder)", "a (b (c))", "Plain", None, "x (y) z", "open (", ""]
+    df = cl.split_concept(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, fsn string"), "fsn")
+    got = [tuple(r)[-2:] for r in df.select("i", "medical_concepts", "associated_semantics").orderBy("i").collect()]
+    assert got == [("Injury (crush) of hand", "disorder"), ("a (b", "c"), ("Plain", ""), (None, None), ("x", "y"), ("open", ""), ("", "")]
+
+
 def test_clean_encounters(raw):
     got = {r.encounter_id: r for r in cl.clean_encounters(raw("encounters"), AS_OF).collect()}
     assert got["e1"].visit_end == dt.datetime(2020, 1, 1, 9, 30) and got["e1"].visting_total_fees == 120.25

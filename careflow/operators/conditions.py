@@ -161,20 +161,22 @@ def clinical_gravity(conditions: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
-def incidence_velocity(conditions: DataFrame, k: int = 15) -> DataFrame:
-    """Records per calendar month for the k most frequent concepts."""
+def incidence_velocity(conditions: DataFrame, k: int | None = 15) -> DataFrame:
+    """Records per calendar month for the k most frequent concepts (None: for all)."""
     monthly = (
         conditions.where(F.col("medical_concepts").isNotNull() & F.col("condition_record_date").isNotNull())
         .groupBy("medical_concepts", F.month("condition_record_date").alias("month_number"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    top = (
-        monthly.groupBy("medical_concepts").agg(F.sum("count").alias("total"))
-        .orderBy(F.desc("total"), "medical_concepts")
-        .limit(k)
-        .select("medical_concepts")
-    )
-    return monthly.join(top, "medical_concepts", "left_semi").select(
+    if k is not None:
+        top = (
+            monthly.groupBy("medical_concepts").agg(F.sum("count").alias("total"))
+            .orderBy(F.desc("total"), "medical_concepts")
+            .limit(k)
+            .select("medical_concepts")
+        )
+        monthly = monthly.join(top, "medical_concepts", "left_semi")
+    return monthly.select(
         "medical_concepts", "month_number", month_label(F.col("month_number")).alias("month"), "count"
     )
 
@@ -184,19 +186,17 @@ def concept_cooccurrence(conditions: DataFrame, k: int = 50) -> DataFrame:
     return pairs.cooccurrence(conditions, "uuid", "medical_concepts", k, distinct=True, name="patients")
 
 
-def disease_transitions(conditions: DataFrame, k: int = 50, horizon: int = 365) -> DataFrame:
+def disease_transitions(conditions: DataFrame, k: int | None = 50, horizon: int = 365) -> DataFrame:
     """C18."""
     return pairs.transitions(conditions, "uuid", "medical_concepts", "condition_record_date", k, horizon)
 
 
-def recurrence_gap(conditions: DataFrame, k: int = 10) -> DataFrame:
-    """The k concepts with the longest average gap between end and recurrence."""
-    return (
-        pairs.recurrence_gaps(conditions, "uuid", "medical_concepts", "condition_record_date", "date_of_abetment")
-        .orderBy(F.desc("avg_gap"), "medical_concepts")
-        .limit(k)
-        .select("medical_concepts", F.col("avg_gap").cast("bigint").alias("avg_gap_days"))
-    )
+def recurrence_gap(conditions: DataFrame, k: int | None = 10) -> DataFrame:
+    """The k concepts with the longest average gap between end and recurrence (None: all)."""
+    gaps = pairs.recurrence_gaps(conditions, "uuid", "medical_concepts", "condition_record_date", "date_of_abetment")
+    if k is not None:
+        gaps = gaps.orderBy(F.desc("avg_gap"), "medical_concepts").limit(k)
+    return gaps.select("medical_concepts", F.col("avg_gap").cast("bigint").alias("avg_gap_days"))
 
 
 def age_based_burden(conditions: DataFrame, patients: DataFrame) -> DataFrame:

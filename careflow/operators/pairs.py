@@ -101,16 +101,15 @@ def _mask(w: int) -> str:
     )
 
 
-def transitions(df: DataFrame, owner: str, item: str, date: str, k: int = 50, horizon: int = 365) -> DataFrame:
-    """The k most frequent transitions a -> b with their share of all transitions out of a."""
+def transitions(df: DataFrame, owner: str, item: str, date: str, k: int | None = 50, horizon: int = 365) -> DataFrame:
+    """The k most frequent transitions a -> b (None: all) with their share of all transitions out of a."""
     out_of_a = Window.partitionBy("item_a")  # over the aggregated pairs
-    return (
+    rows = (
         transition_counts(df, owner, item, date, horizon)
         .withColumn("total_from_a", F.sum("transitions").over(out_of_a))
         .withColumn("probability", F.round(ratio(F.col("transitions"), F.col("total_from_a")), 2))
-        .orderBy(F.desc("transitions"), "item_a", "item_b")
-        .limit(k)
     )
+    return rows if k is None else rows.orderBy(F.desc("transitions"), "item_a", "item_b").limit(k)
 
 
 def recurrence_gaps(df: DataFrame, owner: str, item: str, start: str, end: str) -> DataFrame:

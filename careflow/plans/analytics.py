@@ -11,6 +11,7 @@ from careflow.operators import conditions as co
 from careflow.operators import encounters as en
 from careflow.operators import patients as pa
 from careflow.schemas import Tables
+from careflow.plans.etl import require_utc
 from careflow.sources.store import write_metrics
 
 KPIS, METRICS, ADVANCED = "Kpis", "Metrics", "Advanced_metrics"
@@ -107,6 +108,7 @@ FAMILIES = {
 
 def run_analytics(t: Tables, store: str, as_of: dt.date, updated_at: dt.datetime) -> None:
     """Compute every result of every entity and replace its documents in the store."""
+    require_utc(t.patients.sparkSession)
     for entity, results in FAMILIES.items():
         for metric_type, tables in results(t, as_of).items():
             write_metrics(tables, store, entity, metric_type, updated_at)

@@ -1,9 +1,11 @@
-"""Load run: entity files -> cleaned, referentially intact, upserted tables."""
+"""Load run: entity files -> cleaned, referentially intact, upserted tables and the rows that were refused."""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,34 +16,81 @@ from careflow.sources import files, store
 LOADED = ["patients", "conditions", "encounters", "allergies"]  # parents before children
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Dates of timestamps are those of UTC in every table and metric; another session time zone would shift them."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC, not {zone}")
+
+
+def split_rejects(clean: DataFrame, entity: str, tables: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, refused rows with the broken ``rule``): a NULL in a mandatory column, or a parent that is not in ``tables``.
+
+    Of several broken rules the first counts, in the order of the contract. References to tables that are not given are not checked.
+    """
+    rules = quality.RULES[entity]
+    missing = [F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in rules.not_null if c in clean.columns]
+    rule = F.coalesce(*missing, F.lit(None).cast("string"))
+    kept, refused = clean.where(rule.isNull()), clean.where(rule.isNotNull()).withColumn("rule", rule)
+    for column, (table, key) in rules.references.items():
+        if table in tables:
+            known = tables[table].select(F.col(key).alias(column))
+            orphans = cleaning.membership(kept, known, column, "left_anti")
+            refused = refused.unionByName(orphans.withColumn("rule", F.lit(f"reference:{column}")))
+            kept = cleaning.membership(kept, known, column, "left_semi")
+    return kept, refused
+
+
 def load_entity(
     spark: SparkSession, entity: str, csv_path: str, table_path: str, as_of: dt.date, loaded_at: dt.datetime,
-    parents: DataFrame | None = None, header: bool = False,
+    tables: Mapping[str, DataFrame] | None = None, header: bool = False,
 ) -> DataFrame:
-    """Read, clean, keep rows with a known parent, upsert; returns the quality report."""
+    """Read, clean, refuse what breaks the contract, upsert the rest; returns the quality report.
+
+    The file is parsed and cleaned once: the cleaned batch is checkpointed in the shared folder for the report, the refused rows and the upsert. The
+    report counts the violations of each rule, and under the rule ``rejected`` the refused rows by what they broke.
+    """
     raw = files.read_entity(spark, csv_path, entity, header)
     clean = cleaning.cleaner(entity, as_of, loaded_at)(raw)
     if "created_at" not in clean.columns:
         clean = clean.withColumn("created_at", F.lit(loaded_at).cast("timestamp"))
-    report = quality.validate(clean, entity, tables=None if parents is None else {"patients": parents})
-    kept = clean if parents is None else cleaning.keep_known_parents(clean, parents)
+    store.shared_dir(spark)
+    clean = clean.checkpoint()
+    kept, refused = split_rejects(clean, entity, tables or {})
+    refused = refused.withColumn("rejected_at", F.lit(loaded_at).cast("timestamp")).checkpoint()
+    refused.write.mode("append").parquet(rejects_path(table_path))
     store.upsert(spark, table_path, kept, KEYS[entity], "created_at")
-    return report
+    by_rule = refused.groupBy("rule").agg(F.count(F.lit(1)).alias("violations")).select(
+        F.lit(entity).alias("entity"), F.lit("rejected").alias("rule"), F.col("rule").alias("column"), "violations"
+    )
+    return quality.validate(clean, entity, tables=tables).unionByName(by_rule)
+
+
+def rejects_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}_rejects"
+
+
+def rejects(spark: SparkSession, tables_dir: str, entity: str) -> DataFrame | None:
+    """The rows that loads have refused, with ``rule`` and ``rejected_at``; None before the first load."""
+    try:
+        return spark.read.parquet(rejects_path(f"{tables_dir}/{entity}"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def run_load(
     spark: SparkSession, csv_dir: str, tables_dir: str, as_of: dt.date, loaded_at: dt.datetime, header: bool = False
 ) -> DataFrame:
-    """All entities in order; returns the combined quality report."""
-    reports = []
-    parents: DataFrame | None = None
+    """All entities in order, each checked against the tables loaded before it; returns the combined quality report."""
+    require_utc(spark)
+    reports: list[DataFrame] = []
+    tables: dict[str, DataFrame] = {}
     for entity in LOADED:
         path = f"{tables_dir}/{entity}"
-        reports.append(
-            load_entity(spark, entity, f"{csv_dir}/{entity}.csv", path, as_of, loaded_at, parents, header)
-        )
-        if entity == "patients":
-            parents = store.read_store(spark, path).select("uuid")
+        reports.append(load_entity(spark, entity, f"{csv_dir}/{entity}.csv", path, as_of, loaded_at, tables, header))
+        tables[entity] = store.read_store(spark, path)
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)

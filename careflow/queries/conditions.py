@@ -89,6 +89,7 @@ INCIDENCE_SQL = """top AS (
            strftime(make_date(2000, month(condition_record_date), 1), '%b') AS month, count(*) AS count
     FROM conditions WHERE medical_concepts IN (SELECT medical_concepts FROM top)
     GROUP BY medical_concepts, month(condition_record_date))"""
+ALL_INCIDENCE_SQL = INCIDENCE_SQL.replace("SELECT medical_concepts FROM conditions GROUP BY medical_concepts ORDER BY count(*) DESC, medical_concepts LIMIT 15", "SELECT DISTINCT medical_concepts FROM conditions")
 
 
 @query("c16_incidence_velocity", with_views(["conditions"], "SELECT * FROM incidence", INCIDENCE_SQL))
@@ -117,6 +118,7 @@ TRANSITIONS_SQL = """days AS (SELECT DISTINCT uuid, medical_concepts, condition_
     SELECT item_a, item_b, transitions, CAST(sum(transitions) OVER (PARTITION BY item_a) AS BIGINT) AS total_from_a,
            round(transitions::DOUBLE / sum(transitions) OVER (PARTITION BY item_a), 2) AS probability
     FROM counted ORDER BY transitions DESC, item_a, item_b LIMIT 50)"""
+ALL_TRANSITIONS_SQL = TRANSITIONS_SQL.replace(" ORDER BY transitions DESC, item_a, item_b LIMIT 50", "")
 
 
 @query("c18_disease_transition_patterns", with_views(["conditions"], "SELECT * FROM transitions", TRANSITIONS_SQL))
@@ -124,7 +126,7 @@ def c18_disease_transition_patterns(spark, sf_dir):
     return co.disease_transitions(conditions(spark, sf_dir))
 
 
-def _gap_sql(order: str, k: int) -> str:
+def gap_sql(order: str, k: int) -> str:
     return with_views(["conditions"], f"""
 SELECT medical_concepts, CAST(trunc(avg(gap)) AS BIGINT) AS avg_gap_days
 FROM (SELECT medical_concepts, condition_record_date - lag(date_of_abetment) OVER (
@@ -133,7 +135,7 @@ FROM (SELECT medical_concepts, condition_record_date - lag(date_of_abetment) OVE
 WHERE gap > 0 GROUP BY medical_concepts ORDER BY {order}, medical_concepts LIMIT {k}""")
 
 
-@query("c19_average_condition_recurrence_gap", _gap_sql("avg(gap) DESC", 10))
+@query("c19_average_condition_recurrence_gap", gap_sql("avg(gap) DESC", 10))
 def c19_average_condition_recurrence_gap(spark, sf_dir):
     return co.recurrence_gap(conditions(spark, sf_dir))
 

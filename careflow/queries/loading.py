@@ -10,6 +10,7 @@ from careflow.plans import proxy
 from careflow.plans.proxy import AS_OF, source, with_views
 from careflow.queries import encounters as qe
 from careflow.queries.registry import query
+from careflow.schemas import CSV_COLUMNS
 from careflow.sources import files, store
 
 LOADED_AT = dt.datetime(2001, 6, 30, 12, 0, 0)
@@ -149,6 +150,13 @@ def t4_salutation(spark, sf_dir):
     return proxy.patients(spark, sf_dir).select("uuid", cl.salutation(F.col("gender")).alias("salutation"))
 
 
+def _text_rows(df, entity: str):
+    """Rows as the text columns of an entity's file: those that ``df`` lacks are empty."""
+    return df.select(*[
+        (F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string")).alias(f"c{i}") for i, c in enumerate(CSV_COLUMNS[entity])
+    ])
+
+
 @query("t5_default_fill", """
 SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'Unknown' END AS marital_status, TIMESTAMP '2001-06-30 12:00:00' AS created_at FROM customer""")
 def t5_default_fill(spark, sf_dir):
@@ -157,6 +165,73 @@ def t5_default_fill(spark, sf_dir):
     return df.fillna({"marital_status": cl.PATIENT_DEFAULTS["marital_status"]}).withColumn("created_at", F.lit(LOADED_AT).cast("timestamp_ntz"))
 
 
+@query("t5_clean_patients", """
+SELECT CAST(c_custkey AS VARCHAR) AS uuid, DATE '1950-01-01' + CAST(c_custkey % 9000 AS INTEGER) AS birth_date,
+       CASE WHEN c_custkey % 5 = 0 THEN DATE '2000-02-29' END AS death_date, 'S' || CAST(c_custkey AS VARCHAR) AS social_security_number,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Mr.' ELSE 'Ms.' END AS salutation, regexp_replace(c_name, '[0-9]+$', '') AS first_name,
+       'Doe' AS last_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'Unknown' END AS marital_status,
+       CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS gender, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postal_code,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey * 1000 END AS family_income, TIMESTAMP '2001-06-30 12:00:00' AS created_at
+FROM customer""")
+def t5_clean_patients(spark, sf_dir):
+    """The whole cleaner over customers written as the text of a patients file."""
+    key = F.col("c_custkey")
+    raw = source(spark, sf_dir, "customer").select(
+        key.alias("uuid"), F.date_add(F.lit("1950-01-01").cast("date"), (key % 9000).cast("int")).alias("birth_date"),
+        F.when(key % 5 == 0, "2000-02-29").when(key % 5 == 1, "never").alias("death_date"), F.concat(F.lit("S"), key.cast("string")).alias("social_security_number"),
+        F.col("c_name").alias("first_name"), F.lit("Doe77").alias("last_name"), F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")).alias("marital_status"),
+        F.when(key % 2 == 0, "M").otherwise("F").alias("gender"), F.col("c_nationkey").alias("postal_code"),
+        F.when(key % 3 == 0, "much").otherwise((key * 1000).cast("string")).alias("family_income"),
+    )
+    clean = cl.clean_patients(_text_rows(raw, "patients"), LOADED_AT)
+    return clean.select(
+        "uuid", "birth_date", "death_date", "social_security_number", "salutation", "first_name", "last_name", "marital_status", "gender",
+        "postal_code", F.col("family_income").cast("bigint").alias("family_income"), F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@query("t9_clean_encounters", """
+SELECT CAST(o_orderkey AS VARCHAR) AS encounter_id, o_orderdate AS visit_start,
+       CASE WHEN o_orderstatus = 'F' THEN TIMESTAMP '2001-06-30 00:00:00' ELSE o_orderdate + INTERVAL 1 HOUR END AS visit_end,
+       CAST(o_custkey AS VARCHAR) AS uuid, o_orderpriority AS encounter_type,
+       CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS visting_total_fees, 12.5::DOUBLE AS coverage
+FROM orders""")
+def t9_clean_encounters(spark, sf_dir):
+    """Open visits end at the reference date, unreadable fees become NULL."""
+    start = F.col("o_orderdate").cast("timestamp")
+    raw = source(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("encounter_id"), F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("visit_start"),
+        F.when(F.col("o_orderstatus") != "F", F.date_format(start + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("visit_end"),
+        F.col("o_custkey").alias("uuid"), F.col("o_orderpriority").alias("encounter_type"),
+        F.when(F.col("o_orderstatus") == "O", "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("visting_total_fees"), F.lit("12.50").alias("coverage"),
+    )
+    clean = cl.clean_encounters(_text_rows(raw, "encounters"), AS_OF)
+    return clean.select(
+        "encounter_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("visit_start", "visit_end")], "uuid", "encounter_type", "visting_total_fees", "coverage"
+    )
+
+
+@query("t14_clean_allergies", """
+SELECT DATE '2000-01-01' + CAST(p_size AS INTEGER) AS allergy_detection_date, CAST(p_partkey AS VARCHAR) AS uuid,
+       p_partkey * 1000000000 AS allergy_code, p_name AS allergy_description, p_type AS allergen_nature,
+       CASE WHEN p_size % 2 = 0 THEN p_partkey ELSE -1 END AS primary_symptom_code, p_name AS primary_symptom_description,
+       CASE WHEN p_size % 3 = 0 THEN 'MILD' ELSE 'N/A' END AS primary_symptom_severity
+FROM part""")
+def t14_clean_allergies(spark, sf_dir):
+    """Names split, codes beyond 32 bits kept, sentinels filled."""
+    raw = _fsn(source(spark, sf_dir, "part")).select(
+        F.date_add(F.lit("2000-01-01").cast("date"), F.col("p_size").cast("int")).alias("allergy_detection_date"), F.col("p_partkey").alias("uuid"),
+        (F.col("p_partkey") * 1000000000).alias("allergy_code"), F.col("fsn").alias("allergy_description"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_partkey").cast("string")).otherwise("none").alias("primary_symptom_code"),
+        F.col("fsn").alias("primary_symptom_description"), F.when(F.col("p_size") % 3 == 0, "MILD").alias("primary_symptom_severity"),
+    )
+    clean = cl.clean_allergies(_text_rows(raw, "allergies"))
+    return clean.select(
+        "allergy_detection_date", "uuid", "allergy_code", "allergy_description", "allergen_nature", "primary_symptom_code",
+        "primary_symptom_description", "primary_symptom_severity",
+    )
+
+
 @query("t6_postal_code", "SELECT c_custkey, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postal_code FROM customer")
 def t6_postal_code(spark, sf_dir):
     return source(spark, sf_dir, "customer").select("c_custkey", cl.postal_code(F.col("c_nationkey")).alias("postal_code"))

@@ -96,9 +96,9 @@ def r6_state_ranking(spark, sf_dir):
 @query("r7_transition_nodes", with_views(["conditions"], """
 SELECT node, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming
 FROM (SELECT item_a AS node, transitions AS o, 0 AS i FROM transitions
-      UNION ALL SELECT item_b, 0, transitions FROM transitions) GROUP BY node""", qc.TRANSITIONS_SQL))
+      UNION ALL SELECT item_b, 0, transitions FROM transitions) GROUP BY node""", qc.ALL_TRANSITIONS_SQL))
 def r7_transition_nodes(spark, sf_dir):
-    return rs.transition_nodes(co.disease_transitions(proxy.conditions(spark, sf_dir)))
+    return rs.transition_nodes(co.disease_transitions(proxy.conditions(spark, sf_dir), k=None))
 
 
 @query("r8_top_anomalies", f"""
@@ -108,10 +108,9 @@ def r8_top_anomalies(spark, sf_dir):
     return rs.top_rows(found, 10, F.desc("anomaly_count"), "encounter_reason")
 
 
-@query("r8_shortest_recurrence_gaps", f"""
-SELECT * FROM ({ORACLES["c19_average_condition_recurrence_gap"]}) ORDER BY avg_gap_days, medical_concepts LIMIT 5""")
+@query("r8_shortest_recurrence_gaps", qc.gap_sql("avg_gap_days", 5))
 def r8_shortest_recurrence_gaps(spark, sf_dir):
-    return rs.top_rows(co.recurrence_gap(proxy.conditions(spark, sf_dir)), 5, "avg_gap_days", "medical_concepts")
+    return rs.top_rows(co.recurrence_gap(proxy.conditions(spark, sf_dir), k=None), 5, "avg_gap_days", "medical_concepts")
 
 
 @query("r8_top_pairs", with_views(["conditions"], """
@@ -121,9 +120,9 @@ def r8_top_pairs(spark, sf_dir):
 
 
 @query("r10_concept_search", with_views(["conditions"], """
-SELECT * FROM incidence WHERE contains(lower(medical_concepts), 'ring')""", qc.INCIDENCE_SQL))
+SELECT * FROM incidence WHERE contains(lower(medical_concepts), 'ring')""", qc.ALL_INCIDENCE_SQL))
 def r10_concept_search(spark, sf_dir):
-    return rs.search_concepts(co.incidence_velocity(proxy.conditions(spark, sf_dir)), "RING")
+    return rs.search_concepts(co.incidence_velocity(proxy.conditions(spark, sf_dir), k=None), "RING")
 
 
 @query("r11_executive_summary", f"""

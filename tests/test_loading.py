@@ -275,6 +275,28 @@ def test_load_and_analytics_runs(spark, tmp_path):
     assert current["total_visit_volume"] == 2
 
 
+def test_load_refuses_what_breaks_the_contract(spark, tmp_path):
+    csv, tables_dir = write_csv(tmp_path), str(tmp_path / "tables")
+    with open(f"{csv}/allergies.csv", "a") as f:
+        f.write("2020-01-01,,u1,nowhere,99,RxNorm,Dust,allergy,environment,,,,,,\n2020-01-01,,u1,e1,,RxNorm,Dust,allergy,environment,,,,,,\n")
+    report = etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)
+    refused = {tuple(r) for r in etl.rejects(spark, tables_dir, "allergies").select("rule", "allergy_code").collect()}
+    assert {("reference:encounter_id", 99), ("not_null:allergy_code", None)} <= refused
+    assert etl.stored_tables(spark, tables_dir).allergies.where("allergy_code IS NULL OR encounter_id = 'nowhere'").count() == 0
+    assert report.where("entity = 'allergies' AND rule = 'reference' AND column = 'encounter_id'").first()["violations"] >= 1
+    assert report.where("rule = 'rejected' AND column = 'reference:encounter_id'").first()["violations"] == 1
+    assert etl.rejects(spark, tables_dir, "nobody") is None
+
+
+def test_runs_want_utc(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        with pytest.raises(ValueError):
+            etl.run_load(spark, str(tmp_path), str(tmp_path), AS_OF, LOADED_AT)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_medications_and_procedures(spark):
     med = [("2020-01-01T00:00:00Z", "", "u", "p", "e", "834061", "Penicillin", "10.5", "5.25", "2", "21", "195662009000", "Sore throat"),
            ("2020-01-01T00:00:00Z", "2020-01-02T00:00:00Z", "u", "p", "e", "1", "x", "?", "", "", "", "none", "")]

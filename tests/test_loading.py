@@ -263,16 +263,18 @@ def test_metrics_store_replaces_one_key(spark, tmp_path):
 def test_load_and_analytics_runs(spark, tmp_path):
     csv, tables_dir, metrics = write_csv(tmp_path), str(tmp_path / "tables"), str(tmp_path / "metrics")
     report = etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)
-    assert report.where("rule = 'reference' AND column = 'uuid' AND violations = 1").count() == 2
+    # a patient without a birth date is refused, and with it the rows that refer to it
+    assert report.where("rule = 'rejected' AND column = 'not_null:birth_date' AND violations = 1").count() == 1
+    assert report.where("rule = 'reference' AND column = 'uuid' AND violations = 2").count() == 2
     etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)  # replaying changes nothing
     t = etl.stored_tables(spark, tables_dir)
-    assert (t.patients.count(), t.conditions.count(), t.encounters.count(), t.allergies.count()) == (3, 3, 2, 3)
+    assert (t.patients.count(), t.conditions.count(), t.encounters.count(), t.allergies.count()) == (2, 2, 1, 2)
     analytics.run_analytics(t, metrics, AS_OF, LOADED_AT)
     keys = {tuple(r) for r in store.read_metrics(spark, metrics).select("entity_name", "metric_type").distinct().collect()}
     assert keys == {(e, m) for e in etl.LOADED for m in ("Kpis", "Metrics", "Advanced_metrics")}
     kpis = store.dashboard(spark, metrics, "encounters").where("section = 'kpis'").collect()
     current = next(json.loads(d.data) for d in kpis if '"current"' in d.data)
-    assert current["total_visit_volume"] == 2
+    assert current["total_visit_volume"] == 1
 
 
 def test_load_refuses_what_breaks_the_contract(spark, tmp_path):

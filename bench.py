@@ -27,6 +27,7 @@ HEADLINE = [
     "a_kpis_by_period", "a15_cross_reactivity_risk_matrix", "a18_pollen_seasonality_acceleration",
     "g5_patient_kpis_by_state", "g7_encounter_kpis_by_state",
     "t15_known_parents", "d1_duplicate_keys",
+    "s2_keyed_upsert", "t17_clean_medications", "g6_condition_kpis_by_state", "g8_allergy_kpis_by_state", "r11_executive_summary",
 ]
 
 
@@ -52,14 +53,21 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    def jobs() -> int:
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("bench"))
+
     times: dict[str, float] = {}
+    n_jobs: dict[str, int] = {}
+    spark.sparkContext.setJobGroup("bench", "headline queries")
     for name in HEADLINE:
+        before = jobs()
         run(name)
+        n_jobs[name] = jobs() - before
         times[name] = round(min(run(name) for _ in range(reps)), 3)
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": float(sf.group(1)) if sf else None,
+        "queries": times, "jobs": n_jobs, "cores": int(cpus), "spark": spark.version, "sf": float(sf.group(1)) if sf else None,
     }))
     spark.stop()
 

@@ -55,7 +55,10 @@ def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
         F.count("allergy_code").alias("codes"),
         F.min(F.when(F.col("_coded") == 2, F.col("_on"))).alias("poly_on"),
     )
-    back = pairs.repeat_visit_days(encounters, "uuid", F.to_date("visit_start"), READMISSION_DAYS)
+    # days of allergic patients only: cut to distinct ones before the semi-join, which deals them out by patient for the window
+    days = encounters.select("uuid", F.to_date("visit_start").alias("day")).distinct()
+    days = days.join(per_patient.select("uuid"), "uuid", "left_semi")
+    back = pairs.repeat_visit_days(days, "uuid", F.col("day"), READMISSION_DAYS)
     return per_patient.join(back, "uuid", "left")
 
 

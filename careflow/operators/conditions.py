@@ -50,14 +50,18 @@ def condition_kpis(conditions: DataFrame, as_of: dt.date) -> DataFrame:
         }
 
     rows = by_period(conditions, as_of, row_measures)
+    # one aggregate serves the distinct concepts and the complexity
+    per_concept = conditions.groupBy("uuid", "medical_concepts").agg(
+        F.min(record).alias("first_on"),
+        F.expr(f"min(IF({record} IS NOT NULL AND {end} IS NOT NULL, greatest({record}, {end}), NULL)) AS cured_on"),
+        F.bool_or(is_resolved()).alias("resolved"),
+    )
     concepts = (
-        conditions.groupBy("medical_concepts").agg(F.min(record).alias("first_on"))
+        per_concept.groupBy("medical_concepts").agg(F.min("first_on").alias("first_on"))
         .transform(lambda d: by_period(d, as_of, lambda p: {"concepts": f"count_if({p.happened('first_on')})"}))
     )
     per_patient = (
-        conditions.where(is_resolved())
-        .groupBy("uuid", "medical_concepts")
-        .agg(F.expr(f"min(IF({record} IS NOT NULL, greatest({record}, {end}), NULL)) AS cured_on"))
+        per_concept.where("resolved").drop("first_on", "resolved")
         .transform(
             lambda d: by_period(
                 d, as_of,

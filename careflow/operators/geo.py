@@ -98,10 +98,11 @@ def condition_kpis_by_state(
         conditions.where(filled("medical_concepts"))
         .groupBy("uuid", "medical_concepts").agg(F.count(end).alias("resolved"))
     )
-    per_concept = attach_state(named, patients).groupBy(STATE, "medical_concepts").agg(F.lit(1).alias("one"))
+    located = attach_state(named, patients)
+    per_concept = located.groupBy(STATE, "medical_concepts").agg(F.lit(1).alias("one"))
     concepts = per_concept.groupBy(STATE).agg(F.count(F.lit(1)).alias("concepts"))
-    per_patient = named.groupBy("uuid").agg(F.count_if(F.col("resolved") > 0).alias("k")).where("k > 0")
-    complexity = attach_state(per_patient, patients).groupBy(STATE).agg(F.avg("k").alias("complexity"))
+    per_patient = located.groupBy(STATE, "uuid").agg(F.count_if(F.col("resolved") > 0).alias("k")).where("k > 0")
+    complexity = per_patient.groupBy(STATE).agg(F.avg("k").alias("complexity"))
     n = F.col("n")
     return scaffold(states, rows, concepts, complexity, values=[
         (n - F.col("resolved")).alias("current_active_burden"),
@@ -132,13 +133,12 @@ def encounter_kpis_by_state(
         "covered": F.sum(covered.cast(MONEY)),
         "recent": F.count_if(F.to_date("visit_start") >= F.date_sub(day(as_of), 30)),
     }
-    rows = _sum_by_state(encounters, patients, sums, count_patients=True)
-    per_practitioner = (
-        encounters.where(filled("practioner_id"))
-        .groupBy("uuid", "practioner_id").agg(F.count(F.lit(1)).alias("n"))
-    )
+    # one aggregate by patient and practitioner, located once, serves the sums and the load
+    located = attach_state(encounters.groupBy("uuid", "practioner_id").agg(*[c.alias(k) for k, c in sums.items()]), patients)
+    totals = [F.sum(k).alias(k) for k in sums]
+    rows = located.groupBy(STATE, "uuid").agg(*totals).groupBy(STATE).agg(*totals, F.count("uuid").alias("people"))
     load = (
-        attach_state(per_practitioner, patients)
+        located.where(filled("practioner_id"))
         .groupBy(STATE, "practioner_id").agg(F.sum("n").alias("n"))
         .groupBy(STATE).agg(F.avg("n").alias("load"))
     )
@@ -198,14 +198,9 @@ def allergy_kpis_by_state(
     ])
 
 
-def _sum_by_state(
-    child: DataFrame, patients: DataFrame, sums: dict[str, Column], count_patients: bool = False
-) -> DataFrame:
+def _sum_by_state(child: DataFrame, patients: DataFrame, sums: dict[str, Column]) -> DataFrame:
     per_patient = child.groupBy("uuid").agg(*[c.alias(n) for n, c in sums.items()])
-    totals = [F.sum(n).alias(n) for n in sums]
-    if count_patients:
-        totals.append(F.count("uuid").alias("people"))
-    return attach_state(per_patient, patients).groupBy(STATE).agg(*totals)
+    return attach_state(per_patient, patients).groupBy(STATE).agg(*[F.sum(n).alias(n) for n in sums])
 
 
 # KPI ids of each family and the alternative ids reports use for them.

@@ -63,7 +63,24 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-@query("op3_embedding_near_dedup")
+EMBEDDING_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT * FROM vectors
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reached AS (
+  SELECT vec_id, vec_id AS node FROM vectors
+  UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.node)
+SELECT r.vec_id, (SELECT count(*) FROM links l WHERE l.a = r.vec_id) AS n_links, min(node) AS component_id, r.vec_id = min(node) AS kept
+FROM reached r GROUP BY r.vec_id
+"""
+
+
+@query("op3_embedding_near_dedup", EMBEDDING_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -115,7 +132,37 @@ def span_list(found: str, base_only: bool) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-@query("op6_secret_scan")
+def secret_sql() -> str:
+    """Matches of each rule beside the pieces of text before them, whose lengths add up to places."""
+    found = []
+    for n, rule in enumerate(secret_scan.RULES):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        found.append(
+            f"SELECT doc_id, '{rule.kind}' AS kind, {n} AS kind_no, unnest(range(len(matches))) AS n, unnest(matches) AS match, unnest(parts[1:len(parts) - 1]) AS part,"
+            f" {pattern} AS pattern FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS matches, string_split_regex(text, {pattern}) AS parts FROM texts)"
+        )
+    long_enough = " AND ".join(
+        f"(kind_no <> {n} OR length(regexp_extract(match, '{rule.pattern.replace(chr(39), chr(39) * 2)}', {rule.group})) >= {rule.least})"
+        for n, rule in enumerate(secret_scan.RULES)
+    )
+    base = f"kind_no < {len(secret_scan.BASE_RULES)}"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)}),
+placed AS (SELECT *, CAST(sum(length(part) + length(match)) OVER (PARTITION BY doc_id, kind_no ORDER BY n) AS BIGINT) AS until FROM found),
+spans AS (
+  SELECT doc_id, kind, kind_no, until - length(match) AS start, kind || ':' || (until - length(match)) || ':' || until AS span
+  FROM placed WHERE {long_enough}),
+listed AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+         string_agg(span, ',' ORDER BY start, kind_no) FILTER ({base}) AS base, string_agg(span, ',' ORDER BY start, kind_no) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN listed l ON l.doc_id IS NOT DISTINCT FROM d.doc_id"""
+
+
+@query("op6_secret_scan", secret_sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new ledger, so that every text is unseen; each document is the one version of its path."""
     ledger = secret_scan.Ledger(spark, scratch_path(spark, "ledger"))

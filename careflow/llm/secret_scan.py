@@ -109,11 +109,12 @@ class Ledger:
         """
         named = stored(versions.select(*key, blob_id(F.col(content)).alias("blob")), "blobs")
         new = named.groupBy("blob").agg(F.min(F.struct(*key)).alias("first")).join(self.scanned(), "blob", "left_anti")
-        new = stored(new.select(F.col("blob").alias("_blob"), *(F.col(f"first.{c}").alias(f"_{c}") for c in key)), "new-blobs")
+        new = stored(new.select(F.col("blob").alias("_blob"), F.lit(True).alias("_new"), *(F.col(f"first.{c}").alias(f"_{c}") for c in key)), "new-blobs")
         texts = versions.select(*key, F.coalesce(F.col(content), F.lit("")).alias("content"), blob_id(F.col(content)).alias("blob"))
-        # ids alone are built into hash tables; the texts are shuffled once and never sorted
+        # ids alone are built into hash tables; the texts are shuffled once and never sorted. What is scanned takes a column of either
+        # side, so that the optimizer cannot move the scan before the join, where it would read known blobs too
         same = [F.col("blob") == F.col("_blob"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key)]
-        texts = texts.join(new.hint("shuffle_hash"), same, "left_semi").select("blob", "content")
+        texts = texts.join(new.hint("shuffle_hash"), same).select("blob", F.when(F.col("_new"), F.col("content")).alias("content"))
         find(texts, self.rules).write.mode("append").parquet(f"{self.path}/findings/rules={self.version}")
         new.select(F.col("_blob").alias("blob")).write.mode("append").parquet(f"{self.path}/scanned/rules={self.version}")
         return named

@@ -96,7 +96,11 @@ def cultural_diversity_score(patients: DataFrame) -> DataFrame:
 
 def mortality_rate(patients: DataFrame) -> DataFrame:
     """P12."""
-    return patients.agg(pct(F.count("death_date"), F.count(F.lit(1)), 2).alias("mortality_rate"))
+    return patients.agg(_mortality())
+
+
+def _mortality() -> Column:
+    return pct(F.count("death_date"), F.count(F.lit(1)), 2).alias("mortality_rate")
 
 
 def age_wealth_correlation(patients: DataFrame, as_of: dt.date) -> DataFrame:
@@ -105,10 +109,14 @@ def age_wealth_correlation(patients: DataFrame, as_of: dt.date) -> DataFrame:
     Written as covariance over deviations: the built-in ``corr`` raises for a constant column in
     ANSI mode.
     """
+    return patients.agg(_age_wealth(as_of))
+
+
+def _age_wealth(as_of: dt.date) -> Column:
     age, income = age_at_end(as_of).cast("double"), F.col("family_income").cast("double")
     x, y = F.when(income.isNotNull(), age), F.when(age.isNotNull(), income)
     r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return patients.agg(F.round(r, 3).alias("age_wealth_correlation"))
+    return F.round(r, 3).alias("age_wealth_correlation")
 
 
 def income_inequality_index(patients: DataFrame, rank_mode: str = "row") -> DataFrame:
@@ -117,15 +125,16 @@ def income_inequality_index(patients: DataFrame, rank_mode: str = "row") -> Data
 
 
 def patient_metrics(patients: DataFrame, as_of: dt.date, rank_mode: str = "row") -> DataFrame:
-    """P10-P14 as (metric, value) rows."""
+    """P10-P14 as (metric, value) rows; P12 and P13 are one scan."""
     parts = [
         economic_dependence_ratio(patients, as_of),
         cultural_diversity_score(patients),
-        mortality_rate(patients),
-        age_wealth_correlation(patients, as_of),
+        patients.agg(_mortality(), _age_wealth(as_of)),
         income_inequality_index(patients, rank_mode),
     ]
-    rows = [p.select(F.lit(p.columns[0]).alias("metric"), F.col(p.columns[0]).cast("double").alias("value")) for p in parts]
+    rows = [
+        p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in p.columns]))) for p in parts
+    ]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -73,26 +73,54 @@ def ordered_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: st
     )
 
 
-def _value_at(rank: Column, value: str) -> Column:
-    """Aggregate over ``ordered_counts``: the value at a 1-based rank."""
-    hit = (F.col("n_before") < rank) & (rank <= F.col("n_before") + F.col("n"))
-    return F.max(F.when(hit, F.col(value)))
+def _values_at(df: DataFrame, value: str, by: Sequence[str], ranks: dict[str, Column], weight: str | None = None) -> DataFrame:
+    """``by...`` and the values at 1-based ``ranks`` (name -> expression of ``n_total``) of an integral column per group.
+
+    Rows are counted per distinct value with map-side combine; with ``weight`` each row is a distinct value with its count already. The counts
+    of blocks of 2^20 neighbouring values tell the block that holds a rank, and only that block's values are put in order.
+    One task orders the blocks of a group, 2^20 of them for values within 2^40 of each other.
+    """
+    by = list(by)
+    kind = df.schema[value].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{value} is {kind.simpleString()}; ranks are kept for integers only")
+    known = df.where(F.col(value).isNotNull())
+    if weight is None:
+        known = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    leaves = known.select(*by, F.col(value).cast("bigint").alias("_v"), F.col(weight or "_n").alias("_n")).withColumn(
+        "_block", F.shiftright("_v", _BLOCK_BITS)
+    )
+
+    def before(part: list[str], order: str) -> Column:
+        return F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = leaves.groupBy(*by, "_block").agg(F.sum("_n").alias("_n"))
+    blocks = blocks.select("*", before(by, "_block").alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("n_total"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
+    hits = blocks.select(*by, "_block", "_n", "_before", F.explode(wanted).alias("_want")).where(
+        "_before < _want.rank AND _want.rank <= _before + _n"
+    )
+    hits = hits.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_block"]], "_want.name", (F.col("_want.rank") - F.col("_before")).alias("_rank"))
+    same = F.col("_block") == F.col("_of__block")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    inside = leaves.join(hits, same).withColumn("_before", before([*by, "name"], "_v"))
+    found = inside.where("_before < _rank AND _rank <= _before + _n")
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in ranks])
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
     """Exact median of an integral column per group (mean of the two middle values)."""
-    low = F.floor((F.col("n_total") + 1) / 2)
-    high = F.floor(F.col("n_total") / 2) + 1
-    middle = (_value_at(low, value) + _value_at(high, value)) / F.lit(2.0)
-    return ordered_counts(df, value, by).groupBy(*by).agg(middle.alias(name))
+    n = F.col("n_total")
+    middle = _values_at(df, value, by, {"_low": F.floor((n + 1) / 2), "_high": F.floor(n / 2) + 1})
+    return middle.select(*by, ((F.col("_low") + F.col("_high")) / F.lit(2.0)).alias(name))
 
 
 def lower_median(
     df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None, name: str = "median"
 ) -> DataFrame:
     """The lower of the two middle values per group, exact at any size."""
-    low = F.floor((F.col("n_total") + 1) / 2)
-    return ordered_counts(df, value, by, weight).groupBy(*by).agg(_value_at(low, value).alias(name))
+    return _values_at(df, value, by, {name: F.floor((F.col("n_total") + 1) / 2)}, weight)
 
 
 def gini(df: DataFrame, value: str, rank_mode: str = "row", name: str = "gini") -> DataFrame:

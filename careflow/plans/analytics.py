@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from careflow.operators import allergies as al
@@ -106,9 +107,20 @@ FAMILIES = {
 }
 
 
-def run_analytics(t: Tables, store: str, as_of: dt.date, updated_at: dt.datetime) -> None:
-    """Compute every result of every entity and replace its documents in the store."""
+def run_analytics(
+    t: Tables, store: str, as_of: dt.date, updated_at: dt.datetime, keep: StorageLevel | None = StorageLevel.DISK_ONLY
+) -> None:
+    """Compute every result of every entity and replace its documents in the store.
+
+    Results of one entity read its tables over and over, so the tables are resolved once and kept at the level ``keep`` until the run
+    ends; blocks of lost executors are computed again. With None each result reads them from the store.
+    """
     require_utc(t.patients.sparkSession)
-    for entity, results in FAMILIES.items():
-        for metric_type, tables in results(t, as_of).items():
-            write_metrics(tables, store, entity, metric_type, updated_at)
+    kept = [] if keep is None else [df.persist(keep) for df in (t.patients, t.conditions, t.encounters, t.allergies)]
+    try:
+        for entity, results in FAMILIES.items():
+            for metric_type, tables in results(t, as_of).items():
+                write_metrics(tables, store, entity, metric_type, updated_at)
+    finally:
+        for df in kept:
+            df.unpersist()

@@ -20,7 +20,9 @@ def plan_of(spark):
 def test_scan_reads_only_used_columns(plan_of):
     plan = plan_of("t15_known_parents")
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
-    assert re.search(r"SortMergeJoin \[o_custkey#\d+L, _salt#\d+\]", plan)
+    # the key list is not repeated, and the join's partitioning binds nothing after it, so a hot key may be split
+    assert re.search(r"SortMergeJoin \[o_custkey#\d+L\]", plan) and "Generate" not in plan
+    assert re.search(r"Exchange [^\n]*REBALANCE[\s\S]*SortMergeJoin", plan)
     assert re.search(r"PushedFilters: \[.*GreaterThan\(c_acctbal,0\.0\)", plan)
     plan = plan_of("e12_top_causes")
     assert "l_extendedprice" not in plan and "TakeOrderedAndProject" in plan

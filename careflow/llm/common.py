@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.sources.store import scratch_path
@@ -15,6 +18,17 @@ from careflow.sources.store import scratch_path
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session, whatever their working folder."""
+    context = spark.sparkContext
+    if context.getLocalProperty("careflow.shipped"):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="careflow-")) / "careflow"), "zip", root, "careflow")
+    context.addPyFile(archive)
+    context.setLocalProperty("careflow.shipped", "yes")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the cluster's shared folder and read again, which cuts its lineage.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.llm import bpe, mixing, secret_scan, simhash, toxicity
+from careflow.llm.common import ship_package
 from careflow.llm.queries import tokenizer_file
 from careflow.sources.store import scratch_path
 
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``; each but the last is written to the shared folder and read again."""
+    ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")

@@ -14,7 +14,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, each a minimum per node joined back to the links, until
     the links are stars around the smallest nodes; the number of rounds grows with the logarithm of the
     longest path. Links with a NULL end are no links; a link of a node to itself makes it a component.
-    Every round is stored in the shared folder. The driver sees two numbers a round.
+    The minima are dealt out anew before they are joined, so that both sides of the join are exchanges of their own and adaptive execution may split
+    the links of a node that many others are linked to. Every round is stored in the shared folder. The driver sees two numbers a round.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL")
     loops = links.select(F.col("a").alias("node")).union(links.select("b"))
@@ -36,12 +37,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("least"))
+    least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("least")).hint("rebalance")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
+    least = edges.groupBy("a").agg(F.min("b").alias("least")).hint("rebalance")
     moved = edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b"))).distinct()

@@ -1,0 +1,162 @@
+"""Near duplicates by likeness of word shingles: candidates by SimHash and by bands of min-hashes, removal by exact Jaccard."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from careflow.llm import simhash
+from careflow.llm.common import stored, unused, words
+from careflow.llm.components import connected_components
+
+WIDTH, LIKENESS = 5, 0.8
+#: Texts of likeness 0.8 agree in all min-hashes of one of the bands with probability 1 - (1 - 0.8 ** 8) ** 42 = 1 - 4.5e-4; closer ones more often.
+ROWS, BANDS = 8, 42
+#: Texts of a group that are compared with each other, and then with all its later texts, in a round.
+HEAD = 64
+MULTIPLIERS = np.random.default_rng(simhash.SEED).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct XXH64 of the ``width``-word shingles, ascending, of words as in ``simhash.fingerprint``. A text of fewer words is one shingle; without words there is none."""
+    found = words(text)
+    digest, n = xxhash.xxh64_intdigest, max(1, len(found) - width + 1)
+    hashes = (digest(b" ".join(found[i:i + width]), simhash.SEED) for i in range(n if found else 0))
+    return np.unique(np.fromiter(hashes, dtype=np.uint64, count=n if found else 0))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One number a band, made of the band's min-hashes of all ``hashes``."""
+    least = np.full(ROWS * BANDS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for s in range(0, len(hashes), 1024):
+        np.minimum(least, (MULTIPLIERS[:, None] * hashes[None, s:s + 1024]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    ids = (xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows))
+    return np.fromiter(ids, dtype=np.uint64, count=BANDS).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Likeness of two sets, each sorted and distinct; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _like_one(own: np.ndarray, others: list[np.ndarray], likeness: float) -> bool:
+    return any(
+        min(len(own), len(o)) >= likeness * max(len(own), len(o)) and jaccard(own, o) >= likeness for o in others
+    )
+
+
+def _candidate_links(texts: DataFrame) -> DataFrame:
+    """(a, b: long) links of ``texts`` (text_hash, fingerprint, bands) with the least of their band or of their component of fingerprints."""
+    keys = texts.select("text_hash", F.explode("bands").alias("key"))
+    values = texts.select(F.col("fingerprint").alias("value")).distinct()
+    sets = connected_components(simhash.near_links(values))
+    near = texts.join(sets.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "text_hash", F.coalesce("component", "fingerprint").alias("key")
+    )
+    links = None
+    for part in (keys, near):
+        least = part.groupBy("key").agg(F.min("text_hash").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n").hint("rebalance")
+        part = part.join(least, "key").where("text_hash <> least").select(F.col("text_hash").alias("a"), F.col("least").alias("b"))
+        links = part if links is None else links.union(part)
+    return stored(links.distinct(), "candidate-links")
+
+
+def _kept_of(members: DataFrame, likeness: float) -> list[DataFrame]:
+    """Tables of the text hashes that stay of ``members`` (component, place, text_hash, shingles)."""
+    first = Window.partitionBy("component").orderBy("place")
+    place = members.schema["place"].dataType.simpleString()
+    out = []
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("rank")
+        names, sets = [], []
+        for name, raw in zip(group["text_hash"], group["shingles"]):
+            own = np.frombuffer(raw, np.uint64)
+            if not _like_one(own, sets, likeness):
+                names.append(name)
+                sets.append(own)
+        return pd.DataFrame({"component": [group["component"].iloc[0]], "names": [names], "sets": [[s.tobytes() for s in sets]]})
+
+    def unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, sets = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            stays = [
+                not _like_one(np.frombuffer(own[i].as_buffer(), np.uint64), [np.frombuffer(s.as_buffer(), np.uint64) for s in sets[i]], likeness)
+                for i in range(batch.num_rows)
+            ]
+            yield batch.filter(pa.array(stays, pa.bool_())).select(range(batch.num_columns - 1))
+
+    while True:
+        head = stored(members.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HEAD), "heads")
+        chosen = stored(
+            head.select("component", "rank", "text_hash", "shingles").groupBy("component")
+            .applyInPandas(choose, "component long, names array<long>, sets array<binary>"),
+            "chosen",
+        )
+        out.append(chosen.select(F.explode("names").alias("text_hash")))
+        last = head.groupBy("component").agg(F.max("place").alias("last"), F.count("*").alias("n")).where(F.col("n") == HEAD)
+        # stored, so that both sides of the next join are exchanges of their own and adaptive execution may split a large group
+        staying = stored(last.join(chosen, "component").select("component", "last", "sets"), "staying")
+        later = members.join(staying, "component").where("place > last")
+        later = later.select("component", "place", "text_hash", "shingles", "sets")
+        members = stored(later.mapInArrow(unlike, f"component long, place {place}, text_hash long, shingles binary"), "later")
+        if members.isEmpty():
+            return out
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
+    """The rows of ``docs`` but those whose shingles have a Jaccard likeness of at least ``likeness`` with a row that stays and has a smaller id.
+
+    Shingles are distinct and of five words, told apart by 64 bits of hash. Texts that share a band of min-hashes, or whose SimHashes of five-word shingles the trie
+    join links within 4 bits, are one group of candidates. A group is gone through by ascending id (NULL last), ``HEAD`` texts a round: a text stays unless it is
+    alike to one that stays. So nothing goes without an exact comparison, and no two candidates that stay are alike. The groups hold all pairs of likeness 0.8 but
+    4.5e-4 of those at 0.8 itself. Of rows of equal text the smallest id stays, of repeated rows one. NULL, empty and blank texts are alike.
+    """
+
+    @F.pandas_udf("fingerprint long, bands array<long>")
+    def signed(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fingerprint": [simhash._fingerprint(t, WIDTH) for t in texts], "bands": [bands(shingles(t)) for t in texts]})
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+    marked = stored(
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), signed(text_col).alias("s")).select("id", "text_hash", "s.*"), "signatures"
+    )
+    texts = marked.groupBy("text_hash", "id").agg(F.count("*").alias("rows"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    texts = texts.groupBy("text_hash").agg(
+        F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "rows")).alias("first"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")
+    )
+    texts = stored(texts.select("text_hash", "first.*", "fingerprint", "bands"), "texts")
+    groups = connected_components(_candidate_links(texts.select("text_hash", "fingerprint", "bands")))
+    place = F.struct("nameless", "id", "text_hash").alias("place")
+    member = stored(texts.join(groups.withColumnRenamed("node", "text_hash"), "text_hash").select("component", "text_hash", "id", place), "members")
+    id_of, hash_of, group_of, place_of = unused(docs, "kept_id", "kept_hash", "kept_group", "kept_place")
+    key = [F.col(id_of).eqNullSafe(F.col(id_col)), F.col(hash_of) == F.xxhash64(text_col)]
+    named = member.select(F.col("id").alias(id_of), F.col("text_hash").alias(hash_of), F.col("component").alias(group_of), F.col("place").alias(place_of))
+    sets = docs.join(named, key).select(
+        F.col(group_of).alias("component"), F.col(place_of).alias("place"), F.col(hash_of).alias("text_hash"), packed(text_col).alias("shingles")
+    )
+    members = stored(sets.dropDuplicates(["text_hash"]), "shingles")
+    kept = None
+    for part in _kept_of(members, likeness):
+        kept = part if kept is None else kept.union(part)
+    gone = member.select("text_hash").join(kept, "text_hash", "left_anti")
+    stay = stored(texts.select("id", "text_hash", "rows").join(gone, "text_hash", "left_anti"), "kept")
+
+    def of(rows: str) -> DataFrame:
+        return docs.join(stay.where(rows).select(F.col("id").alias(id_of), F.col("text_hash").alias(hash_of)), key, "left_semi")
+
+    return of("rows = 1").union(of("rows > 1").dropDuplicates([id_col, text_col]))

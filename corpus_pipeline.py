@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, mixing, secret_scan, simhash, toxicity
+from careflow.llm import bpe, mixing, secret_scan, shingle_dedup, toxicity
 from careflow.llm.common import ship_package
 from careflow.llm.queries import tokenizer_file
 from careflow.sources.store import scratch_path
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """Documents but those whose five-word shingles are alike (Jaccard 0.8 or more) to those of a document that stays and has a smaller id."""
+    return shingle_dedup.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

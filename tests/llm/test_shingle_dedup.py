@@ -1,0 +1,59 @@
+"""Copies of known likeness, clean documents and large groups, against exact Jaccard."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from careflow.llm import shingle_dedup
+
+
+def brute_shingles(text):
+    found = (text or "").lower().split()
+    return {tuple(found[i:i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
+
+
+def brute_jaccard(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def pair(rng, likeness, n=900):
+    """A text of ``n`` five-word shingles and one that shares a first part with it, just as long as gives ``likeness``."""
+    same = -int(-2 * likeness * n // (1 + likeness))
+    one = [f"w{rng.getrandbits(40)}" for _ in range(n + 4)]
+    return " ".join(one), " ".join(one[:same + 4] + [f"v{rng.getrandbits(40)}" for _ in range(n - same)])
+
+
+@pytest.mark.parametrize("head", [2, 64])
+def test_copies_of_known_likeness(spark, monkeypatch, head):
+    monkeypatch.setattr(shingle_dedup, "HEAD", head)
+    rng, rows, gone = random.Random(3), [], set()
+    for n in range(120):
+        likeness = (0.8, 0.9, 0.95, 0.75)[n % 4]
+        a, b = pair(rng, likeness)
+        assert abs(brute_jaccard(a, b) - likeness) < 0.002 and (brute_jaccard(a, b) >= 0.8) == (likeness > 0.78)
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        gone |= {2 * n + 1} if likeness > 0.78 else set()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect())
+    assert got == [i for i, _ in rows if i not in gone]
+
+
+def test_groups_are_gone_through_by_id(spark, monkeypatch):
+    monkeypatch.setattr(shingle_dedup, "HEAD", 4)
+    rng, words = random.Random(5), [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(150):  # edits add up, so that many pairs stand on either side of 0.8
+        words = list(words)
+        words[rng.randrange(300)] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    rng.shuffle(rows)
+    rows += [(7, rows[0][1]), rows[1], rows[1], (None, rows[2][1]), (200, None), (201, ""), (202, " \t"), (203, "few words")]
+    stay = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if not any(brute_jaccard(t, u) >= 0.8 for _, u in stay):
+            stay.append((i, t))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingle_dedup.keep_one(table).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in stay]

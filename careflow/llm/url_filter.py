@@ -14,7 +14,7 @@ from careflow.llm.common import stored, unused
 
 #: Lengths of the n-grams of host and path, and the buckets that their hashes fall in.
 GRAMS, BUCKETS = (3, 4), 4096
-#: Fitting reads at most so many labelled rows: those with the smallest hashes.
+#: Fitting reads at most so many distinct labelled URLs: those with the smallest hashes.
 MOST_ROWS = 2048
 ROUNDS, PENALTY = 40, 1e-3
 
@@ -92,10 +92,10 @@ def margin(weights: Sequence[float], buckets: str = "features") -> Column:
 def fit(labelled: DataFrame, most: int = MOST_ROWS, rounds: int = ROUNDS, penalty: float = PENALTY) -> list[float]:
     """Weights of a logistic regression that tells ``label`` 1 from 0 on a small table of (host, path, label).
 
-    At most ``most`` rows are used, those with the smallest hashes; rows without a label are not. Spark sums the gradient by bucket, once a
+    At most ``most`` distinct rows are used, those with the smallest hashes; repeats and rows without a label are not. Spark sums the gradient by bucket, once a
     round, and the driver keeps the weights, whose number is fixed. An empty table gives zeros.
     """
-    sample = labelled.where("label IS NOT NULL").select("host", "path", F.col("label").cast("int").alias("label"))
+    sample = labelled.where("label IS NOT NULL").select("host", "path", F.col("label").cast("int").alias("label")).distinct()
     sample = sample.orderBy(F.xxhash64("host", "path"), "host", "path", "label").limit(most)
     rows = stored(features(sample).select("label", "features"), "labelled-urls")
     n = rows.count()

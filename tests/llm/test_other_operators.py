@@ -48,6 +48,14 @@ def test_url_classifier_on_held_out_urls(spark):
     assert np.mean(right) > 0.95
 
 
+def test_repeats_of_a_url_take_one_place_in_the_fit(spark):
+    rows = [(f"h{i}.{('com', 'casino')[i % 2]}", "/", i % 2) for i in range(40)]
+    once = spark.createDataFrame(rows, "host string, path string, label int")
+    order = [tuple(r) for r in once.orderBy(F.xxhash64("host", "path")).collect()]
+    often = spark.createDataFrame(rows + [order[0]] * 60, "host string, path string, label int")
+    assert np.allclose(url_filter.fit(often, most=30, rounds=3), url_filter.fit(once, most=30, rounds=3))
+
+
 # --- embeddings
 
 

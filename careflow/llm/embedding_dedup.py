@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,13 +102,16 @@ def _batch(kind: int, a=(), b=None, n=None, chunk: dict | None = None) -> pa.Rec
     )
 
 
-def _results(ids: np.ndarray, copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning links and the number of vectors that each class is linked with, for linked rows (i, j)."""
-    if not len(i):
-        return
+def _results(ids: np.ndarray, copies: np.ndarray, found: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Spanning links and the number of vectors that each class is linked with, for blocks of linked rows (i, j), which are added up one at a time."""
     node, at = np.unique(ids, return_inverse=True)
-    degree = np.bincount(at[i], copies[j], len(node)) + np.bincount(at[j], copies[i], len(node))
-    roots = merge_roots(np.arange(len(node)), at[i], at[j])
+    degree, roots = np.zeros(len(node)), np.arange(len(node))
+    for i, j in found:
+        if len(i):
+            degree += np.bincount(at[i], copies[j], len(node)) + np.bincount(at[j], copies[i], len(node))
+            roots = merge_roots(roots, at[i], at[j])
+    if not degree.any():
+        return
     linked, counted = np.flatnonzero(roots != np.arange(len(node))), np.flatnonzero(degree)
     yield _batch(0, node[linked], node[roots[linked]])
     yield _batch(1, node[counted], n=degree[counted].astype(np.int64))
@@ -183,10 +186,9 @@ def near_duplicates(
                 at = np.flatnonzero(part["dim"] == dim)  # adjacent rows, sorted by dimension first
                 unit = _unit(np.frombuffer(b"".join(part["vector"][at]), dtype=np.float64).reshape(-1, dim))
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(runs[at])) + 1, [len(at)]])
-                found = [_near(unit, own[at], part["turn"][at], i, j, threshold) for i, j in _pairs_of_runs(edges)]
-                if found:
-                    i, j = (np.concatenate(x) for x in zip(*found))
-                    yield from _results(part["class_id"][at], part["copies"][at], i, j)
+                signs_at, turn_at = own[at], part["turn"][at]
+                found = (_near(unit, signs_at, turn_at, i, j, threshold) for i, j in _pairs_of_runs(edges))
+                yield from _results(part["class_id"][at], part["copies"][at], found)
             for r in np.flatnonzero(is_open):
                 for s in range(bounds[r], bounds[r + 1], CHUNK):
                     to = min(s + CHUNK, bounds[r + 1])
@@ -212,7 +214,7 @@ def near_duplicates(
                 n = len(sides[0]) // 8
                 i, j = np.nonzero(unit[:n] @ unit[n:].T >= threshold)
                 turns = np.full(len(ids), turn)
-                yield from _results(ids, copies, *_near(unit, own.reshape(-1, tables), turns, i, j + n, threshold))
+                yield from _results(ids, copies, [_near(unit, own.reshape(-1, tables), turns, i, j + n, threshold)])
 
     found = stored(found.where("kind < 2").select("kind", "a", "b", "n").union(pairs.mapInArrow(across, FOUND).select("kind", "a", "b", "n")), "links")
     degree = found.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))

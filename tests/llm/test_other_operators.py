@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -118,6 +119,20 @@ def test_embedding_recall_and_odd_rows(spark):
     assert embedding_dedup.near_duplicates(odd.where("vec_id > 5")).count() == 0
 
 
+def test_a_piece_that_links_throughout_takes_memory_by_rows():
+    n = 3000
+    unit = np.tile([[0.6, 0.8]], (n, 1))
+    signs, turn = np.zeros((n, 1), np.int64), np.zeros(n, np.int32)
+    found = (embedding_dedup._near(unit, signs, turn, i, j, 0.98) for i, j in embedding_dedup._pairs_of_runs(np.array([0, n])))
+    tracemalloc.start()
+    links, degrees = embedding_dedup._results(np.arange(n) + 5, np.full(n, 2), found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links.num_rows == n - 1 and set(links.column("b").to_pylist()) == {5}
+    assert degrees.column("n").to_pylist() == [2 * (n - 1)] * n
+    assert peak < 20_000_000  # all 4.5 million pairs of indices are 72 MB
+
+
 # --- language model
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, toxicity, url_filter
+from careflow.llm import bpe, byte_bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, toxicity, url_filter
 from careflow.llm.common import ship_package
 from careflow.sources.store import scratch_path
 
@@ -233,3 +233,21 @@ FROM rolled r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY A
 @query("op10_chat_formatting", CHAT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def rank_file() -> str:
+    """The ranks of a byte-level BPE vocabulary: the file that RANK_FILE names, else the installed one."""
+    if path := os.environ.get("RANK_FILE"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op11_byte_level_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rank_file()
+    ids = byte_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    return byte_bpe.decode(ids, path).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

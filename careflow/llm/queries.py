@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, byte_bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, toxicity, url_filter
+from careflow.llm import bpe, byte_bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, spelling, toxicity, url_filter
 from careflow.llm.common import ship_package
 from careflow.sources.store import scratch_path
 
@@ -251,3 +251,50 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(ids, path).select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def crc_table() -> list[int]:
+    """CRC-32 of each byte, by its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+hashed AS (
+  SELECT run, xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(range(1, octet_length(encode(id || ':' || run)) + 1), lambda i: ('0x' || substr(hex(encode(id || ':' || run)), 2 * i - 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, {crc_table()}[xor(c & 255, b) + 1]))) AS h
+  FROM runs WHERE length(run) >= 6),
+counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, count(*) AS n
+  FROM hashed GROUP BY 1),
+words AS (SELECT word, n FROM counted WHERE length(word) >= 6 AND n >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1),
+reached AS (SELECT word, word AS node FROM formed UNION ALL SELECT r.word, f.form FROM reached r JOIN formed f ON f.word = r.node WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.node AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN reached r ON r.word = f.word JOIN formed l ON l.word = r.node AND l.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run in 199 loses a code point, by the hash of its document's id and itself."""
+    run = F.explode(spelling.runs(F.col("text"))).alias("run")
+    found = documents(spark, sf_dir).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), run)
+    hashed = found.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 6)
+    return spelling.group_variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, byte_bpe, chat, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, spelling, toxicity, url_filter
+from careflow.llm import bpe, byte_bpe, chat, collocations, embedding_dedup, language_model, mixing, secret_scan, simhash, sketches, spelling, toxicity, url_filter
 from careflow.llm.common import ship_package
 from careflow.sources.store import scratch_path
 
@@ -298,3 +298,32 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     words = hashed.select(F.when(F.col("h") % 199 == 0, shorter).otherwise(F.col("run")).alias("word")).where(F.length("word") >= 6)
     return spelling.group_variants(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 5"))
+
+
+COLLOCATION_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM worded GROUP BY lang),
+placed AS (SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM worded, range(1, 6) AS sizes(k) WHERE len(words) >= k),
+counted AS (SELECT lang, k, words[i:i + k - 1] AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT p.lang, p.k, p.phrase, p.f AS a, cut, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * p.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted WHERE k > 1) p
+  JOIN counted l ON l.lang = p.lang AND l.phrase = p.phrase[1:cut] JOIN counted r ON r.lang = p.lang AND r.phrase = p.phrase[cut + 1:]
+  JOIN totals t ON t.lang = p.lang),
+inside AS (
+  SELECT lang, phrase[1:k - 1] AS phrase, f FROM counted WHERE k > 1 UNION ALL SELECT lang, phrase[2:] AS phrase, f FROM counted WHERE k > 1),
+covered AS (SELECT lang, phrase, max(f) AS longer FROM inside GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts),
+kept AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, l, r, n, score FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase
+  WHERE place = 1 AND coalesce(longer, 0) < a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", COLLOCATION_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir).select("lang", "text"))

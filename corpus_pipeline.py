@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm import bpe, mixing, secret_scan, shingle_dedup, toxicity
+from careflow.llm import bpe, mixing, secret_scan, simhash, toxicity
 from careflow.llm.common import ship_package
 from careflow.llm.queries import tokenizer_file
 from careflow.sources.store import scratch_path
@@ -17,8 +17,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents but those whose five-word shingles are alike (Jaccard 0.8 or more) to those of a document that stays and has a smaller id."""
-    return shingle_dedup.keep_one(docs)
+    """One document of each group whose SimHash fingerprints (four-word shingles) are linked within 4 bits: the one with the smallest id.
+
+    NULL, empty and blank texts share the fingerprint zero and so are one group with all that differ from it in 4 bits or fewer; of
+    repeated rows one stays; an empty table gives an empty one.
+    """
+    return simhash.keep_one(docs, budget=4, width=4)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

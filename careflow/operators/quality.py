@@ -71,6 +71,12 @@ RULES: dict[str, Rules] = {
 }
 
 
+# What a column gets that a batch does not have.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "patients": {"doctorate": "No Doctorate", "marital_status": "Unknown", "family_income": 0},
+}
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row. A key with a NULL part is never a duplicate."""
     named = df
@@ -105,6 +111,16 @@ def row_violations(df: DataFrame, rules: Rules) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def unique_violations(df: DataFrame, entity: str, rules: Rules) -> DataFrame:
+    """The number of duplicated keys of each unique rule."""
+    found = None
+    for keys in rules.unique:
+        n = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
+        part = n.select(F.lit(entity).alias("entity"), F.lit("unique").alias("rule"), F.lit(",".join(keys)).alias("column"), "violations")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def validate(
     df: DataFrame, entity: str, rules: Rules | None = None, tables: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
@@ -117,9 +133,8 @@ def validate(
     parts = []
     if _row_checks(rules):
         parts.append(row_violations(df, rules))
-    for keys in rules.unique:
-        found = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(found.select(F.lit("unique").alias("rule"), F.lit(",".join(keys)).alias("column"), "violations"))
+    if rules.unique:
+        parts.append(unique_violations(df, entity, rules).drop("entity"))
     for column, (table, key) in rules.references.items():
         if tables and table in tables:
             found = missing_references(df, column, tables[table], key).agg(
@@ -132,11 +147,52 @@ def validate(
     return report.select(F.lit(entity).alias("entity"), "rule", "column", F.col("violations").cast("bigint").alias("violations"))
 
 
+def row_rules(df: DataFrame, rules: Rules, tables: Mapping[str, DataFrame] | None = None) -> list[str]:
+    """Names (``rule:column``) of the rules that each row of ``df`` is held against: those whose column and, for a reference, table are there."""
+    names = [f"{rule}:{column}" for rule, column, _ in _row_checks(rules) if column in df.columns]
+    return names + [f"reference:{column}" for column, (table, _) in rules.references.items() if table in (tables or {})]
+
+
+def with_broken_rules(df: DataFrame, rules: Rules, tables: Mapping[str, DataFrame] | None = None, name: str = "broken") -> DataFrame:
+    """``df`` with an array of all rules that a row breaks, by name in the order of the contract; empty for a sound row.
+
+    Conditions on the row itself are filled in by one projection. Each reference to a table given in ``tables`` (unique by its key) is one
+    left join with a flag, which leaves sound and broken rows in place; a key that holds a third of the rows is split by
+    adaptive execution. A NULL breaks only NOT NULL, as in SQL.
+    """
+    checks = [F.when(bad, F.lit(f"{rule}:{column}")) for rule, column, bad in _row_checks(rules) if column in df.columns]
+    marked, joined = df, False
+    for column, (table, key) in rules.references.items():
+        if table in (tables or {}):
+            flag, joined = f"_known_{column}", True
+            known = tables[table].select(F.col(key).alias(column), F.lit(True).alias(flag))
+            marked = marked.join(known, column, "left")
+            checks.append(F.when(F.col(column).isNotNull() & F.col(flag).isNull(), F.lit(f"reference:{column}")))
+    broken = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+    out = marked.select(*df.columns, broken.alias(name))
+    return out.hint("rebalance") if joined else out
+
+
+def broken_rule_counts(marked: DataFrame, entity: str, names: Sequence[str], name: str = "broken") -> DataFrame:
+    """(entity, rule, column, violations) of the row rules ``names`` from the rows of ``with_broken_rules``, by one aggregate; 0 where none is broken."""
+    wide = marked.agg(*[F.count_if(F.array_contains(name, n)).alias(f"c{i}") for i, n in enumerate(names)])
+    rows = [
+        F.struct(F.lit(n.partition(":")[0]).alias("rule"), F.lit(n.partition(":")[2]).alias("column"), F.col(f"c{i}").alias("violations"))
+        for i, n in enumerate(names)
+    ]
+    return wide.select(F.lit(entity).alias("entity"), F.inline(F.array(*rows)))
+
+
 def apply_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
     """Column defaults for NULLs."""
     return df.fillna({c: v for c, v in defaults.items() if c in df.columns})
 
 
+def add_missing_columns(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
+    """Columns that ``df`` does not have, with their defaults; a NULL that is there stays, as in an SQL INSERT."""
+    return df.withColumns({c: v if isinstance(v, Column) else F.lit(v) for c, v in defaults.items() if c not in df.columns})
+
+
 def cascade_delete(child: DataFrame, removed: DataFrame, key: str = "uuid") -> DataFrame:
     """The child rows left after their parents in ``removed`` are deleted."""
     return membership(child, removed.select(key), key, "left_anti")

@@ -33,18 +33,38 @@ def s1_csv_scan(spark, sf_dir):
     return cl.clean_conditions(files.read_entity(spark, path, "conditions"))
 
 
+@query("s1_malformed_rows", with_views(["conditions"], """
+SELECT CASE WHEN associated_semantics = 'finding' THEN 'malformed' ELSE 'read' END AS kind,
+       CASE WHEN associated_semantics = 'finding'
+            THEN concat_ws(',', condition_record_date, coalesce(CAST(date_of_abetment AS VARCHAR), ''), uuid, encounter_uuid, 'SNOMED-CT', fsn_id, medical_concepts || ', severe (finding)')
+            ELSE medical_concepts END AS text, count(*) AS rows
+FROM conditions GROUP BY ALL"""))
+def s1_malformed_rows(spark, sf_dir):
+    """The conditions as lines of text, those of findings with an unquoted comma in the concept: they have a field too many."""
+    path = store.scratch_path(spark, "conditions-lines")
+    concept = F.when(F.col("associated_semantics") == "finding", F.concat("medical_concepts", F.lit(", severe (finding)"))).otherwise(
+        F.concat("medical_concepts", F.lit(" (disorder)"))
+    )
+    fields = ["condition_record_date", F.coalesce(F.col("date_of_abetment").cast("string"), F.lit("")), "uuid", "encounter_uuid", F.lit("SNOMED-CT"), "fsn_id", concept]
+    proxy.conditions(spark, sf_dir).select(F.concat_ws(",", *fields).alias("value")).write.text(path)
+    lines = files.read_lines(spark, path, "conditions")
+    read = cl.clean_conditions(files.well_formed(lines)).select(F.lit("read").alias("kind"), F.col("medical_concepts").alias("text"))
+    both = read.unionByName(files.malformed(lines).select(F.lit("malformed").alias("kind"), F.col("line").alias("text")))
+    return both.groupBy("kind", "text").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("s2_keyed_upsert", """
 SELECT o_orderkey, o_orderstatus, round(o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END, 2) AS o_totalprice,
        CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS version
 FROM orders""")
 def s2_keyed_upsert(spark, sf_dir):
     """All orders stored, then the finished ones upserted (twice) with a new price."""
-    path = store.scratch_path(spark, "orders-store")
+    table = f"{store.scratch_database(spark, 'upserts')}.orders"
     orders = source(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice"), F.lit(1).alias("version"))
     finished = orders.where("o_orderstatus = 'F'").withColumns({"o_totalprice": F.col("o_totalprice") + 100.0, "version": F.lit(2)})
     for batch in (orders, finished, finished):
-        store.upsert(spark, path, batch, ["o_orderkey"], "version")
-    return store.read_store(spark, path).withColumn("o_totalprice", F.round("o_totalprice", 2))
+        store.upsert(spark, table, batch, ["o_orderkey"], "version")
+    return store.read_store(spark, table).withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 @query("s2_upsert_null_keys", """
@@ -53,13 +73,13 @@ SELECT k, o_custkey, CASE WHEN k IS NULL THEN NULL ELSE 2 END AS note, o_totalpr
 UNION ALL SELECT DISTINCT k, o_custkey, NULL::INTEGER, o_totalprice FROM rows WHERE k IS NULL""")
 def s2_upsert_null_keys(spark, sf_dir):
     """Rows without a key are kept apart, and merge only as whole rows; a later batch lacks a column, and a batch comes twice."""
-    path = store.scratch_path(spark, "orders-store")
+    table = f"{store.scratch_database(spark, 'upserts')}.orders"
     key = F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("k")
     orders = source(spark, sf_dir, "orders").select(key, "o_custkey", "o_totalprice", F.lit(1).alias("at"))
     noted = orders.where("k IS NOT NULL").withColumn("note", F.lit(2))
     for batch in (noted, orders.withColumn("at", F.lit(2)), orders.withColumn("at", F.lit(2))):
-        store.upsert(spark, path, batch, ["k"], "at")
-    return store.read_store(spark, path).drop("at")
+        store.upsert(spark, table, batch, ["k"], "at")
+    return store.read_store(spark, table).drop("at")
 
 
 def _stored_kpis(spark, sf_dir):
@@ -100,9 +120,9 @@ def s6_narrow_projection(spark, sf_dir):
     return files.read_table(spark, f"{sf_dir}/orders.parquet", ["o_custkey", "o_orderkey"])
 
 
-@query("s7_preview", "SELECT count(*) AS rows FROM (SELECT * FROM customer LIMIT 100)")
+@query("s7_preview", "SELECT * FROM customer ORDER BY c_custkey LIMIT 100")
 def s7_preview(spark, sf_dir):
-    return files.preview(source(spark, sf_dir, "customer"), 100).agg(F.count(F.lit(1)).alias("rows"))
+    return files.preview(source(spark, sf_dir, "customer"), 100, ["c_custkey"])
 
 
 @query("s8_missing_fees", with_views(["encounters"], """

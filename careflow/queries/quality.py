@@ -48,6 +48,34 @@ def d3_quality_report(spark, sf_dir):
     )
 
 
+@query("d_rejects", """
+SELECT o_orderkey, unnest(list_filter([
+         CASE WHEN o_totalprice < 1000 THEN 'minimum:o_totalprice' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'allowed:o_orderstatus' END,
+         CASE WHEN length(o_orderpriority) > 8 THEN 'max_length:o_orderpriority' END,
+         CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'reference:o_custkey' END], lambda x: x IS NOT NULL)) AS rule
+FROM orders""")
+def d_rejects(spark, sf_dir):
+    """All rules that each order breaks, as the load refuses rows."""
+    solvent = source(spark, sf_dir, "customer").where("c_acctbal > 0")
+    marked = qu.with_broken_rules(source(spark, sf_dir, "orders"), ORDER_RULES, {"customer": solvent})
+    return marked.select("o_orderkey", F.explode("broken").alias("rule"))
+
+
+@query("d_rejects_report", """
+SELECT 'orders' AS entity, rule, "column", violations FROM (
+  SELECT 'not_null' AS rule, 'o_orderkey' AS "column", count(*) FILTER (o_orderkey IS NULL) AS violations FROM orders
+  UNION ALL SELECT 'not_null', 'o_custkey', count(*) FILTER (o_custkey IS NULL) FROM orders
+  UNION ALL SELECT 'minimum', 'o_totalprice', count(*) FILTER (o_totalprice < 1000) FROM orders
+  UNION ALL SELECT 'allowed', 'o_orderstatus', count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) FROM orders
+  UNION ALL SELECT 'max_length', 'o_orderpriority', count(*) FILTER (length(o_orderpriority) > 8) FROM orders
+  UNION ALL SELECT 'reference', 'o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))""")
+def d_rejects_report(spark, sf_dir):
+    tables = {"customer": source(spark, sf_dir, "customer").where("c_acctbal > 0")}
+    orders = source(spark, sf_dir, "orders")
+    marked = qu.with_broken_rules(orders, ORDER_RULES, tables)
+    return qu.broken_rule_counts(marked, "orders", qu.row_rules(orders, ORDER_RULES, tables))
+
+
 @query("d4_range_check", "SELECT count(*) FILTER (c_acctbal < 0) AS violations, 'minimum' AS rule, 'c_acctbal' AS \"column\" FROM customer")
 def d4_range_check(spark, sf_dir):
     return qu.row_violations(source(spark, sf_dir, "customer"), Rules(minimum={"c_acctbal": 0}))

@@ -1,4 +1,4 @@
-"""Parquet stores published by manifests: keyed upsert of entity tables and the metrics result store."""
+"""Keyed upsert of entity tables into bucketed catalog tables, and the metrics result store."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 METRIC_KEY = ["entity_name", "metric_type"]
-#: Parts of a keyed table beyond which an upsert compacts it.
-COMPACT_AFTER = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,60 +39,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-# --- manifests: a small JSON file names the parts of a version, and is written last
-
-
-def _file_system(spark: SparkSession, path: str):
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return of, of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    of, fs = _file_system(spark, path)
-    found = fs.globStatus(of(f"{path}/_manifests/*.json")) or []
-    return sorted(f.getPath().toString() for f in found)
-
-
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    """The newest published version: {} where there is none."""
-    found = _versions(spark, path)
-    if not found:
-        return {}
-    return json.loads(spark.read.text(found[-1], wholetext=True).first()[0]) | {"version": len(found)}
-
-
-def publish(spark: SparkSession, path: str, manifest: dict) -> None:
-    """Make ``manifest``, derived from version ``manifest["version"]``, the next version.
-
-    The file appears under its name in one step and never replaces another: a writer that was overtaken gets an error.
-    """
-    of, fs = _file_system(spark, path)
-    name = f"{path}/_manifests/{manifest.get('version', 0) + 1:010d}.json"
-    draft = of(f"{path}/_manifests/.{uuid.uuid4().hex}")
-    out = fs.create(draft)
-    out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "version"}).encode()))
-    out.close()
-    if fs.exists(of(name)) or not fs.rename(draft, of(name)):
-        fs.delete(draft, False)
-        raise RuntimeError(f"another writer has published {name}")
-
-
-def _write_part(df: DataFrame, path: str) -> str:
-    name = f"part-{uuid.uuid4().hex}"
-    df.hint("rebalance").write.parquet(f"{path}/{name}")
-    return name
-
-
-def vacuum(spark: SparkSession, path: str) -> None:
-    """Delete parts that the newest version does not name; for a time when nobody reads an older one or writes."""
-    of, fs = _file_system(spark, path)
-    manifest = read_manifest(spark, path)
-    named = {*manifest.get("parts", []), *manifest.get("documents", {}).values()}
-    for found in fs.globStatus(of(f"{path}/part-*")) or []:
-        if found.getPath().getName() not in named:
-            fs.delete(found.getPath(), True)
-
-
 # --- keyed tables
 
 
@@ -119,56 +65,113 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFra
     return named.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_same")
 
 
-def upsert(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], order_col: str, compact_after: int = COMPACT_AFTER
-) -> None:
-    """Add a batch to a keyed table; readers see the newest row of each key.
+def create_database(spark: SparkSession, name: str, path: str) -> str:
+    """A catalog database whose tables lie below ``path``; returns its name."""
+    escaped = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{escaped}'")
+    return name
+
+
+def scratch_database(spark: SparkSession, name: str) -> str:
+    """A new database below the shared folder."""
+    return create_database(spark, f"{name}_{uuid.uuid4().hex}", scratch_path(spark, name))
+
+
+def describe(spark: SparkSession, table: str) -> dict:
+    """What the catalog has of a table: location, bucket columns and number, properties."""
+    return json.loads(spark.sql(f"DESCRIBE TABLE EXTENDED {table} AS JSON").first()[0])
+
+
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
+
 
-    The batch, cut to one row per key, becomes a new part, and the manifest that names it is published last: a write that stops half-way changes
-    nothing and can be repeated, as can a whole batch. Stored rows are not read or rewritten, until ``compact_after`` parts
-    have gathered. Keys and order column are kept with the table; other ones are refused. Columns may come and go: an upserted row keeps the
-    stored values of columns that its batch lacks.
+def _fields(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def _version(location: str) -> int:
+    return int(re.search(r"__v(\d+)_\w+/*$", location)[1])
+
+
+def merged(stored: DataFrame, newest: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """``stored`` and ``newest``, each with one row per key, as one table with the newest row of each key; of equal ones that of ``newest``.
+
+    A row keeps the values of columns that the other side lacks. Rows whose key has a NULL part are never joined, but kept once each.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    old = stored.where(whole).select(*[F.col(c).alias(f"_old_{c}") for c in stored.columns], F.lit(True).alias("_is_old"))
+    new = newest.where(whole).select(*[F.col(c).alias(f"_new_{c}") for c in newest.columns], F.lit(True).alias("_is_new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"_old_{k}") == F.col(f"_new_{k}"))
+    is_newer = F.col("_is_old").isNull() | F.coalesce(F.col(f"_new_{order_col}") >= F.col(f"_old_{order_col}"), F.col(f"_old_{order_col}").isNull())
+    takes_new = F.col("_is_new").isNotNull() & is_newer
+
+    def value(c: str) -> Column:
+        if c not in newest.columns:
+            return F.col(f"_old_{c}").alias(c)
+        if c not in stored.columns:
+            return F.col(f"_new_{c}").alias(c)
+        return F.when(takes_new, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(c)
+
+    columns = list(dict.fromkeys([*stored.columns, *newest.columns]))
+    rows = old.join(new, same, "full_outer").select(*map(value, columns))
+    partial = stored.where(~whole).unionByName(newest.where(~whole), allowMissingColumns=True).select(*columns)
+    return rows.unionByName(latest_by_key(partial, keys, order_col))
+
+
+def upsert(spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str], order_col: str, buckets: int | None = None) -> None:
+    """Add a batch to a keyed catalog table; of each key the row with the greatest ``order_col`` stays, of equal ones the batch's.
+
+    ``table`` (``database.name``) is bucketed and sorted by its keys, in ``buckets`` (by default the number of shuffle
+    partitions) when it is made. Only the batch is shuffled, to these buckets, and joined to the stored rows where
+    they lie. The result is written as a bucketed table of its own and published by pointing ``table`` to it, so that a write that
+    stops half-way changes nothing and can be repeated, as can a whole batch. The version before stays for those
+    who read it until the next upsert. One writer at a time. Columns may come and go: an upserted row keeps the stored values of columns that its batch
+    lacks. Keys and order column are kept with the table; other ones are refused.
     """
-    manifest = read_manifest(spark, path)
-    contract = {"keys": list(keys), "order": order_col}
-    if manifest and {k: manifest[k] for k in contract} != contract:
-        raise ValueError(f"{path} is keyed by {manifest['keys']} and ordered by {manifest['order']}, not {contract}")
-    part = _write_part(latest_by_key(batch, keys, order_col), path)
-    manifest = {"version": 0, "parts": []} | manifest | contract
-    publish(spark, path, manifest | {"parts": [*manifest["parts"], part]})
-    if len(manifest["parts"]) >= compact_after:
-        compact(spark, path)
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each key: by the order column, and of equal ones the one added last."""
-    manifest = read_manifest(spark, path)
-    parts = [spark.read.parquet(f"{path}/{p}") for p in manifest["parts"]]
-    if len(parts) == 1:
-        return parts[0]
-    keys, order_col = manifest["keys"], manifest["order"]
-    columns = list(dict.fromkeys(c for p in parts for c in p.columns))
-    patchy = [c for c in columns if not all(c in p.columns for p in parts)]
-    rows = None
-    for n, part in enumerate(parts):
-        # a value wrapped in a struct tells a stored NULL from a column that the part lacks
-        part = part.withColumns({"_part": F.lit(n), **{c: F.struct(F.col(c).alias("v")) for c in patchy if c in part.columns}})
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    newest = [F.desc(order_col), F.desc("_part")]
-    same = Window.partitionBy(*keys, "_same")
-    rows = rows.withColumn("_same", _identity(rows, keys, order_col))
-    older = same.orderBy(*newest).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = {c: F.first(c, ignorenulls=True).over(older)["v"] for c in patchy}
-    ranked = rows.select("*", F.row_number().over(same.orderBy(*newest)).alias("_rank"), *(v.alias(f"_new_{c}") for c, v in filled.items()))
-    kept = ranked.where("_rank = 1").withColumns({c: F.col(f"_new_{c}") for c in patchy})
-    return kept.select(*columns)
-
-
-def compact(spark: SparkSession, path: str) -> None:
-    """Rewrite the newest rows as one part. Older parts stay until ``vacuum``."""
-    manifest = read_manifest(spark, path)
-    if len(manifest.get("parts", [])) > 1:
-        publish(spark, path, manifest | {"parts": [_write_part(read_store(spark, path), path)]})
+    newest = latest_by_key(batch, keys, order_col)
+    database, _, name = table.rpartition(".")
+    exists = spark.catalog.tableExists(table)
+    if exists:
+        known = describe(spark, table)
+        contract = sorted(known["bucket_columns"]), known["table_properties"]["order_by"]
+        if contract != (sorted(keys), order_col):
+            raise ValueError(f"{table} is keyed by {contract[0]} and ordered by {contract[1]}, not {list(keys)} and {order_col}")
+        keys, n, version = known["bucket_columns"], known["num_buckets"], _version(known["location"])
+        rows = merged(spark.table(table), newest.repartition(n, *keys), keys, order_col)
+    else:
+        n, version = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+        rows = newest.repartition(n, *keys)
+    following = f"{table}__v{version + 1}_{uuid.uuid4().hex[:8]}"
+    rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).saveAsTable(following)
+    location = describe(spark, following)["location"].replace("'", "\\'")
+    if exists:
+        added = [f for f in rows.schema if f.name not in spark.table(table).columns]
+        if added:
+            spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({_fields(T.StructType(added))})")
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
+    else:
+        spark.sql(
+            f"CREATE TABLE {table} ({_fields(rows.schema)}) USING parquet CLUSTERED BY ({_names(keys)}) SORTED BY ({_names(keys)})"
+            f" INTO {n} BUCKETS LOCATION '{location}' TBLPROPERTIES ('order_by' = '{order_col}')"
+        )
+    for old in spark.catalog.listTables(database or None, f"{name}__v*"):
+        if _version(old.name) < version:
+            spark.sql(f"DROP TABLE {database + '.' if database else ''}{old.name}")
+
+
+def read_store(spark: SparkSession, table: str) -> DataFrame:
+    """The newest row of each key. Joins and sums by the table's keys need no shuffle of it."""
+    return spark.table(table)
+
+
+def read_keys(spark: SparkSession, table: str, *columns: str) -> DataFrame:
+    """Columns of a table without its buckets: for joins with rows that may be skewed, which only a shuffle on both sides can split."""
+    return spark.read.schema(spark.table(table).schema).parquet(describe(spark, table)["location"]).select(*columns)
 
 
 # --- metrics store
@@ -192,25 +195,29 @@ def write_metrics(
 ) -> None:
     """S3: replace the documents of one (entity_name, metric_type), leaving all others alone.
 
-    A result without rows leaves no document. Readers see the old documents until the new ones are complete.
+    They are a partition of the store, which is overwritten as a whole once the new one is written. It always holds one marker row without a document, so that
+    results without rows leave none of the old ones.
     """
-    parts = [metric_rows(df, entity, metric_type, name, updated_at) for name, df in results.items()]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    spark = rows.sparkSession
-    part = _write_part(rows, store)
-    manifest = read_manifest(spark, store)
-    publish(spark, store, manifest | {"documents": manifest.get("documents", {}) | {json.dumps([entity, metric_type]): part}})
+    spark = next(iter(results.values())).sparkSession
+    rows = spark.createDataFrame([(None, None, updated_at, entity, metric_type)], DOCUMENT)
+    for name, df in results.items():
+        rows = rows.unionByName(metric_rows(df, entity, metric_type, name, updated_at))
+    writer = rows.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*METRIC_KEY).parquet(store)
 
 
 def read_metrics(spark: SparkSession, store: str, entity: str | None = None, metric_type: str | None = None) -> DataFrame:
-    """The documents of an entity and type, or of all; only their parts are read."""
-    parts = [
-        f"{store}/{part}" for key, part in read_manifest(spark, store).get("documents", {}).items()
-        if entity in (None, json.loads(key)[0]) and metric_type in (None, json.loads(key)[1])
-    ]
-    return spark.read.schema(DOCUMENT).parquet(*parts) if parts else spark.createDataFrame([], DOCUMENT)
+    """The documents of an entity and type, or of all; only their partitions are read. A store that is not there yet has none."""
+    try:
+        rows = spark.read.schema(DOCUMENT).parquet(store).where("metric IS NOT NULL")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], DOCUMENT)
+    for column, wanted in zip(METRIC_KEY, (entity, metric_type)):
+        if wanted is not None:
+            rows = rows.where(F.col(column) == wanted)
+    return rows
 
 
 def dashboard(spark: SparkSession, store: str, entity: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,68 +172,95 @@ def test_profiles(spark):
     assert [qu.rows_with_nulls(df, k).count() for k in (0, 1, 2)] == [1, 1, 1]
 
 
-def test_upsert_inserts_updates_and_replays(spark, tmp_path):
-    path = str(tmp_path / "t")
+@pytest.fixture()
+def table(spark, tmp_path):
+    """The name of a table in a new database."""
+    name = f"test_{uuid.uuid4().hex}"
+    yield f"{store.create_database(spark, name, str(tmp_path / 'db'))}.t"
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def test_upsert_inserts_updates_and_replays(spark, table):
     make = lambda data: spark.createDataFrame(data, "k string, v string, at int")
-    read = lambda: rows(store.read_store(spark, path).select("k", "v", "at"), "k")
-    store.upsert(spark, path, make([("a", "1", 1), ("b", "1", 1), ("b", "2", 2)]), ["k"], "at")
+    read = lambda: rows(store.read_store(spark, table).select("k", "v", "at"), "k")
+    store.upsert(spark, table, make([("a", "1", 1), ("b", "1", 1), ("b", "2", 2)]), ["k"], "at")
     assert read() == [("a", "1", 1), ("b", "2", 2)]
     batch = make([("b", "3", 3), ("c", "1", 1)])
     for _ in range(2):
-        store.upsert(spark, path, batch, ["k"], "at")
+        store.upsert(spark, table, batch, ["k"], "at")
         assert read() == [("a", "1", 1), ("b", "3", 3), ("c", "1", 1)]
-    store.upsert(spark, path, make([("c", "late", 0), ("a", "same", 1)]), ["k"], "at")
+    store.upsert(spark, table, make([("c", "late", 0), ("a", "same", 1)]), ["k"], "at")
     assert read() == [("a", "same", 1), ("b", "3", 3), ("c", "1", 1)]  # equal order: the batch wins
+    store.upsert(spark, table, make([("c", "none", None), ("d", "none", None)]), ["k"], "at")
+    store.upsert(spark, table, make([("d", "again", None)]), ["k"], "at")
+    assert read()[2:] == [("c", "1", 1), ("d", "again", None)]
+    store.upsert(spark, table, make([]), ["k"], "at")
+    assert len(read()) == 4
 
 
-def test_upsert_of_keys_with_null_parts(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_upsert_of_keys_with_null_parts(spark, table):
     batch = spark.createDataFrame([("a", None, "x", 1), ("a", None, "y", 1), ("a", None, "x", 1), (None, 1, "x", 1), ("a", 1, "x", 1)], "k string, n int, v string, at int")
     for at in (1, 2):
-        store.upsert(spark, path, batch.withColumn("at", F.lit(at)), ["k", "n"], "at")
+        store.upsert(spark, table, batch.withColumn("at", F.lit(at)), ["k", "n"], "at")
     want = [("a", None, "x", 2), ("a", None, "y", 2), ("a", 1, "x", 2), (None, 1, "x", 2)]
-    assert sorted(rows(store.read_store(spark, path)), key=str) == sorted(want, key=str)
+    assert sorted(rows(store.read_store(spark, table)), key=str) == sorted(want, key=str)
 
 
-def test_upsert_keeps_columns_that_a_batch_lacks(spark, tmp_path):
-    path = str(tmp_path / "t")
-    store.upsert(spark, path, spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "k string, at int, extra string"), ["k"], "at")
-    store.upsert(spark, path, spark.createDataFrame([("a", 2), ("c", 2)], "k string, at int"), ["k"], "at")
-    assert rows(store.read_store(spark, path).select("k", "at", "extra"), "k") == [("a", 2, "old"), ("b", 1, "old"), ("c", 2, None)]
-    store.upsert(spark, path, spark.createDataFrame([("a", 3, None)], "k string, at int, extra string"), ["k"], "at")
-    assert rows(store.read_store(spark, path).select("k", "at", "extra"), "k")[0] == ("a", 3, None)
+def test_upsert_keeps_columns_that_a_batch_lacks(spark, table):
+    store.upsert(spark, table, spark.createDataFrame([("a", 1), ("b", 1)], "k string, at int"), ["k"], "at")
+    store.upsert(spark, table, spark.createDataFrame([("a", 1, "old"), ("b", 0, "old")], "k string, at int, extra string"), ["k"], "at")
+    store.upsert(spark, table, spark.createDataFrame([("a", 2), ("c", 2)], "k string, at int"), ["k"], "at")
+    assert rows(store.read_store(spark, table).select("k", "at", "extra"), "k") == [("a", 2, "old"), ("b", 1, "old"), ("c", 2, None)]
+    store.upsert(spark, table, spark.createDataFrame([("a", 3, None)], "k string, at int, extra string"), ["k"], "at")
+    assert rows(store.read_store(spark, table).select("k", "at", "extra"), "k")[0] == ("a", 3, None)
 
 
-def test_upsert_refuses_other_keys_and_compacts(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_upsert_refuses_other_keys_and_drops_old_versions(spark, table, tmp_path):
     df = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("at"))
+    store.upsert(spark, table, df, ["k"], "at", buckets=3)
     with pytest.raises(ValueError):
-        store.upsert(spark, path, df, ["k"], "at")
-        store.upsert(spark, path, df, ["at"], "k")
+        store.upsert(spark, table, df, ["at"], "k")
     for at in range(1, 5):
-        store.upsert(spark, path, df.where(F.col("k") < "3").withColumn("at", F.lit(at)), ["k"], "at", compact_after=3)
-    assert len(store.read_manifest(spark, path)["parts"]) <= 3
-    got = store.read_store(spark, path)
+        store.upsert(spark, table, df.where(F.col("k") < "3").withColumn("at", F.lit(at)), ["k"], "at")
+    got = store.read_store(spark, table)
     assert got.count() == 200 and got.where("at = 4").count() == df.where(F.col("k") < "3").count()
-    store.vacuum(spark, path)
-    assert len(list((tmp_path / "t").glob("part-*"))) == len(store.read_manifest(spark, path)["parts"])
-    assert store.read_store(spark, path).count() == 200
+    assert store.describe(spark, table)["num_buckets"] == 3
+    assert len([p for p in (tmp_path / "db").iterdir() if p.is_dir()]) == 2  # the newest version and the one before it
 
 
-def test_upsert_that_stops_half_way_changes_nothing(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "t")
+def test_upsert_that_stops_half_way_changes_nothing(spark, table, monkeypatch):
     df = spark.createDataFrame([("a", 1)], "k string, at int")
-    store.upsert(spark, path, df, ["k"], "at")
+    store.upsert(spark, table, df, ["k"], "at")
     with monkeypatch.context() as m:
-        m.setattr(store, "publish", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        whole = store.describe
+        m.setattr(store, "describe", lambda spark, name: whole(spark, name) if name == table else (_ for _ in ()).throw(RuntimeError("stopped")))
         with pytest.raises(RuntimeError):
-            store.upsert(spark, path, df.withColumn("at", F.lit(2)), ["k"], "at")
-    assert rows(store.read_store(spark, path)) == [("a", 1)]
-    behind = store.read_manifest(spark, path)
-    store.upsert(spark, path, df.withColumn("at", F.lit(3)), ["k"], "at")
-    with pytest.raises(RuntimeError):  # another writer was first
-        store.publish(spark, path, behind)
-    assert rows(store.read_store(spark, path)) == [("a", 3)]
+            store.upsert(spark, table, df.withColumn("at", F.lit(2)), ["k"], "at")
+    assert rows(store.read_store(spark, table)) == [("a", 1)]
+    store.upsert(spark, table, df.withColumn("at", F.lit(3)), ["k"], "at")
+    assert rows(store.read_store(spark, table)) == [("a", 3)]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_rows_are_not_shuffled(spark, table):
+    """Neither to read the newest rows, nor to sum or join by key, nor to merge a batch."""
+    df = spark.range(100).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("at"), "id")
+    store.upsert(spark, table, df, ["k"], "at", buckets=5)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        stored = store.read_store(spark, table)
+        assert "Exchange" not in plan_of(stored) and "Exchange" not in plan_of(stored.groupBy("k").count())
+        merged = store.merged(stored, df.repartition(5, "k"), ["k"], "at")
+        join = plan_of(merged.where("k IS NOT NULL"))
+        old = join[join.index("SortMergeJoin"):].split("_new_")[0]
+        assert "Exchange" not in old and "Bucketed: true" in join
+        assert "Exchange" in plan_of(store.read_keys(spark, table, "k").groupBy("k").count())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_hot_key_in_a_batch(spark):
@@ -260,15 +288,22 @@ def test_metrics_store_replaces_one_key(spark, tmp_path):
     assert qu.validate(store.read_metrics(spark, path), "metrics").where("violations > 0").count() == 0
 
 
-def test_load_and_analytics_runs(spark, tmp_path):
-    csv, tables_dir, metrics = write_csv(tmp_path), str(tmp_path / "tables"), str(tmp_path / "metrics")
-    report = etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)
-    # a patient without a birth date is refused, and with it the rows that refer to it
+@pytest.fixture()
+def database(table):
+    return table.partition(".")[0]
+
+
+def test_load_and_analytics_runs(spark, tmp_path, database):
+    csv, metrics = write_csv(tmp_path), str(tmp_path / "metrics")
+    report = etl.run_load(spark, csv, database, AS_OF, LOADED_AT)
+    # a patient without a birth date is refused, and with it the rows that refer to it; so is a negative income
     assert report.where("rule = 'rejected' AND column = 'not_null:birth_date' AND violations = 1").count() == 1
+    assert report.where("rule = 'rejected' AND column = 'minimum:family_income' AND violations = 1").count() == 1
     assert report.where("rule = 'reference' AND column = 'uuid' AND violations = 2").count() == 2
-    etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)  # replaying changes nothing
-    t = etl.stored_tables(spark, tables_dir)
-    assert (t.patients.count(), t.conditions.count(), t.encounters.count(), t.allergies.count()) == (2, 2, 1, 2)
+    etl.run_load(spark, csv, database, AS_OF, LOADED_AT)  # replaying changes nothing
+    t = etl.stored_tables(spark, database)
+    assert (t.patients.count(), t.conditions.count(), t.encounters.count(), t.allergies.count()) == (1, 2, 1, 2)
+    assert etl.rejects(spark, database, "patients").count() == 2
     analytics.run_analytics(t, metrics, AS_OF, LOADED_AT)
     keys = {tuple(r) for r in store.read_metrics(spark, metrics).select("entity_name", "metric_type").distinct().collect()}
     assert keys == {(e, m) for e in etl.LOADED for m in ("Kpis", "Metrics", "Advanced_metrics")}
@@ -277,17 +312,65 @@ def test_load_and_analytics_runs(spark, tmp_path):
     assert current["total_visit_volume"] == 1
 
 
-def test_load_refuses_what_breaks_the_contract(spark, tmp_path):
-    csv, tables_dir = write_csv(tmp_path), str(tmp_path / "tables")
+def test_load_refuses_what_breaks_the_contract(spark, tmp_path, database):
+    csv = write_csv(tmp_path)
     with open(f"{csv}/allergies.csv", "a") as f:
         f.write("2020-01-01,,u1,nowhere,99,RxNorm,Dust,allergy,environment,,,,,,\n2020-01-01,,u1,e1,,RxNorm,Dust,allergy,environment,,,,,,\n")
-    report = etl.run_load(spark, csv, tables_dir, AS_OF, LOADED_AT)
-    refused = {tuple(r) for r in etl.rejects(spark, tables_dir, "allergies").select("rule", "allergy_code").collect()}
+        f.write("2020-01-01,,u1,e1,98,Other,Dust,allergy,environment,,,TERRIBLE,,,\n")
+    with open(f"{csv}/patients.csv", "a") as f:
+        f.write(",".join(patient_row("u4", social_security_number="1" * 17, gender="FF", family_income="-1")) + "\n")
+    report = etl.run_load(spark, csv, database, AS_OF, LOADED_AT)
+    refused = {tuple(r) for r in etl.rejects(spark, database, "allergies").select("rule", "allergy_code").collect()}
     assert {("reference:encounter_id", 99), ("not_null:allergy_code", None)} <= refused
-    assert etl.stored_tables(spark, tables_dir).allergies.where("allergy_code IS NULL OR encounter_id = 'nowhere'").count() == 0
+    # every broken rule is listed
+    assert {("allowed:coding_system", 98), ("allowed:primary_symptom_severity", 98)} <= refused
+    assert {("reference:uuid", 5), ("reference:encounter_id", 5), ("allowed:coding_system", 5)} <= refused
+    people = {tuple(r) for r in etl.rejects(spark, database, "patients").where("uuid = 'u4'").select("rule").collect()}
+    assert people == {("minimum:family_income",), ("max_length:social_security_number",), ("max_length:gender",)}
+    stored = etl.stored_tables(spark, database)
+    assert stored.allergies.where("allergy_code IS NULL OR encounter_id = 'nowhere' OR allergy_code IN (5, 98)").count() == 0
+    assert stored.patients.where("uuid = 'u4'").count() == 0
     assert report.where("entity = 'allergies' AND rule = 'reference' AND column = 'encounter_id'").first()["violations"] >= 1
-    assert report.where("rule = 'rejected' AND column = 'reference:encounter_id'").first()["violations"] == 1
-    assert etl.rejects(spark, tables_dir, "nobody") is None
+    assert report.where("rule = 'rejected' AND column = 'reference:encounter_id'").first()["violations"] == 2
+    assert report.where("entity = 'allergies' AND rule = 'allowed' AND column = 'coding_system'").first()["violations"] == 2
+    assert etl.rejects(spark, database, "nobody") is None
+
+
+def test_malformed_lines_are_refused(spark, tmp_path, database):
+    csv = write_csv(tmp_path)
+    with open(f"{csv}/conditions.csv", "a") as f:
+        f.write("2020-01-01,,u1,e1,SNOMED,82272006,Cold, severe (disorder)\n2020-01-01,,u1\n")
+    report = etl.run_load(spark, csv, database, AS_OF, LOADED_AT)
+    assert report.where("entity = 'conditions' AND rule = 'malformed' AND column = 'line'").first()["violations"] == 2
+    found = {r["line"] for r in etl.rejects(spark, database, "conditions").where("rule = 'malformed:line'").collect()}
+    assert found == {"2020-01-01,,u1,e1,SNOMED,82272006,Cold, severe (disorder)", "2020-01-01,,u1"}
+    assert etl.stored_tables(spark, database).conditions.where("medical_concepts = 'Cold'").count() == 0
+    # a repeated load of a mended file replaces what that load refused
+    write_csv(tmp_path)
+    etl.run_load(spark, csv, database, AS_OF, LOADED_AT)
+    assert etl.rejects(spark, database, "conditions").where("rule = 'malformed:line'").count() == 0
+
+
+def test_one_join_for_each_reference(spark, raw):
+    tables = {
+        "patients": spark.createDataFrame([("u1",), ("u2",)], "uuid string"), "encounters": spark.createDataFrame([("e1",)], "encounter_id string"),
+    }
+    clean = cl.clean_allergies(raw("allergies"))
+    marked = qu.with_broken_rules(clean, qu.RULES["allergies"], tables)
+    plan = plan_of(marked)
+    assert plan.count("Join ") == 2 and "Aggregate" not in plan
+    got = {r.allergy_code: r.broken for r in marked.collect()}
+    assert got == {7980: [], 300000000000: [], 5: ["allowed:coding_system", "allowed:primary_symptom_severity", "reference:encounter_id"]}
+    names = qu.row_rules(clean, qu.RULES["allergies"], tables)
+    counts = {(r.rule, r.column): r.violations for r in qu.broken_rule_counts(marked, "allergies", names).collect()}
+    whole = {(r.rule, r.column): r.violations for r in qu.validate(clean, "allergies", tables=tables).where("rule != 'unique'").collect()}
+    assert counts == whole
+
+
+def test_missing_columns_get_their_defaults(spark):
+    df = spark.createDataFrame([("a", None)], "uuid string, marital_status string")
+    got = one(qu.add_missing_columns(df, qu.DEFAULTS["patients"]))
+    assert got == {"uuid": "a", "marital_status": None, "doctorate": "No Doctorate", "family_income": 0}
 
 
 def test_runs_want_utc(spark, tmp_path):

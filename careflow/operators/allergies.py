@@ -43,23 +43,23 @@ def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
             F.bool_or(F.expr(IS_DRUG)).alias("_drug"),
         )
     )
-    # a NULL code sorts wherever its date falls, so count coded entries only
-    coded = F.sum(F.col("allergy_code").isNotNull().cast("int")).over(
-        Window.partitionBy("uuid").orderBy(F.col("_on").asc_nulls_last(), "allergy_code")
-    )
-    ranked = per_code.withColumn("_coded", F.when(F.col("allergy_code").isNotNull(), coded))
-    per_patient = ranked.groupBy("uuid").agg(
-        F.min("_on").alias("allergic_on"),
+    # a patient's codes and visit days meet in one aggregate: some codes and at most a calendar of days each
+    code = F.struct(F.col("_on").isNull().alias("undated"), F.col("_on").alias("on"), F.col("allergy_code").alias("code"))
+    entries = per_code.select("uuid", code.alias("entry"), "_drug_on", "_drug")
+    visits = encounters.select("uuid", F.to_date("visit_start").alias("day")).where("uuid IS NOT NULL AND day IS NOT NULL")
+    per_patient = entries.unionByName(visits, allowMissingColumns=True).groupBy("uuid").agg(
+        F.min("entry.on").alias("allergic_on"),
         F.min("_drug_on").alias("drug_on"),
         F.bool_or("_drug").alias("drug"),
-        F.count("allergy_code").alias("codes"),
-        F.min(F.when(F.col("_coded") == 2, F.col("_on"))).alias("poly_on"),
+        F.count("entry").alias("_entries"),
+        F.count("entry.code").alias("codes"),
+        F.collect_list(F.when(F.col("entry.code").isNotNull(), F.col("entry"))).alias("_coded"),
+        F.collect_set("day").alias("_days"),
+    ).where("_entries > 0")
+    second = F.try_element_at(F.array_sort("_coded"), F.lit(2))["on"]
+    return per_patient.select(
+        "uuid", "allergic_on", "drug_on", "drug", "codes", second.alias("poly_on"), pairs.first_return(F.col("_days"), READMISSION_DAYS).alias("readmitted_on")
     )
-    # days of allergic patients only: cut to distinct ones before the semi-join, which deals them out by patient for the window
-    days = encounters.select("uuid", F.to_date("visit_start").alias("day")).distinct()
-    days = days.join(per_patient.select("uuid"), "uuid", "left_semi")
-    back = pairs.repeat_visit_days(days, "uuid", F.col("day"), READMISSION_DAYS)
-    return per_patient.join(back, "uuid", "left")
 
 
 def allergy_kpis(allergies: DataFrame, patients: DataFrame, encounters: DataFrame, as_of: dt.date) -> DataFrame:

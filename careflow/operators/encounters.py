@@ -12,10 +12,7 @@ from careflow.functions.periods import Period, by_period
 from careflow.operators import statistics as st
 
 BASE, TOTAL, COVERAGE = "visiting_base_fees", "visting_total_fees", "coverage"
-
-
-def out_of_pocket() -> Column:
-    return F.col(TOTAL) - F.coalesce(F.col(COVERAGE), F.lit(0.0))
+OUT_OF_POCKET = f"({TOTAL} - coalesce({COVERAGE}, 0.0D))"
 
 
 def duration_hours() -> Column:
@@ -32,6 +29,16 @@ def exact_total(name: str) -> Column:
     return F.expr(f"CAST({name}_units AS DECIMAL(20,0)) + CAST({name}_rest AS DECIMAL(20,0)) * 0.000001BD")
 
 
+def exact_sums(**amounts: str) -> list[Column]:
+    """Aggregates from which ``exact_mean`` and ``exact_total`` of named amounts follow: whatever the order of addition, they are the same."""
+    return [F.expr(f"sum({part})").alias(f"{name}_{n}") for name, amount in amounts.items() for n, part in exact_parts(amount).items()]
+
+
+def exact_mean(name: str, count: str = "n") -> Column:
+    """The exact total of an amount over a count of rows, divided once; as double, NULL without rows."""
+    return F.try_divide(exact_total(name).cast("double"), F.col(count).cast("double"))
+
+
 def fill_missing_fees(encounters: DataFrame) -> DataFrame:
     """NULL fees become 0.0. Every metric of fees does this first, so callers need not."""
     return encounters.fillna(0.0, [c for c in (BASE, TOTAL, COVERAGE) if c in encounters.columns])
@@ -54,8 +61,8 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
             "visits": f"count_if({inside})",
             **{f"revenue_{n}": f"sum({only(e)})" for n, e in exact_parts(TOTAL).items()},
             "hours": f"avg({only(hours)})",
-            "oop": f"avg({only(f'{TOTAL} - coalesce({COVERAGE}, 0.0D)')})",
-            "base": f"avg({only(BASE)})",
+            **{f"oop_{n}": f"sum({only(e)})" for n, e in exact_parts(OUT_OF_POCKET).items()},
+            **{f"base_{n}": f"sum({only(e)})" for n, e in exact_parts(BASE).items()},
             **{f"covered_{n}": f"sum({only(e)})" for n, e in exact_parts(COVERAGE).items()},
         }
 
@@ -83,8 +90,8 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
             F.col("visits").alias("total_visit_volume"),
             money(exact_total("revenue")).alias("total_revenue_generated"),
             rounded(F.col("hours")).alias("average_encounter_duration_hours"),
-            rounded(F.col("oop")).alias("average_patient_out_of_pocket"),
-            rounded(F.col("base")).alias("average_base_fee"),
+            rounded(exact_mean("oop", "visits")).alias("average_patient_out_of_pocket"),
+            rounded(exact_mean("base", "visits")).alias("average_base_fee"),
             money(exact_total("covered")).alias("total_covered_amount"),
             F.col("patients").alias("unique_patients_seen"),
             rounded(ratio(F.col("visits"), F.col("practitioners"))).alias("average_practitioner_load"),
@@ -108,8 +115,9 @@ def top_causes(encounters: DataFrame, k: int = 10) -> DataFrame:
 
 def coverage_vs_oop_by_type(encounters: DataFrame) -> DataFrame:
     """E13."""
-    return _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(
-        rounded(F.avg(COVERAGE)).alias("avg_covered"), rounded(F.avg(out_of_pocket())).alias("avg_out_of_pocket")
+    sums = _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(F.count(F.lit(1)).alias("n"), *exact_sums(covered=COVERAGE, oop=OUT_OF_POCKET))
+    return sums.select(
+        "encounter_type", rounded(exact_mean("covered")).alias("avg_covered"), rounded(exact_mean("oop")).alias("avg_out_of_pocket")
     )
 
 
@@ -120,17 +128,17 @@ def top_practitioners(encounters: DataFrame, k: int = 10) -> DataFrame:
 
 def fee_divergence_by_type(encounters: DataFrame) -> DataFrame:
     """E15."""
-    return _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(
-        rounded(F.avg(BASE)).alias("avg_base"), rounded(F.avg(TOTAL)).alias("avg_total")
-    )
+    sums = _typed(fill_missing_fees(encounters)).groupBy("encounter_type").agg(F.count(F.lit(1)).alias("n"), *exact_sums(base=BASE, total=TOTAL))
+    return sums.select("encounter_type", rounded(exact_mean("base")).alias("avg_base"), rounded(exact_mean("total")).alias("avg_total"))
 
 
 def most_expensive_causes(encounters: DataFrame, k: int = 10) -> DataFrame:
-    """E16."""
+    """The cut is by exact means, so that no order of rows decides who is in."""
     return (
         fill_missing_fees(encounters).where(F.col("encounter_reason").isNotNull())
         .groupBy("encounter_reason")
-        .agg(rounded(F.avg(TOTAL)).alias("avg_total"))
+        .agg(F.count(F.lit(1)).alias("n"), *exact_sums(total=TOTAL))
+        .select("encounter_reason", rounded(exact_mean("total")).alias("avg_total"))
         .orderBy(F.desc("avg_total"), "encounter_reason")
         .limit(k)
     )
@@ -176,5 +184,5 @@ def readmission_timeline(encounters: DataFrame, months: int = 12) -> DataFrame:
 
 def uncovered_cost_trajectory(encounters: DataFrame, months: int = 12) -> DataFrame:
     """Average out-of-pocket cost in each of the last months."""
-    monthly = _by_month(fill_missing_fees(encounters)).groupBy("month_start").agg(rounded(F.avg(out_of_pocket())).alias("avg_out_of_pocket"))
-    return _last_months(monthly, months)
+    sums = _by_month(fill_missing_fees(encounters)).groupBy("month_start").agg(F.count(F.lit(1)).alias("n"), *exact_sums(oop=OUT_OF_POCKET))
+    return _last_months(sums.select("month_start", rounded(exact_mean("oop")).alias("avg_out_of_pocket")), months)

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.functions.columns import MONEY, ceiled, day, money, pct, ratio, rounded, trunc, years_between
+from careflow.functions.columns import ceiled, day, money, pct, ratio, rounded, trunc, years_between
 from careflow.operators import allergies as al
 from careflow.operators.conditions import CHRONIC_DAYS
-from careflow.operators.encounters import BASE, COVERAGE, TOTAL, duration_hours
+from careflow.operators.encounters import BASE, COVERAGE, TOTAL, duration_hours, exact_mean, exact_sums, exact_total
 from careflow.operators.patients import NO_DOCTORATE
 from careflow.operators.statistics import exact_median
 from careflow.schemas import US_STATES, Tables
@@ -121,35 +121,32 @@ def encounter_kpis_by_state(
 ) -> DataFrame:
     """E1-E9 per state. NULL fees count as 0, the out-of-pocket share is never negative and
     encounters without a practitioner do not enter the practitioner load."""
-    fees = F.coalesce(F.col(TOTAL), F.lit(0.0))
-    covered = F.coalesce(F.col(COVERAGE), F.lit(0.0))
+    covered = f"coalesce({COVERAGE}, 0.0D)"
     sums = {
         "n": F.count(F.lit(1)),
-        "revenue": F.sum(fees.cast(MONEY)),
         "hours": F.sum(duration_hours()),
         "timed": F.count(duration_hours()),
-        "oop": F.sum(F.greatest(F.lit(0.0), fees - covered)),
-        "base": F.sum(F.coalesce(F.col(BASE), F.lit(0.0))),
-        "covered": F.sum(covered.cast(MONEY)),
         "recent": F.count_if(F.to_date("visit_start") >= F.date_sub(day(as_of), 30)),
     }
-    # one aggregate by patient and practitioner, located once, serves the sums and the load
-    located = attach_state(encounters.groupBy("uuid", "practioner_id").agg(*[c.alias(k) for k, c in sums.items()]), patients)
-    totals = [F.sum(k).alias(k) for k in sums]
-    rows = located.groupBy(STATE, "uuid").agg(*totals).groupBy(STATE).agg(*totals, F.count("uuid").alias("people"))
-    load = (
-        located.where(filled("practioner_id"))
-        .groupBy(STATE, "practioner_id").agg(F.sum("n").alias("n"))
-        .groupBy(STATE).agg(F.avg("n").alias("load"))
+    amounts = exact_sums(
+        revenue=f"coalesce({TOTAL}, 0.0D)", oop=f"greatest(0.0D, coalesce({TOTAL}, 0.0D) - {covered})", base=f"coalesce({BASE}, 0.0D)", covered=covered,
     )
+    # the state is looked up by row, so that all sums are combined map-side to a few rows of each state and practitioner
+    located = attach_state(encounters, patients)
+    per_practitioner = located.groupBy(STATE, "practioner_id").agg(*[c.alias(k) for k, c in sums.items()], *amounts)
+    numbers = [c for c in per_practitioner.columns if c not in (STATE, "practioner_id")]
+    load = F.avg(F.when(filled("practioner_id"), F.col("n"))).alias("load")
+    rows = per_practitioner.groupBy(STATE).agg(*[F.sum(c).alias(c) for c in numbers], load)
+    seen = with_state(patients).join(encounters.select("uuid").distinct(), "uuid", "left_semi")
+    people = seen.groupBy(STATE).agg(F.count(F.lit(1)).alias("people"))
     n = F.col("n")
-    return scaffold(states, rows, load, values=[
+    return scaffold(states, rows, people, values=[
         n.alias("total_visit_volume"),
-        money(F.col("revenue")).alias("total_revenue_generated"),
+        money(exact_total("revenue")).alias("total_revenue_generated"),
         rounded(ratio(F.col("hours"), F.col("timed"))).alias("average_encounter_duration_hours"),
-        rounded(ratio(F.col("oop"), n)).alias("average_patient_out_of_pocket"),
-        rounded(ratio(F.col("base"), n)).alias("average_base_fee"),
-        money(F.col("covered")).alias("total_covered_amount"),
+        rounded(exact_mean("oop")).alias("average_patient_out_of_pocket"),
+        rounded(exact_mean("base")).alias("average_base_fee"),
+        money(exact_total("covered")).alias("total_covered_amount"),
         F.col("people").alias("unique_patients_seen"),
         rounded(F.col("load")).alias("average_practitioner_load"),
         F.col("recent").alias("encounters_30d"),

@@ -153,17 +153,21 @@ def recurrence_gaps(df: DataFrame, owner: str, item: str, start: str, end: str)
     )
 
 
+def first_return(days: Column, within: int = 30) -> Column:
+    """Of an array of distinct days, the first that lies 1..within days after the one before it; NULL if none does."""
+    start = F.struct(F.lit(None).cast("date").alias("before"), F.lit(None).cast("date").alias("found"))
+
+    def step(acc: Column, d: Column) -> Column:
+        returned = F.datediff(d, acc["before"]) <= within
+        return F.struct(d.alias("before"), F.coalesce(acc["found"], F.when(returned, d)).alias("found"))
+
+    return F.aggregate(F.array_sort(days), start, step)["found"]
+
+
 def repeat_visit_days(df: DataFrame, owner: str, date: Column, within: int = 30) -> DataFrame:
     """First day on which an owner returned 1..within days after its previous visit day.
 
-    Same-day repeats do not matter, so visits are reduced to distinct (owner, day) before the
-    window: an owner has at most a calendar of days.
+    Same-day repeats do not matter, so each task sends an owner's distinct days: at most a calendar of them.
     """
-    days = df.select(owner, date.alias("_day")).where(F.col("_day").isNotNull()).distinct()
-    prev = F.lag("_day").over(Window.partitionBy(owner).orderBy("_day"))
-    return (
-        days.withColumn("_gap", F.datediff("_day", prev))
-        .where((F.col("_gap") > 0) & (F.col("_gap") <= within))
-        .groupBy(owner)
-        .agg(F.min("_day").alias("readmitted_on"))
-    )
+    days = df.select(owner, date.alias("_day")).groupBy(owner).agg(F.collect_set("_day").alias("_days"))
+    return days.select(owner, first_return(F.col("_days"), within).alias("readmitted_on")).where("readmitted_on IS NOT NULL")

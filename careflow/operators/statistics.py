@@ -219,6 +219,9 @@ def life_table(
     return per_group.select(by, F.inline(F.aggregate("steps", seed, step)))
 
 
+COUNTED_BINS = "array<struct<bin:bigint,of:struct<n:bigint,events:bigint>>>"
+
+
 def hazard_by_bins(
     df: DataFrame,
     value: str,
@@ -249,18 +252,24 @@ def hazard_by_bins(
         .groupBy(by, F.when(v.isNotNull(), bin_of(v, F.col("width"))).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("_event").alias("events"))
     )
-    bins = F.sequence(bin_of(lo, width), F.greatest(F.floor(hi / width), bin_of(lo, width)).cast("bigint"))
-    spine = counts.select(by).distinct().select(by, F.explode(bins).alias("bin"))
-    rows = spine.join(counts, [by, "bin"], "left").union(counts.where("bin IS NULL").select(by, "bin", "n", "events"))
-    rows = rows.withColumn("width", width)
+    # the histogram of a group is one map, spread over the bins there are; no join, and the counts are taken once
+    entry = F.struct("n", "events")
+    per_group = counts.groupBy(by).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", entry.alias("of"))))).alias("_filled"),
+        F.max(F.when(F.col("bin").isNull(), entry)).alias("_unknown"),
+    ).withColumn("width", width)
+    first = bin_of(lo, F.col("width"))
+    per_group = per_group.withColumn("_bins", F.sequence(first, F.greatest(F.floor(hi / F.col("width")), first).cast("bigint")))
+    known = F.transform("_bins", lambda i: F.struct(i.alias("bin"), F.try_element_at("_filled", i).alias("of")))
+    unknown = F.when(F.col("_unknown").isNotNull(), F.array(F.struct(F.lit(None).cast("bigint").alias("bin"), F.col("_unknown").alias("of"))))
+    rows = per_group.select(by, "width", F.inline(F.concat(known, F.coalesce(unknown, F.array().cast(COUNTED_BINS)))))
+    n, events = F.coalesce("of.n", zero), F.coalesce("of.events", zero)
     return rows.select(
         by, "bin",
         F.when(F.col("bin").isNull(), "unknown").otherwise(F.concat(F.lit("Q"), F.col("bin").cast("string"))).alias("label"),
         F.when(F.col("bin") == 0, zero).otherwise(F.col("bin") * F.col("width") + 1).alias("low"),
         ((F.col("bin") + 1) * F.col("width")).alias("high"),
-        F.coalesce("n", zero).alias("n"),
-        F.coalesce("events", zero).alias("deaths"),
-        F.round(ratio(F.coalesce("events", zero), F.greatest(F.coalesce("n", zero), F.lit(1))), 3).alias("hazard"),
+        n.alias("n"), events.alias("deaths"), F.round(ratio(events, F.greatest(n, F.lit(1))), 3).alias("hazard"),
     )
 
 

@@ -44,6 +44,53 @@ def fill_missing_fees(encounters: DataFrame) -> DataFrame:
     return encounters.fillna(0.0, [c for c in (BASE, TOTAL, COVERAGE) if c in encounters.columns])
 
 
+# What each encounter adds to the sums of the KPIs, on rows with filled fees.
+AMOUNTS = {"revenue": TOTAL, "oop": OUT_OF_POCKET, "base": BASE, "covered": COVERAGE}
+ADDENDS: dict[str, str] = {
+    "visits": "1L",
+    "seconds": "coalesce(unix_timestamp(visit_end) - unix_timestamp(visit_start), 0L)",
+    "timed": "CAST(visit_end IS NOT NULL AND visit_start IS NOT NULL AS BIGINT)",
+    **{f"{name}_{n}": part for name, amount in AMOUNTS.items() for n, part in exact_parts(amount).items()},
+}
+
+
+def started(encounters: DataFrame) -> DataFrame:
+    """Encounters with filled fees and ``_started``, the first date as of which each is known."""
+    return fill_missing_fees(encounters).withColumn("_started", known_on(F.col("visit_start")))
+
+
+def seen_by_period(kind: str = "kind", key: str = "key IS NOT NULL", first_on: str = "first_on"):
+    """Measures of distinct patients and practitioners from the first date each was seen."""
+
+    def measures(p: Period) -> dict[str, str]:
+        seen = p.happened(first_on)
+        return {
+            "patients": f"count_if({seen} AND {kind} = 'patient' AND {key})",
+            "practitioners": f"count_if({seen} AND {kind} = 'practitioner')",
+        }
+
+    return measures
+
+
+def sums_by_period(date: str, addends: dict[str, str]):
+    """Measures of the sums of the KPIs over rows dated ``date``."""
+    return lambda p: {n: f"sum(IF({p.happened(date)}, {e}, NULL))" for n, e in addends.items()}
+
+
+def kpi_columns() -> list[Column]:
+    """E1-E8 from the sums and distinct counts of a period."""
+    return [
+        F.col("visits").alias("total_visit_volume"),
+        money(exact_total("revenue")).alias("total_revenue_generated"),
+        rounded(F.try_divide(F.col("seconds") / F.lit(3600.0), F.col("timed"))).alias("average_encounter_duration_hours"),
+        rounded(exact_mean("oop", "visits")).alias("average_patient_out_of_pocket"),
+        rounded(exact_mean("base", "visits")).alias("average_base_fee"),
+        money(exact_total("covered")).alias("total_covered_amount"),
+        F.col("patients").alias("unique_patients_seen"),
+        rounded(ratio(F.col("visits"), F.col("practitioners"))).alias("average_practitioner_load"),
+    ]
+
+
 def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     """The eight encounter KPIs per period.
 
@@ -51,28 +98,7 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     are reduced to the first date each was seen, from which every period follows. A NULL
     practitioner is one group in the load, as recorded.
     """
-    dated = fill_missing_fees(encounters).withColumn("_started", known_on(F.col("visit_start")))
-
-    def sums(p: Period) -> dict[str, str]:
-        inside = p.happened("_started")
-        only = lambda e: f"IF({inside}, {e}, NULL)"
-        hours = "(unix_timestamp(visit_end) - unix_timestamp(visit_start)) / 3600.0D"
-        return {
-            "visits": f"count_if({inside})",
-            **{f"revenue_{n}": f"sum({only(e)})" for n, e in exact_parts(TOTAL).items()},
-            "hours": f"avg({only(hours)})",
-            **{f"oop_{n}": f"sum({only(e)})" for n, e in exact_parts(OUT_OF_POCKET).items()},
-            **{f"base_{n}": f"sum({only(e)})" for n, e in exact_parts(BASE).items()},
-            **{f"covered_{n}": f"sum({only(e)})" for n, e in exact_parts(COVERAGE).items()},
-        }
-
-    def first_seen(p: Period) -> dict[str, str]:
-        seen = p.happened("first_on")
-        return {
-            "patients": f"count_if({seen} AND kind = 'patient' AND key IS NOT NULL)",
-            "practitioners": f"count_if({seen} AND kind = 'practitioner')",
-        }
-
+    dated = started(encounters)
     # patients and practitioners share one scan and one shuffle: (kind, key) -> first date seen
     keys = (
         "inline(array(named_struct('kind', 'patient', 'key', uuid), "
@@ -80,23 +106,10 @@ def encounter_kpis(encounters: DataFrame, as_of: dt.date) -> DataFrame:
     )
     seen = by_period(
         dated.selectExpr("_started", keys).groupBy("kind", "key").agg(F.min("_started").alias("first_on")),
-        as_of, first_seen,
-    )
-    rows = by_period(dated, as_of, sums).where(F.col("visits") > 0)
-    return (
-        rows.join(seen, "period")
-        .select(
-            "period",
-            F.col("visits").alias("total_visit_volume"),
-            money(exact_total("revenue")).alias("total_revenue_generated"),
-            rounded(F.col("hours")).alias("average_encounter_duration_hours"),
-            rounded(exact_mean("oop", "visits")).alias("average_patient_out_of_pocket"),
-            rounded(exact_mean("base", "visits")).alias("average_base_fee"),
-            money(exact_total("covered")).alias("total_covered_amount"),
-            F.col("patients").alias("unique_patients_seen"),
-            rounded(ratio(F.col("visits"), F.col("practitioners"))).alias("average_practitioner_load"),
-        )
+        as_of, seen_by_period(),
     )
+    rows = by_period(dated, as_of, sums_by_period("_started", ADDENDS)).where(F.col("visits") > 0)
+    return rows.join(seen, "period").select("period", *kpi_columns())
 
 
 def _typed(encounters: DataFrame) -> DataFrame:

@@ -45,10 +45,15 @@ def trends_by_category(trends: DataFrame, categories: Sequence[str] = ALLERGY_CA
     return dated.groupBy("year").pivot("category", names).agg(F.sum("count")).fillna(0, names)
 
 
-def severity_by_nature(matrix: DataFrame) -> DataFrame:
-    """Allergen nature -> counts per severity in fixed order, 0 filled."""
-    wide = matrix.where(F.col("allergen_nature").isNotNull()).groupBy("allergen_nature").pivot("severity", SEVERITIES).agg(F.sum("count"))
-    return wide.fillna(0, SEVERITIES)
+def severity_by_nature(matrix: DataFrame, severities: Sequence[str] = SEVERITIES) -> DataFrame:
+    """Allergen nature -> counts per severity, 0 filled.
+
+    Every severity in the data has a column, rows without one are ``unknown``, as are those without a nature; ``severities`` come first, whether they
+    occur or not.
+    """
+    named = matrix.select(F.coalesce("allergen_nature", F.lit("unknown")).alias("allergen_nature"), F.coalesce("severity", F.lit("unknown")).alias("severity"), "count")
+    names = _names(named, "severity", severities)
+    return named.groupBy("allergen_nature").pivot("severity", names).agg(F.sum("count")).fillna(0, names)
 
 
 def tidy_kpis(kpis: DataFrame) -> DataFrame:

@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from careflow.operators import encounters as en
+from careflow.plans import snapshots
 from careflow.plans.proxy import AS_OF, encounters, event_fees, with_views
 from careflow.queries.registry import query
+from careflow.sources import store
 
 KPIS_SQL = """facts AS (
     SELECT q.period, e.* FROM encounters e JOIN periods q ON q.cur OR e.visit_start <= q.ref),
@@ -25,6 +31,18 @@ def e_kpis_by_period(spark, sf_dir):
     return en.encounter_kpis(encounters(spark, sf_dir), AS_OF)
 
 
+@query("e10_incremental_snapshots", with_views(["encounters", "periods"], "SELECT * FROM encounter_kpis", KPIS_SQL))
+def e10_incremental_snapshots(spark, sf_dir):
+    """The encounters in three batches, the second of them twice: each is read once, the snapshots come from the state."""
+    table = f"{store.scratch_database(spark, 'snapshots')}.encounters"
+    rows = encounters(spark, sf_dir)
+    early, urgent = F.col("visit_start") < F.lit(dt.datetime(1998, 1, 1)), F.col("encounter_type").startswith("1")
+    batches = {"early": rows.where(early), "urgent": rows.where(~early & urgent), "other": rows.where(~(early | urgent) | (early | urgent).isNull())}
+    for name in ("early", "urgent", "urgent", "other"):
+        snapshots.add_batch(spark, table, name, batches[name])
+    return snapshots.snapshots(spark.table(table), AS_OF)
+
+
 @query("e11_encounters_by_type", with_views(["encounters"], """
 SELECT encounter_type, count(*) AS count FROM encounters GROUP BY encounter_type"""))
 def e11_encounters_by_type(spark, sf_dir):

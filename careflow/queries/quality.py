@@ -123,6 +123,23 @@ def d9_value_profile(spark, sf_dir):
     return qu.value_profile(source(spark, sf_dir, "lineitem"), "l_returnflag")
 
 
+@query("d9_sketched_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS \"distinct\" FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_linenumber")
+))
+def d9_sketched_profile(spark, sf_dir):
+    """Sketches of the lines of each year of shipment, merged."""
+    columns = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    lines = source(spark, sf_dir, "lineitem")
+    late = F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    parts = [qu.column_sketches(lines.where(part), columns) for part in (late, ~late, late.isNull())]
+    return qu.sketched_profile(qu.merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+
+
+@query("d9_frequent_values", "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1 ORDER BY count DESC, value LIMIT 10")
+def d9_frequent_values(spark, sf_dir):
+    return qu.frequent_values(source(spark, sf_dir, "orders"), "o_orderpriority", 10)
+
+
 @query("d10_complete_records", with_views(["conditions"], """
 SELECT medical_concepts, count(*) AS count FROM conditions WHERE date_of_abetment IS NOT NULL GROUP BY medical_concepts"""))
 def d10_complete_records(spark, sf_dir):

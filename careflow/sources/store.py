@@ -134,18 +134,33 @@ def upsert(spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str
     lacks. Keys and order column are kept with the table; other ones are refused.
     """
     newest = latest_by_key(batch, keys, order_col)
+    if not spark.catalog.tableExists(table):
+        replace(spark, table, newest, keys, buckets, {"order_by": order_col})
+        return
+    known = describe(spark, table)
+    contract = sorted(known["bucket_columns"]), known["table_properties"]["order_by"]
+    if contract != (sorted(keys), order_col):
+        raise ValueError(f"{table} is keyed by {contract[0]} and ordered by {contract[1]}, not {list(keys)} and {order_col}")
+    keys = known["bucket_columns"]
+    rows = merged(spark.table(table), newest.repartition(known["num_buckets"], *keys), keys, order_col)
+    replace(spark, table, rows, keys)
+
+
+def replace(
+    spark: SparkSession, table: str, rows: DataFrame, keys: Sequence[str], buckets: int | None = None, properties: dict[str, str] | None = None
+) -> None:
+    """Publish ``rows``, unique by ``keys``, as the next version of a bucketed table, or as its first; ``rows`` may be made of the version there is.
+
+    A table that is there keeps its buckets and properties, and gains columns that it lacks.
+    """
     database, _, name = table.rpartition(".")
     exists = spark.catalog.tableExists(table)
     if exists:
         known = describe(spark, table)
-        contract = sorted(known["bucket_columns"]), known["table_properties"]["order_by"]
-        if contract != (sorted(keys), order_col):
-            raise ValueError(f"{table} is keyed by {contract[0]} and ordered by {contract[1]}, not {list(keys)} and {order_col}")
-        keys, n, version = known["bucket_columns"], known["num_buckets"], _version(known["location"])
-        rows = merged(spark.table(table), newest.repartition(n, *keys), keys, order_col)
+        n, version = known["num_buckets"], _version(known["location"])
     else:
         n, version = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), 0
-        rows = newest.repartition(n, *keys)
+        rows = rows.repartition(n, *keys)
     following = f"{table}__v{version + 1}_{uuid.uuid4().hex[:8]}"
     rows.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).saveAsTable(following)
     location = describe(spark, following)["location"].replace("'", "\\'")
@@ -155,9 +170,10 @@ def upsert(spark: SparkSession, table: str, batch: DataFrame, keys: Sequence[str
             spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({_fields(T.StructType(added))})")
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}'")
     else:
+        given = ", ".join(f"'{k}' = '{v}'" for k, v in (properties or {}).items())
         spark.sql(
             f"CREATE TABLE {table} ({_fields(rows.schema)}) USING parquet CLUSTERED BY ({_names(keys)}) SORTED BY ({_names(keys)})"
-            f" INTO {n} BUCKETS LOCATION '{location}' TBLPROPERTIES ('order_by' = '{order_col}')"
+            f" INTO {n} BUCKETS LOCATION '{location}'" + (f" TBLPROPERTIES ({given})" if given else "")
         )
     for old in spark.catalog.listTables(database or None, f"{name}__v*"):
         if _version(old.name) < version:

@@ -410,3 +410,77 @@ def test_membership_with_a_hot_key_keeps_every_row(spark):
     assert kept.count() == 2001 and kept.columns == ["uuid", "v"]
     assert kept.agg(F.sum("v")).first()[0] == child.where("uuid IN ('hot', '3')").agg(F.sum("v")).first()[0]
     assert qu.cascade_delete(child, keys).count() == 999
+
+
+def test_sketches_of_a_large_and_a_small_domain(spark):
+    df = spark.range(200_000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("few"), F.when(F.col("id") < 0, 1).alias("none"))
+    columns = ["key", "few", "none"]
+    parts = qu.column_sketches(df.where("id < 120000"), columns).unionByName(qu.column_sketches(df.where("id >= 80000"), columns))  # they overlap
+    got = {r.column: r for r in qu.sketched_profile(qu.merged_sketches(parts)).collect()}
+    assert abs(got["key"].distinct - 200_000) < 200_000 * 0.05 and got["few"].distinct == 3 and got["none"].distinct == 0
+    assert got["key"].rows == 240_000 and got["none"].nulls == 240_000
+    assert qu.merged_sketches(qu.column_sketches(df.limit(0), columns)).count() == 3
+
+
+def test_frequent_values_within_their_bound(spark):
+    exact = spark.createDataFrame([("a",)] * 5 + [("b",)] * 3 + [(None,)] * 4 + [("c",)], "v string")
+    assert sorted(rows(qu.frequent_values(exact, "v", 3)), key=str) == sorted([("a", 5), ("b", 3), (None, 4)], key=str)
+    n, counters = 100_000, 512
+    df = spark.range(n).select(F.when(F.col("id") % 4 == 0, "hot").when(F.col("id") % 10 == 1, "warm").otherwise(F.col("id").cast("string")).alias("v"))
+    got = dict(rows(qu.frequent_values(df, "v", 2, counters)))
+    want = {"hot": n // 4, "warm": df.where("v = 'warm'").count()}
+    assert set(got) == set(want) and all(abs(got[v] - want[v]) <= 4 * n / counters for v in want)
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    from careflow.operators import encounters as en
+
+    values = [0.1, 1e9, -1e9, 0.2, 12345.678, 0.3] * 50
+    schema = "encounter_type string, encounter_reason string, visiting_base_fees double, visting_total_fees double, coverage double"
+    made = []
+    for order in (values, values[::-1], sorted(values)):
+        df = spark.createDataFrame([("t", "r", v, v, v / 3) for v in order], schema).repartition(3)
+        made.append([rows(f(df)) for f in (en.coverage_vs_oop_by_type, en.fee_divergence_by_type, en.most_expensive_causes)])
+    assert made[0] == made[1] == made[2]
+
+
+def test_snapshots_follow_batches(spark, table, monkeypatch):
+    from careflow.operators import encounters as en
+    from careflow.plans import snapshots
+
+    schema = "encounter_id string, visit_start timestamp, visit_end timestamp, uuid string, practioner_id string, visiting_base_fees double, visting_total_fees double, coverage double"
+    t = lambda *d: dt.datetime(*d)
+    first = [
+        ("1", t(2020, 6, 30), t(2020, 6, 30, 2), "a", "p", 1.0, 2.5, None), ("2", t(2020, 6, 1, 3), None, "a", None, None, 7.25, 9.0),
+        ("3", t(2019, 1, 1), t(2019, 1, 2), None, "p", 3.0, 4.0, 1.0), ("4", None, None, "b", "q", 3.0, None, None),
+    ]
+    second = [("5", t(2019, 5, 5), t(2019, 5, 6), "c", "q", 10.0, 11.0, 12.0), ("6", t(2020, 6, 29), t(2020, 6, 29, 1), "b", "p", 0.1, 0.2, 0.3)]
+    one_df, two_df = (spark.createDataFrame(r, schema) for r in (first, second))
+    assert snapshots.add_batch(spark, table, "one", one_df, buckets=3)
+    want = lambda *dfs: sorted(rows(en.encounter_kpis(spark.createDataFrame([r for d in dfs for r in d], schema), AS_OF)))
+    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first)
+    # a batch that stops half-way changes nothing
+    with monkeypatch.context() as m:
+        m.setattr(store, "replace", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            snapshots.add_batch(spark, table, "two", two_df)
+    assert snapshots.add_batch(spark, table, "two", two_df)
+    assert not snapshots.add_batch(spark, table, "two", two_df) and not snapshots.add_batch(spark, table, "one", one_df)
+    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first, second)
+    assert snapshots.add_batch(spark, table, "none", two_df.limit(0))
+    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first, second)
+
+
+def test_snapshots_read_their_state_without_shuffling_it(spark, table):
+    from careflow.plans import snapshots
+
+    state = spark.createDataFrame([("patient", "=a", AS_OF)], "kind string, key string, first_on date")
+    state = state.withColumns({n: F.lit(None).cast("bigint") for n in snapshots.en.ADDENDS})
+    store.replace(spark, table, state, snapshots.KEYS, 3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(snapshots.combined(spark.table(table), state.repartition(3, *snapshots.KEYS)))
+        assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -20,9 +20,9 @@ TO_MARKS = bytes.maketrans(ENDS, MARK * len(ENDS))
 #: Words of a block of text; bytes that are cut to words at once.
 BLOCK, SLICE = 1 << 21, 1 << 22
 #: Number of the words that make one trie's leaves, and so the bound of a broadcast: a level with more leaves takes several tries.
-LEAVES = 1 << 17
+LEAVES = 1 << 18
 #: A word's number is a string of digits of so many bits, the alphabet of the tries.
-DIGIT_BITS = 5
+DIGIT_BITS = 6
 DIGITS = 1 << DIGIT_BITS
 #: Neighbouring accepting states whose sums are added up together.
 RANGE_BITS = 16
@@ -120,22 +120,41 @@ def _numbered(words: DataFrame) -> DataFrame:
     return placed.withColumn("_part", part).join(before, "_part").withColumn("id", (F.col("_before") + within).cast("int")).drop("_part", "_place", "_before")
 
 
-def _renumbered(rows: DataFrame) -> DataFrame:
-    """(ids, starts): blocks by the numbers of the whole vocabulary; -1 for other words, once for several in a row."""
+def _resolved(rows: DataFrame, share: pa.Table, last: bool) -> DataFrame:
+    """Blocks with the words of ``share`` by their numbers in the whole vocabulary, kept as -2 - id while others are still to be resolved.
+
+    The ``last`` share gives (ids, starts): the numbers, and -1 for all other words and between pieces, once for several in a row.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(share.to_pydict())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers_of: dict[str, dict[str, int]] = {}
+        for lang, word, n in zip(*(sent.value[c] for c in ("lang", "word", "id"))):
+            numbers_of.setdefault(lang, {})[word] = n
         for batch in batches:
-            for numbers, starts, n_words, known in zip(*(batch.column(c) for c in ("numbers", "starts", "n_words", "known"))):
-                of = np.full(n_words.as_py() + 1, -1, np.int32)  # the last is that of -1
-                known = known.values if known.is_valid else None
-                if known is not None:
-                    of[known.field("at").to_numpy()] = known.field("id").to_numpy()
-                ids = of[np.frombuffer(numbers.as_py(), np.int32)]
-                keep = (ids >= 0) | np.concatenate([[True], ids[:-1] >= 0])
-                starts = int(keep[:starts.as_py()].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([ids[keep].tobytes()], pa.binary()), pa.array([starts], pa.int32())], names=["ids", "starts"])
-
-    return rows.select("numbers", "starts", "n_words", "known").mapInArrow(run, "ids binary, starts int")
+            for lang, words, numbers, starts in zip(*(batch.column(c) for c in ("lang", "words", "numbers", "starts"))):
+                of, numbers = numbers_of.get(lang.as_py(), {}), np.frombuffer(numbers.as_py(), np.int32)
+                found = np.array([-2 - of[w] if w in of else i for i, w in enumerate(words.as_py())] + [-1], np.int32)
+                numbers = np.where(numbers >= 0, found[np.maximum(numbers, -1)], numbers)
+                if last:
+                    numbers = np.where(numbers < -1, -2 - numbers, np.int32(-1))
+                    keep = (numbers >= 0) | np.concatenate([[True], numbers[:-1] >= 0])
+                    held = [pa.array([numbers[keep].tobytes()], pa.binary()), pa.array([int(keep[:starts.as_py()].sum())], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(held, names=["ids", "starts"])
+                else:
+                    held = [pa.array([lang.as_py()], pa.string()), pa.array([words.as_py()], pa.list_(pa.string())), pa.array([numbers.tobytes()], pa.binary()), pa.array([starts.as_py()], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(held, names=["lang", "words", "numbers", "starts"])
+
+    schema = "ids binary, starts int" if last else "lang string, words array<string>, numbers binary, starts int"
+    return rows.select("lang", "words", "numbers", "starts").mapInArrow(run, schema)
+
+
+def renumbered(cut: DataFrame, words: DataFrame, n_words: int, share: int) -> DataFrame:
+    """(ids, starts): ``blocks`` by the numbers of ``words`` (lang, word, id from 0 to n_words - 1), which are broadcast by shares of ``share``."""
+    for low in range(0, max(1, n_words), share):
+        some = words.where((F.col("id") >= low) & (F.col("id") < low + share)).select("lang", "word", "id").toArrow()
+        cut = stored(_resolved(cut, some, low + share >= n_words), "collocation-texts")
+    return cut
 
 
 class Trie:
@@ -190,6 +209,14 @@ class Trie:
             parent, label = parent[~fits], label[~fits]
         return at
 
+    def _step(self, place: np.ndarray, state: np.ndarray, word: np.ndarray, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places and states that go on with the first ``digits`` digits of ``word``."""
+        for d in range(self.per_word - 1, self.per_word - 1 - digits, -1):
+            to = self.base[state] + (word >> DIGIT_BITS * d & DIGITS - 1).astype(np.int32)
+            keep = self.check[to] == state
+            place, state, word = place[keep], to[keep], word[keep]
+        return place, state
+
     def states(self, ids: np.ndarray, starts: int, longest: int) -> np.ndarray:
         """The accepting state of each place in ``ids`` before ``starts`` where a phrase of the trie stands and a word goes on with it.
 
@@ -197,16 +224,17 @@ class Trie:
         for each digit that may be next.
         """
         ids = np.concatenate([ids, np.full(longest, -1, np.int32)])
-        place = np.flatnonzero(ids[:starts] >= 0)
-        state = np.zeros(len(place), np.int32)
-        for w in range(self.words + (self.digits > 0)):
+        # the first word is stepped once for each number there is
+        first = np.full(int(ids.max()) + 2, -1, np.int32)
+        known, state = self._step(np.arange(len(first) - 1), np.zeros(len(first) - 1, np.int32), np.arange(len(first) - 1), self.per_word)
+        first[known] = state
+        state = first[ids[:starts]]  # -1 takes the last
+        place = np.flatnonzero(state >= 0)
+        state = state[place]
+        for w in range(1, self.words + (self.digits > 0)):
             there = ids[place + w]
-            if w:
-                place, state, there = (c[there >= 0] for c in (place, state, there))
-            for d in range(self.per_word - 1, self.per_word - 1 - (self.per_word if w < self.words else self.digits), -1):
-                to = self.base[state] + (there >> DIGIT_BITS * d & DIGITS - 1)
-                keep = self.check[to] == state
-                place, state, there = place[keep], to[keep], there[keep]
+            place, state, there = (c[there >= 0] for c in (place, state, there))
+            place, state = self._step(place, state, there, self.per_word if w < self.words else self.digits)
         there = ids[place + self.words]
         state, there = state[there >= 0], there[there >= 0]
         return self.base[state].astype(np.int64) * DIGITS + (there >> DIGIT_BITS * (self.per_word - 1 - self.digits) & DIGITS - 1)
@@ -341,15 +369,14 @@ def mine(
     if longest < 2 or leaves & leaves - 1:
         raise ValueError("phrases have two words or more, tries a power of 2 of leaves")
     ship_package(docs.sparkSession)
-    cut = stored(blocks(docs, lang_col, text_col, longest, block).withColumn("block", F.monotonically_increasing_id()), "collocation-blocks")
-    each = cut.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "lang", "at", "w.words", "w.counts")
-    each = each.withColumnRenamed("words", "word")
+    cut = stored(blocks(docs, lang_col, text_col, longest, block), "collocation-blocks")
+    each = cut.select("lang", F.inline(F.arrays_zip("words", "counts"))).withColumnRenamed("words", "word")
     totals = cut.groupBy("lang").agg(F.sum("total").alias("n"))
     counted = each.groupBy("lang", "word").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     words = stored(_numbered(counted).join(totals, "lang"), "collocation-vocabulary")
-    known = each.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("known"))
-    texts = stored(_renumbered(cut.select("block", "numbers", "starts", F.size("words").alias("n_words")).join(known, "block", "left")), "collocation-texts")
-    tables = frequent_phrases(texts, words, words.count(), longest, least, leaves)
+    n_words = words.count()
+    texts = renumbered(cut, words, n_words, leaves)
+    tables = frequent_phrases(texts, words, n_words, longest, least, leaves)
 
     exact = "decimal(19,0)"
     score = F.expr(f"(1000 * CAST(a AS {exact}) * CAST(n AS {exact})) div (CAST(l AS {exact}) * CAST(r AS {exact}))")

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 from careflow.llm import collocations
+from careflow.llm.collocations import DIGIT_BITS as BITS
+from careflow.llm.collocations import DIGITS
 
 
 def brute(rows, longest, least, percent, top):
@@ -46,7 +48,7 @@ def texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("longest,least,percent,top,leaves,block", [(5, 6, 100, 2000, 1 << 17, 1 << 21), (3, 4, 50, 7, 64, 50), (2, 1, 100, 2000, 1 << 17, 7)])
+@pytest.mark.parametrize("longest,least,percent,top,leaves,block", [(5, 6, 100, 2000, 1 << 17, 1 << 21), (3, 4, 50, 7, 32, 50), (2, 1, 100, 2000, 1 << 17, 7)])
 def test_phrases(spark, longest, least, percent, top, leaves, block):
     """Small blocks cut texts, small tries cut levels; the result is the same."""
     rows = texts(longest, 150)
@@ -70,7 +72,7 @@ def test_trie_accepts_exactly_its_phrases():
     for words, digits in ((1, 0), (2, 0), (2, 1), (3, 2)):
         rows = np.unique(some.integers(0, 3000, (4000, words + (digits > 0))), axis=0).astype(np.int32)
         if digits:
-            rows[:, -1] >>= 5 * (3 - digits)
+            rows[:, -1] >>= BITS * (3 - digits)
             rows = np.unique(rows, axis=0)
         trie = collocations.Trie(rows, digits, 3)
         ids = some.integers(-1, 3000, 30_000).astype(np.int32)
@@ -78,16 +80,16 @@ def test_trie_accepts_exactly_its_phrases():
         for i, r in zip(at, some.integers(0, len(rows), 2000)):
             ids[i:i + words] = trie.rows[r, :words]
             if digits:
-                ids[i + words] = min(2999, trie.rows[r, -1] << 5 * (3 - digits))
+                ids[i + words] = min(2999, trie.rows[r, -1] << BITS * (3 - digits))
         known = {tuple(r): n for n, r in enumerate(trie.rows.tolist())}
         padded, want = [*ids.tolist(), *[-1] * 5], collections.Counter()
         for i in range(len(ids) - 3):
             here = padded[i:i + words + 1]
             if min(here) < 0:
                 continue
-            path = tuple(here[:words]) + ((here[-1] >> 5 * (3 - digits),) if digits else ())
+            path = tuple(here[:words]) + ((here[-1] >> BITS * (3 - digits),) if digits else ())
             if path in known:
-                want[known[path] * 32 + (here[-1] >> 5 * (2 - digits) & 31)] += 1
+                want[known[path] * DIGITS + (here[-1] >> BITS * (2 - digits) & DIGITS - 1)] += 1
         assert collections.Counter(trie.states(ids, len(ids) - 3, 5).tolist()) == want
 
 

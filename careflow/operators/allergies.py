@@ -27,30 +27,43 @@ IS_DRUG = "(coalesce(category = 'medication', false) OR coalesce(allergen_nature
 IS_ENVIRONMENTAL = "(category = 'environment' OR allergen_nature = 'environment')"
 
 
-def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
-    """One row per allergic patient with the first day each patient-level fact holds.
-
-    ``allergic_on``, ``drug_on``, ``poly_on`` (second distinct code detected), ``readmitted_on``.
-    Every period and every state report of the distinct-patient KPIs follows from these dates.
-    """
+def code_dates(allergies: DataFrame) -> DataFrame:
+    """(uuid, allergy_code, on, drug_on, drug): the first days on which a patient has a code, and has it as a drug allergy."""
     detected = F.col("allergy_detection_date")
-    per_code = (
+    return (
         allergies.where(F.col("uuid").isNotNull())
         .groupBy("uuid", "allergy_code")
         .agg(
-            F.min(detected).alias("_on"),
-            F.min(F.when(F.expr(IS_DRUG), detected)).alias("_drug_on"),
-            F.bool_or(F.expr(IS_DRUG)).alias("_drug"),
+            F.min(detected).alias("on"),
+            F.min(F.when(F.expr(IS_DRUG), detected)).alias("drug_on"),
+            F.bool_or(F.expr(IS_DRUG)).alias("drug"),
         )
     )
+
+
+def visit_days(encounters: DataFrame) -> DataFrame:
+    """(uuid, day) of each visit."""
+    return encounters.select("uuid", F.to_date("visit_start").alias("day")).where("uuid IS NOT NULL AND day IS NOT NULL")
+
+
+def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
+    """One row per allergic patient with the first day each patient-level fact holds.
+
+    ``allergic_on``, ``drug_on``, ``poly_on`` (second distinct code detected), ``readmitted_on``.
+    Every period and every state report of the distinct-patient KPIs follows from these dates.
+    """
+    return patients_of_codes(code_dates(allergies), visit_days(encounters))
+
+
+def patients_of_codes(per_code: DataFrame, visits: DataFrame) -> DataFrame:
+    """The rows of ``allergic_patients`` from those of ``code_dates`` and ``visit_days``."""
     # a patient's codes and visit days meet in one aggregate: some codes and at most a calendar of days each
-    code = F.struct(F.col("_on").isNull().alias("undated"), F.col("_on").alias("on"), F.col("allergy_code").alias("code"))
-    entries = per_code.select("uuid", code.alias("entry"), "_drug_on", "_drug")
-    visits = encounters.select("uuid", F.to_date("visit_start").alias("day")).where("uuid IS NOT NULL AND day IS NOT NULL")
+    code = F.struct(F.col("on").isNull().alias("undated"), "on", F.col("allergy_code").alias("code"))
+    entries = per_code.select("uuid", code.alias("entry"), "drug_on", "drug")
     per_patient = entries.unionByName(visits, allowMissingColumns=True).groupBy("uuid").agg(
         F.min("entry.on").alias("allergic_on"),
-        F.min("_drug_on").alias("drug_on"),
-        F.bool_or("_drug").alias("drug"),
+        F.min("drug_on").alias("drug_on"),
+        F.bool_or("drug").alias("drug"),
         F.count("entry").alias("_entries"),
         F.count("entry.code").alias("codes"),
         F.collect_list(F.when(F.col("entry.code").isNotNull(), F.col("entry"))).alias("_coded"),
@@ -62,17 +75,41 @@ def allergic_patients(allergies: DataFrame, encounters: DataFrame) -> DataFrame:
     )
 
 
+def marked_allergies(allergies: DataFrame) -> DataFrame:
+    """(detection date, cure date, severe, penicillin, eligible) of each allergy: what the row KPIs depend on."""
+    flags = {"severe": "coalesce(primary_symptom_severity = 'SEVERE', false)", "penicillin": IS_PENICILLIN, "eligible": f"coalesce({IS_ELIGIBLE}, false)"}
+    return allergies.select("allergy_detection_date", "allergy_cure_date", *[F.expr(e).alias(n) for n, e in flags.items()])
+
+
+def counted_allergies(allergies: DataFrame) -> DataFrame:
+    """The distinct rows of ``marked_allergies`` and their number ``n``."""
+    rows = marked_allergies(allergies)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counted_lives(patients: DataFrame) -> DataFrame:
+    """(birth_date, death_date, n)."""
+    return patients.groupBy("birth_date", "death_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def allergy_kpis(allergies: DataFrame, patients: DataFrame, encounters: DataFrame, as_of: dt.date) -> DataFrame:
     """The eight allergy KPIs per period, with patients and visits as of the period."""
+    once = F.lit(1).cast("bigint")
+    return kpis_of_counts(marked_allergies(allergies).withColumn("n", once), allergic_patients(allergies, encounters), patients.withColumn("n", once), as_of)
+
+
+def kpis_of_counts(counted: DataFrame, allergic_people: DataFrame, lives: DataFrame, as_of: dt.date) -> DataFrame:
+    """A1-A8, A10 from the rows of ``counted_allergies``, ``allergic_patients`` and ``counted_lives``; rows may come uncounted, each with an ``n`` of 1."""
+
+    def number(which: str) -> str:
+        return f"coalesce(sum(IF({which}, n, 0L)), 0L)"
 
     def row_measures(p: Period) -> dict[str, str]:
         inside = p.happened("allergy_detection_date")
         return {
-            "total": f"count_if({inside})",
-            "cured": f"count_if({inside} AND {p.ended('allergy_cure_date')})",
-            "severe": f"count_if({inside} AND primary_symptom_severity = 'SEVERE')",
-            "penicillin": f"count_if({inside} AND {IS_PENICILLIN})",
-            "eligible": f"count_if({inside} AND {IS_ELIGIBLE})",
+            "total": number(inside),
+            "cured": number(f"{inside} AND {p.ended('allergy_cure_date')}"),
+            **{n: number(f"{inside} AND {n}") for n in ("severe", "penicillin", "eligible")},
         }
 
     def patient_measures(p: Period) -> dict[str, str]:
@@ -84,9 +121,9 @@ def allergy_kpis(allergies: DataFrame, patients: DataFrame, encounters: DataFram
             "readmitted": f"count_if({allergic} AND {p.ended('readmitted_on')})",
         }
 
-    rows = by_period(allergies, as_of, row_measures)
-    people = by_period(allergic_patients(allergies, encounters), as_of, patient_measures)
-    everyone = by_period(patients, as_of, lambda p: {"everyone": f"count_if({population(p)})"})
+    rows = by_period(counted, as_of, row_measures)
+    people = by_period(allergic_people, as_of, patient_measures)
+    everyone = by_period(lives, as_of, lambda p: {"everyone": number(population(p))})
     total, allergic = F.col("total"), F.col("allergic")
     return (
         rows.where(total > 0).join(people, "period").join(everyone.where("everyone > 0"), "period")

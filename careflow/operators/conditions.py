@@ -28,34 +28,44 @@ def _disorders(conditions: DataFrame) -> DataFrame:
     return conditions.where(F.col("associated_semantics") == "disorder")
 
 
+def concept_dates(conditions: DataFrame) -> DataFrame:
+    """(uuid, medical_concepts, first_on, cured_on, resolved): the first dates on which a patient has and has got over a concept."""
+    record, end = "condition_record_date", "date_of_abetment"
+    return conditions.groupBy("uuid", "medical_concepts").agg(
+        F.min(record).alias("first_on"),
+        F.expr(f"min(IF({record} IS NOT NULL AND {end} IS NOT NULL, greatest({record}, {end}), NULL)) AS cured_on"),
+        F.bool_or(is_resolved()).alias("resolved"),
+    )
+
+
 def condition_kpis(conditions: DataFrame, as_of: dt.date) -> DataFrame:
     """The eight condition KPIs per period (row counts, distinct concepts, complexity).
 
     Row measures take one scan and one shuffle-free aggregate. Distinct measures reduce to the
     first date a (patient, concept) counts, from which every period follows.
     """
+    return kpis_of_spans(conditions.withColumn("n", F.lit(1).cast("bigint")), concept_dates(conditions), as_of)
+
+
+def kpis_of_spans(spans: DataFrame, per_concept: DataFrame, as_of: dt.date) -> DataFrame:
+    """C1-C9 from ``n`` conditions for each record date and date of abetment, and the rows of ``concept_dates``."""
     record, end = "condition_record_date", "date_of_abetment"
 
     def row_measures(p: Period) -> dict[str, str]:
         inside = p.happened(record)
         cured = f"({inside} AND {p.ended(end)})"
+        number = lambda which: f"coalesce(sum(IF({which}, n, 0L)), 0L)"
+        days = f"datediff({end}, {record})"
         return {
-            "total": f"count_if({inside})",
-            "cured": f"count_if({cured})",
-            "cure_days": f"avg(IF({cured}, datediff({end}, {record}), NULL))",
-            "recent": f"count_if({inside} AND {record} >= date_sub({p.date}, 30))",
-            "chronic": (
-                f"count_if({inside} AND NOT {p.ended(end)} AND datediff({p.date}, {record}) >= {CHRONIC_DAYS})"
-            ),
+            "total": number(inside),
+            "cured": number(cured),
+            "cure_days": f"sum(IF({cured}, n * {days}, NULL)) / sum(IF({cured} AND {days} IS NOT NULL, n, NULL))",
+            "recent": number(f"{inside} AND {record} >= date_sub({p.date}, 30)"),
+            "chronic": number(f"{inside} AND NOT {p.ended(end)} AND datediff({p.date}, {record}) >= {CHRONIC_DAYS}"),
         }
 
-    rows = by_period(conditions, as_of, row_measures)
+    rows = by_period(spans, as_of, row_measures)
     # one aggregate serves the distinct concepts and the complexity
-    per_concept = conditions.groupBy("uuid", "medical_concepts").agg(
-        F.min(record).alias("first_on"),
-        F.expr(f"min(IF({record} IS NOT NULL AND {end} IS NOT NULL, greatest({record}, {end}), NULL)) AS cured_on"),
-        F.bool_or(is_resolved()).alias("resolved"),
-    )
     concepts = (
         per_concept.groupBy("medical_concepts").agg(F.min("first_on").alias("first_on"))
         .transform(lambda d: by_period(d, as_of, lambda p: {"concepts": f"count_if({p.happened('first_on')})"}))

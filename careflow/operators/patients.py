@@ -25,6 +25,20 @@ def population(p: Period) -> str:
     return f"(coalesce(birth_date <= {p.date}, false) AND (death_date IS NULL OR death_date >= {p.date}))"
 
 
+def counted_patients(patients: DataFrame) -> DataFrame:
+    """What the patient KPIs depend on and how many patients have it: dates, sex, marriage and doctorate, with the sum and number of incomes."""
+    rows = patients.select(
+        "birth_date", "death_date", "gender", F.expr("coalesce(marital_status = 'M', false)").alias("married"),
+        F.expr(f"coalesce(lower(doctorate) <> '{NO_DOCTORATE}', false)").alias("doctor"), F.col("family_income").cast("bigint").alias("family_income"),
+    )
+    return rows.groupBy(*rows.columns[:-1]).agg(F.count(F.lit(1)).alias("n"), F.sum("family_income").alias("income"), F.count("family_income").alias("incomes"))
+
+
+def counted_incomes(patients: DataFrame) -> DataFrame:
+    """(family_income, birth_date, death_date, n)."""
+    return patients.groupBy(F.col("family_income").cast("bigint").alias("family_income"), "birth_date", "death_date").agg(F.count(F.lit(1)).alias("n"))
+
+
 def patient_kpis(patients: DataFrame, as_of: dt.date, status: str = "as_of") -> DataFrame:
     """The eight patient KPIs per period.
 
@@ -33,6 +47,16 @@ def patient_kpis(patients: DataFrame, as_of: dt.date, status: str = "as_of") ->
     periods are left out. The median is the lower middle value, taken exactly from the counts of
     distinct incomes; everything else is one scan and one aggregation.
     """
+    people = patients.select("birth_date", "death_date", "gender", "family_income", "marital_status", "doctorate")
+    cells = people.withColumns({
+        "n": F.lit(1).cast("bigint"), "married": F.col("marital_status") == "M", "doctor": F.lower("doctorate") != NO_DOCTORATE,
+        "income": F.col("family_income").cast("bigint"), "incomes": F.col("family_income").isNotNull().cast("bigint"),
+    })
+    return kpis_of_cells(cells, cells, as_of, status)
+
+
+def kpis_of_cells(cells: DataFrame, incomes: DataFrame, as_of: dt.date, status: str = "as_of") -> DataFrame:
+    """P1-P9 from the rows of ``counted_patients`` and ``counted_incomes``, or of the patients themselves, counted once each."""
     if status not in ("as_of", "recorded"):
         raise ValueError(f"unknown status: {status}")
 
@@ -43,23 +67,26 @@ def patient_kpis(patients: DataFrame, as_of: dt.date, status: str = "as_of") ->
         still = f"(death_date IS NULL OR death_date > {p.date})" if at_ref(p) else "death_date IS NULL"
         return f"({population(p)} AND {still})"
 
+    def number(which: str) -> str:
+        return f"coalesce(sum(IF({which}, n, 0L)), 0L)"
+
     def measures(p: Period) -> dict[str, str]:
         inside, alive = population(p), is_living(p)
-        age_day = p.date if at_ref(p) else f"DATE'{as_of}'"
+        days = f"datediff({p.date if at_ref(p) else f"DATE'{as_of}'"}, birth_date)"
         return {
-            "total": f"count_if({inside})",
-            "alive": f"count_if({alive})",
-            "males": f"count_if({inside} AND gender = 'M')",
-            "females": f"count_if({inside} AND gender = 'F')",
-            "mean_income": f"avg(IF({alive}, family_income, NULL))",
-            "age": f"avg(IF({alive}, datediff({age_day}, birth_date) / 365.25D, NULL))",
-            "married": f"count_if({inside} AND marital_status = 'M')",
-            "doctors": f"count_if({inside} AND lower(doctorate) <> '{NO_DOCTORATE}')",
+            "total": number(inside),
+            "alive": number(alive),
+            "males": number(f"{inside} AND gender = 'M'"),
+            "females": number(f"{inside} AND gender = 'F'"),
+            "mean_income": f"try_divide(sum(IF({alive}, income, NULL)), sum(IF({alive}, incomes, NULL)))",
+            "age": f"sum(IF({alive}, n * {days}, NULL)) / 365.25D / sum(IF({alive} AND {days} IS NOT NULL, n, NULL))",
+            "married": number(f"{inside} AND married"),
+            "doctors": number(f"{inside} AND doctor"),
         }
 
-    incomes = by_period(patients, as_of, lambda p: {"people": f"count_if({is_living(p)})"}, ["family_income"])
-    median = st.lower_median(incomes.where("people > 0"), "family_income", ["period"], "people", "median_income")
-    stats = by_period(patients, as_of, measures).where("total > 0")
+    people = by_period(incomes, as_of, lambda p: {"people": number(is_living(p))}, ["family_income"])
+    median = st.lower_median(people.where("people > 0"), "family_income", ["period"], "people", "median_income")
+    stats = by_period(cells, as_of, measures).where("total > 0")
     return stats.join(median, "period", "left").select("period", *_kpi_columns())
 
 

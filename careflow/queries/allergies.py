@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
 from careflow.operators import allergies as al
+from careflow.plans import snapshots
 from careflow.plans.proxy import AS_OF, allergies, encounters, patients, with_views
 from careflow.queries.registry import query
+from careflow.sources import store
 
 KPIS_SQL = """facts AS (
     SELECT q.period, q.ref, q.cur, a.* FROM allergies a JOIN periods q ON q.cur OR a.allergy_detection_date <= q.ref),
@@ -39,6 +45,19 @@ def a_kpis_by_period(spark, sf_dir):
     return al.allergy_kpis(allergies(spark, sf_dir), patients(spark, sf_dir), encounters(spark, sf_dir), AS_OF)
 
 
+@query("a10_incremental_snapshots", with_views(["allergies", "patients", "encounters", "periods"], "SELECT * FROM allergy_kpis", KPIS_SQL))
+def a10_incremental_snapshots(spark, sf_dir):
+    """Allergies, patients and encounters in two batches each, the first of them twice."""
+    table = f"{store.scratch_database(spark, 'snapshots')}.allergies"
+    a, p, e = allergies(spark, sf_dir), patients(spark, sf_dir), encounters(spark, sf_dir)
+    early = F.col("visit_start") < F.lit(dt.datetime(1998, 1, 1))
+    first = a.where("category = 'food'"), p.where("gender = 'F'"), e.where(early)
+    rest = a.where("category IS DISTINCT FROM 'food'"), p.where("gender IS DISTINCT FROM 'F'"), e.where(~early | early.isNull())
+    for name, batch in (("first", first), ("first", first), ("rest", rest)):
+        snapshots.add_batch(spark, table, name, snapshots.allergy_state(*batch))
+    return snapshots.allergy_snapshots(spark.table(table), AS_OF)
+
+
 @query("a9_allergy_risk_stratification", with_views(["allergies"], """
 SELECT coalesce(allergen_nature, 'Unknown') AS allergen_nature, count(DISTINCT uuid) AS patients,
        round(count(DISTINCT uuid)::DOUBLE / (SELECT count(DISTINCT uuid) FROM allergies) * 100, 2) AS share

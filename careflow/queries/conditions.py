@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 from careflow.operators import conditions as co
+from careflow.plans import snapshots
 from careflow.plans.proxy import AS_OF, conditions, patients, with_views
 from careflow.queries.registry import query
+from careflow.sources import store
 
 KPIS_SQL = """facts AS (
     SELECT q.period, q.ref, q.cur, c.*,
@@ -30,6 +32,17 @@ def c_kpis_by_period(spark, sf_dir):
     return co.condition_kpis(conditions(spark, sf_dir), AS_OF)
 
 
+@query("c9_incremental_snapshots", with_views(["conditions", "periods"], "SELECT * FROM condition_kpis", KPIS_SQL))
+def c9_incremental_snapshots(spark, sf_dir):
+    """The conditions in two batches, the first of them twice."""
+    table = f"{store.scratch_database(spark, 'snapshots')}.conditions"
+    rows = conditions(spark, sf_dir)
+    open_ones = rows.where("date_of_abetment IS NULL")
+    for name, batch in (("open", open_ones), ("open", open_ones), ("closed", rows.where("date_of_abetment IS NOT NULL"))):
+        snapshots.add_batch(spark, table, name, snapshots.condition_state(batch))
+    return snapshots.condition_snapshots(spark.table(table), AS_OF)
+
+
 @query("c10_top_disorder_conditions", with_views(["conditions"], """
 SELECT medical_concepts, count(*) AS open_count FROM conditions
 WHERE associated_semantics = 'disorder' AND date_of_abetment IS NULL

@@ -39,8 +39,8 @@ def e10_incremental_snapshots(spark, sf_dir):
     early, urgent = F.col("visit_start") < F.lit(dt.datetime(1998, 1, 1)), F.col("encounter_type").startswith("1")
     batches = {"early": rows.where(early), "urgent": rows.where(~early & urgent), "other": rows.where(~(early | urgent) | (early | urgent).isNull())}
     for name in ("early", "urgent", "urgent", "other"):
-        snapshots.add_batch(spark, table, name, batches[name])
-    return snapshots.snapshots(spark.table(table), AS_OF)
+        snapshots.add_batch(spark, table, name, snapshots.encounter_state(batches[name]))
+    return snapshots.encounter_snapshots(spark.table(table), AS_OF)
 
 
 @query("e11_encounters_by_type", with_views(["encounters"], """

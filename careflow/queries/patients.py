@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 from careflow.operators import patients as pa
+from careflow.plans import snapshots
 from careflow.plans.proxy import AS_OF, patients, with_views
 from careflow.queries.registry import query
+from careflow.sources import store
 
 # age in whole years at death or at the as-of date
 AGED = """aged AS (
@@ -36,6 +38,17 @@ def p9_kpis_with_recorded_status(spark, sf_dir):
     return pa.patient_kpis(patients(spark, sf_dir), AS_OF, status="recorded")
 
 
+@query("p9_incremental_snapshots", _kpis_sql("(death_date IS NULL OR (NOT cur AND death_date > ref))", "ref"))
+def p9_incremental_snapshots(spark, sf_dir):
+    """The patients in two batches, the first of them twice."""
+    table = f"{store.scratch_database(spark, 'snapshots')}.patients"
+    rows = patients(spark, sf_dir)
+    women = rows.where("gender = 'F'")
+    for name, batch in (("women", women), ("women", women), ("others", rows.where("gender IS DISTINCT FROM 'F'"))):
+        snapshots.add_batch(spark, table, name, snapshots.patient_state(batch))
+    return snapshots.patient_snapshots(spark.table(table), AS_OF)
+
+
 @query("p10_economic_dependence_ratio", with_views(["patients"], """
 SELECT coalesce(CAST(trunc(count(*) FILTER (age < 20 OR age > 64)::DOUBLE
        / nullif(count(*) FILTER (age BETWEEN 20 AND 64), 0) * 100) AS BIGINT), 0) AS economic_dependence_ratio

@@ -456,19 +456,19 @@ def test_snapshots_follow_batches(spark, table, monkeypatch):
     ]
     second = [("5", t(2019, 5, 5), t(2019, 5, 6), "c", "q", 10.0, 11.0, 12.0), ("6", t(2020, 6, 29), t(2020, 6, 29, 1), "b", "p", 0.1, 0.2, 0.3)]
     one_df, two_df = (spark.createDataFrame(r, schema) for r in (first, second))
-    assert snapshots.add_batch(spark, table, "one", one_df, buckets=3)
+    assert snapshots.add_batch(spark, table, "one", snapshots.encounter_state(one_df), buckets=3)
     want = lambda *dfs: sorted(rows(en.encounter_kpis(spark.createDataFrame([r for d in dfs for r in d], schema), AS_OF)))
-    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first)
+    assert sorted(rows(snapshots.encounter_snapshots(spark.table(table), AS_OF))) == want(first)
     # a batch that stops half-way changes nothing
     with monkeypatch.context() as m:
         m.setattr(store, "replace", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
         with pytest.raises(RuntimeError):
-            snapshots.add_batch(spark, table, "two", two_df)
-    assert snapshots.add_batch(spark, table, "two", two_df)
-    assert not snapshots.add_batch(spark, table, "two", two_df) and not snapshots.add_batch(spark, table, "one", one_df)
-    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first, second)
-    assert snapshots.add_batch(spark, table, "none", two_df.limit(0))
-    assert sorted(rows(snapshots.snapshots(spark.table(table), AS_OF))) == want(first, second)
+            snapshots.add_batch(spark, table, "two", snapshots.encounter_state(two_df))
+    assert snapshots.add_batch(spark, table, "two", snapshots.encounter_state(two_df))
+    assert not snapshots.add_batch(spark, table, "two", snapshots.encounter_state(two_df)) and not snapshots.add_batch(spark, table, "one", snapshots.encounter_state(one_df))
+    assert sorted(rows(snapshots.encounter_snapshots(spark.table(table), AS_OF))) == want(first, second)
+    assert snapshots.add_batch(spark, table, "none", snapshots.encounter_state(two_df.limit(0)))
+    assert sorted(rows(snapshots.encounter_snapshots(spark.table(table), AS_OF))) == want(first, second)
 
 
 def test_snapshots_read_their_state_without_shuffling_it(spark, table):
@@ -484,3 +484,45 @@ def test_snapshots_read_their_state_without_shuffling_it(spark, table):
         assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_snapshots_of_conditions_patients_and_allergies(spark, table):
+    """NULLs in every column, a death on the reference day, a code that comes early in a later batch, a return across batches."""
+    from careflow.operators import allergies as al, conditions as co, patients as pa
+    from careflow.plans import snapshots
+
+    d = date
+    conditions = [
+        ("a", "Cold", d("2020-06-01"), d("2020-06-11")), ("a", "Flu", d("2019-01-01"), None), ("b", "Cold", None, d("2020-01-01")), (None, "Cold", d("2020-06-29"), d("2020-06-30")),
+        ("a", None, d("2018-01-01"), d("2018-02-01")), ("b", "Cold", d("2018-01-01"), d("2018-01-03")), ("a", "Cold", d("2017-01-01"), d("2017-05-01")), ("", "|", d("2020-01-01"), None),
+    ]
+    patients = [
+        ("a", d("1990-01-01"), None, "F", "M", "PhD", 100), ("b", d("1980-05-05"), d("2020-06-23"), "M", "S", "No doctorate", 50), ("c", d("2020-06-25"), None, "F", None, None, None),
+        ("e", d("1990-01-01"), None, "F", "M", "PhD", 100), ("f", None, d("2010-01-01"), None, "M", "PhD", 7), ("g", d("1950-01-01"), None, "M", "S", "No Doctorate", 300),
+    ]
+    allergies = [
+        ("a", 1, d("2020-06-01"), None, "Penicillin", "medication", "drug", "MILD", "N/A", "Rash"), ("a", 2, d("2019-01-01"), d("2020-06-29"), "Dust", "environment", "substance", "SEVERE", "MILD", "Rash"),
+        ("b", None, None, None, None, None, None, None, None, None), ("a", 1, d("2018-01-01"), None, "Penicillin", "medication", "drug", "SEVERE", "N/A", "Anaphylaxis"),
+        ("c", 3, d("2020-06-20"), None, "penicillin", "food", "substance", "MILD", "N/A", "Rash"), (None, 3, d("2020-01-01"), None, "Nut", "food", "substance", "MILD", "N/A", "Rash"),
+    ]
+    visits = [("a", dt.datetime(2020, 5, 1, 4)), ("c", dt.datetime(2020, 6, 1)), ("c", dt.datetime(2020, 6, 21)), ("a", dt.datetime(2020, 5, 31, 4)), (None, dt.datetime(2020, 1, 1)), ("a", None)]
+    make = {
+        "c": lambda r: spark.createDataFrame(r, "uuid string, medical_concepts string, condition_record_date date, date_of_abetment date"),
+        "p": lambda r: spark.createDataFrame(r, "uuid string, birth_date date, death_date date, gender string, marital_status string, doctorate string, family_income bigint"),
+        "a": lambda r: spark.createDataFrame(r, (
+            "uuid string, allergy_code bigint, allergy_detection_date date, allergy_cure_date date, allergy_description string, category string, allergen_nature string, "
+            "primary_symptom_severity string, secondary_symptom_severity string, primary_symptom_description string")),
+        "e": lambda r: spark.createDataFrame(r, "uuid string, visit_start timestamp"),
+    }
+    halves = lambda r: (r[::2], r[1::2])
+    for n in (0, 1):
+        snapshots.add_batch(spark, f"{table}_c", str(n), snapshots.condition_state(make["c"](halves(conditions)[n])), buckets=3)
+        snapshots.add_batch(spark, f"{table}_p", str(n), snapshots.patient_state(make["p"](halves(patients)[n])), buckets=3)
+        state = snapshots.allergy_state(*[make[k](halves(r)[n]) for k, r in (("a", allergies), ("p", patients), ("e", visits))])
+        snapshots.add_batch(spark, f"{table}_a", str(n), state, buckets=3)
+    whole = {"c": make["c"](conditions), "p": make["p"](patients), "a": make["a"](allergies), "e": make["e"](visits)}
+    assert sorted(rows(snapshots.condition_snapshots(spark.table(f"{table}_c"), AS_OF))) == sorted(rows(co.condition_kpis(whole["c"], AS_OF)))
+    for status in ("as_of", "recorded"):
+        assert sorted(rows(snapshots.patient_snapshots(spark.table(f"{table}_p"), AS_OF, status))) == sorted(rows(pa.patient_kpis(whole["p"], AS_OF, status)))
+    want = sorted(rows(al.allergy_kpis(whole["a"], whole["p"], whole["e"], AS_OF)))
+    assert sorted(rows(snapshots.allergy_snapshots(spark.table(f"{table}_a"), AS_OF))) == want and len(want) == 4

@@ -55,14 +55,15 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows; their ids, of a bounded number, go to every task."""
+    """(text, label) of at most ``most`` labelled ids, whose number bounds the broadcast; of rows with the same id the least text counts, NULL last."""
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("_id") == F.col("id")).select("text", "label")
+    found = texts.join(F.broadcast(chosen), F.col("_id") == F.col("id"))
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("id").select("text", "label")
 
 
 def fit(

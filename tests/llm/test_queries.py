@@ -121,3 +121,15 @@ def test_fingerprints_of_edited_texts(spark, texts):
     for i, text in texts.items():
         same[text].add(got[i]["fingerprint"])
     assert all(len(f) == 1 for f in same.values())
+
+
+def test_toxicity_is_fitted_on_a_bounded_number_of_rows(spark):
+    """However often labelled ids are repeated; NULL texts and ids do no harm."""
+    from careflow.llm import toxicity
+
+    docs = spark.range(20_000).selectExpr("id % 2 AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('text ', id % 5) END AS text")
+    docs = docs.union(spark.createDataFrame([(None, "x"), (3, None), (4, "only")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 3, 4, 5)] + [(None, 1), (0, 0)], "doc_id long, toxic int")
+    found = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 8192).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("text 0", 0), ("text 0", 1), (None, 1), ("only", 0)], key=str)
+    assert toxicity.labelled(docs, labels, "doc_id", "text", "toxic", 1).count() <= 1

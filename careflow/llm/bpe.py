@@ -215,7 +215,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str
 
 
 def decode(rows: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``rows`` with ``text_col``: the text of the ids in ``ids_col``; NULL ids give NULL."""
+    """``rows`` with ``text_col``: the text of the ids in ``ids_col``; NULL ids give NULL, no ids an empty text. Repeated rows stay; an empty table gives an empty one."""
     source = load(rows.sparkSession, tokenizer)
     schema = rows.drop(text_col).schema.add(text_col, "string")
 

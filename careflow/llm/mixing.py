@@ -78,7 +78,11 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix",
 ) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it (see ``plan_mix``)."""
+    """``docs`` with each row as many times as the mix takes it (see ``plan_mix``).
+
+    NULL and empty texts have size 0 and are taken like others of their source; a NULL source is a source. Rows of equal id are all taken
+    equally often, those without an id too. An empty table gives an empty one.
+    """
     targets = source_targets(docs.select(source_col, word_count(F.col(text_col)).alias("size")), source_col, weights, share, most)
     of, rate, copy = unused(docs, "_source", "_rate", "_copy")
     rates = targets.select(F.col("source").alias(of), F.col("rate").alias(rate))

@@ -105,7 +105,8 @@ class Ledger:
         """Scan what is new in ``versions`` (key columns, content); returns (key columns, blob) of all versions.
 
         A blob is new if these rules have not seen it. The text of one version of each new blob is read, however many versions or
-        paths have it: the least key. Findings are written before the blobs count as scanned, so a stopped run is repeated.
+        paths have it: the least key; rows that share it are one version. NULL is an empty text, keys may be NULL. Findings are written before the blobs count as scanned, so a stopped run is repeated.
+        An empty table adds nothing and gives an empty one.
         """
         named = stored(versions.select(*key, blob_id(F.col(content)).alias("blob")), "blobs")
         new = named.groupBy("blob").agg(F.min(F.struct(*key)).alias("first")).join(self.scanned(), "blob", "left_anti")

@@ -228,7 +228,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; of repeated rows with that id, one."""
+    """The rows of ``docs`` with the smallest id of their component; of repeated rows with that id, one.
+
+    NULL, empty and blank texts share the fingerprint 0. A NULL id is kept only where all ids of a component are NULL; of different texts under
+    the smallest id, that of least hash. An empty table gives an empty one.
+    """
     marked = near_duplicates(docs, id_col, text_col, budget, width)
     first = marked.where("id <=> component_id").groupBy("class_id").agg(
         F.min(F.struct("id", "text_hash")).alias("kept"), F.count("*").alias("rows")

@@ -168,6 +168,10 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that a model fitted on ``labels`` scores below ``threshold``."""
+    """The rows of ``docs`` that a model fitted on ``labels`` scores below ``threshold``.
+
+    NULL, empty and very long texts have a score like others; repeated rows stay or go together. Without labels of both kinds all rows have
+    one score. An empty table gives an empty one.
+    """
     model = fit(docs, labels, id_col, text_col, label_col)
     return docs.where(scorer(docs, model)(F.col(text_col)) < threshold)

@@ -122,7 +122,8 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], labelled: DataFrame | None
 
     A rule's verdict stands; where none fits, a URL whose score (probability of block) exceeds ``threshold`` is blocked. The classifier is
     trained on ``labelled`` (host, path, label: 1 to block), else on the URLs of ``pages`` that rules decide. No row is moved:
-    rules and weights are constants of the plan.
+    rules and weights are constants of the plan. A NULL URL, or one without ``://``, has an empty host and path, which no rule fits; repeated rows are judged
+    alike, URLs of any length whole; of rules that fit alike in length the first counts. An empty table gives an empty one.
     """
     rule, grams = unused(pages, "_rule", "_features")
     host, path = host_and_path(F.col(url_col))

@@ -26,18 +26,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mask for each secret in the text and ``n_chars`` of the new text."""
+    """All documents, with a mask for each secret in the text and ``n_chars`` of the new text; NULL and empty texts stay, as do repeated rows."""
     masked = secret_scan.redact(docs, secret_scan.Ledger(spark, scratch_path(spark, "ledger")))
     return masked.withColumn("n_chars", F.when(F.contains("text", F.lit(secret_scan.MASK)), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's rate says."""
+    """Each document as many times as its source's rate says; NULL and empty texts have size 0, a NULL source is a source."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of each row; the ids, little-endian unsigned 32-bit integers, decode to the text."""
+    """(doc_id, source, n_tokens, ids) of each row; the ids, little-endian unsigned 32-bit integers, decode to the text. NULL and empty texts have none."""
     ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_file())
     return ids.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
@@ -54,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; each but the last is written to the shared folder and read again."""
+    """The stages applied to ``documents``; each but the last is written to the shared folder and read again. An empty table gives an empty one."""
     ship_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

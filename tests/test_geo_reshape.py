@@ -115,7 +115,11 @@ def test_state_ranking_follows_sentiment(spark):
 
 def test_pivots_fill_zero(spark):
     matrix = spark.createDataFrame([("drug", "MILD", 2), ("food", "N/A", 1), (None, "MILD", 9)], "allergen_nature string, severity string, count bigint")
-    assert rows(rs.severity_by_nature(matrix), "allergen_nature") == [("drug", 2, 0, 0, 0), ("food", 0, 0, 0, 1)]
+    assert rows(rs.severity_by_nature(matrix), "allergen_nature") == [("drug", 2, 0, 0, 0), ("food", 0, 0, 0, 1), ("unknown", 9, 0, 0, 0)]
+    odd = matrix.union(spark.createDataFrame([("drug", "FATAL", 3), ("food", None, 4)], matrix.schema))
+    wide = rs.severity_by_nature(odd)
+    assert wide.columns == ["allergen_nature", "MILD", "MODERATE", "SEVERE", "N/A", "FATAL", "unknown"]
+    assert rows(wide, "allergen_nature") == [("drug", 2, 0, 0, 0, 3, 0), ("food", 0, 0, 0, 1, 0, 4), ("unknown", 9, 0, 0, 0, 0, 0)]
     trends = spark.createDataFrame([(2020, "food", 2), (0, "food", 1)], "year int, category string, count bigint")
     assert rows(rs.trends_by_category(trends)) == [(2020, 0, 2, 0)]
     hazard = spark.createDataFrame([(0, "Q0", "a", 0.5), (0, "Q0", "b", 0.25), (1, "Q1", "a", 0.1)], "bin bigint, label string, race string, hazard double")

@@ -18,11 +18,11 @@ SEED = 20240229
 MISSED = 5e-4
 #: Vectors aimed at in a bucket of vectors without near ones.
 FILL = 16
+#: Signs that stand for a vector until a near one is likely, and share of the pairs at the threshold that these signs may miss.
+SKETCH, UNLIKELY = 128, 1e-6
 #: Rows that a task compares at a time, and rows of one side of a pair of pieces of a long bucket.
 PIECE, CHUNK = 1 << 14, 1 << 9
-FOUND = (
-    "kind int, a long, b long, n long, dim int, label string, turn int, bucket long, ids binary, copies binary, signs binary, vectors binary"
-)
+FOUND = "kind int, a long, b long, n long, dim int, label string, turn int, bucket long, ids binary, copies binary, vectors binary"
 
 
 def table_shape(n: int, threshold: float) -> tuple[int, int]:
@@ -33,6 +33,16 @@ def table_shape(n: int, threshold: float) -> tuple[int, int]:
     return signs, math.ceil(math.log(MISSED) / math.log(1 - same))
 
 
+def most_apart(n: int, threshold: float) -> int:
+    """Of ``n`` signs, the number that a pair of cosine ``threshold`` exceeds by differing with probability ``UNLIKELY`` at most."""
+    apart, rest = math.acos(threshold) / math.pi, 1.0
+    for k in range(n + 1):
+        rest -= math.comb(n, k) * apart**k * (1 - apart) ** (n - k)
+        if rest <= UNLIKELY:
+            return k
+    return n
+
+
 def usable(vector: str, label: str, vec_id: str) -> Column:
     """Whether a row can have links: an id, a label and a finite vector that is not zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -42,10 +52,10 @@ def usable(vector: str, label: str, vec_id: str) -> Column:
 
 
 def _signs(vectors: np.ndarray, signs: int, tables: int) -> np.ndarray:
-    """The bucket of each vector in each table."""
+    """The bucket of each scaled vector in each table: the same in every task."""
     planes = np.random.default_rng([SEED, vectors.shape[1]]).standard_normal((vectors.shape[1], signs * tables))
-    bits = (vectors @ planes > 0).reshape(len(vectors), tables, signs)
-    return bits @ (1 << np.arange(signs, dtype=np.int64))
+    bits = np.stack([v @ planes > 0 for v in vectors]) if len(vectors) else np.zeros((0, signs * tables), bool)
+    return bits.reshape(len(vectors), tables, signs) @ (1 << np.arange(signs, dtype=np.int64))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -65,6 +75,15 @@ def _near(unit: np.ndarray, signs: np.ndarray, turn: np.ndarray, i: np.ndarray,
     return i[first], j[first]
 
 
+def _likely(sketch: np.ndarray, turn: np.ndarray, i: np.ndarray, j: np.ndarray, most: int):
+    """Of the pairs (i, j), those whose sketches (buckets in the first tables) differ in ``most`` signs or fewer and have no earlier table in common."""
+    apart = sketch[i] ^ sketch[j]
+    near = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= most
+    i, j, apart = i[near], j[near], apart[near]
+    first = ~((apart == 0) & (np.arange(sketch.shape[1]) < turn[i][:, None])).any(axis=1)
+    return i[first], j[first]
+
+
 def _pairs_of_runs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j within each run, a bounded number at a time."""
     starts, sizes = bounds[:-1], np.diff(bounds)
@@ -95,7 +114,7 @@ def _batch(kind: int, a=(), b=None, n=None, chunk: dict | None = None) -> pa.Rec
     columns = {"kind": np.full(size, kind, np.int32), "a": a if size and not chunk else None, "b": b, "n": n} | chunk
     schema = pa.schema(
         [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("dim", pa.int32()), ("label", pa.string()),
-         ("turn", pa.int32()), ("bucket", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("signs", pa.binary()), ("vectors", pa.binary())]
+         ("turn", pa.int32()), ("bucket", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary())]
     )
     return pa.RecordBatch.from_arrays(
         [pa.nulls(size, f.type) if columns.get(f.name) is None else pa.array(columns[f.name], f.type) for f in schema], schema=schema
@@ -124,7 +143,8 @@ def near_duplicates(
 
     Vectors of equal label and dimension whose cosine is at least ``threshold`` are linked. ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest id reachable. Equal vectors are one class and compared once. Classes meet in the buckets of
-    several tables of signs; the rows of all buckets are sorted and dealt out by range, and what a long bucket has in several pieces is compared
+    several tables of signs; the rows of all buckets are sorted and dealt out by range, first with ``SKETCH`` signs each in place of the vector. Vectors
+    follow only to the buckets where a pair is likely near and first meets, and into all of a bucket that is cut; what a long bucket has in several pieces is compared
     piece by piece. A link is counted in the first table where its classes meet. Only spanning links and counts per class leave a task.
 
     Rows whose label or vector is NULL, whose vector is zero or holds NULL or a number that is not finite, have no links and are their own
@@ -139,6 +159,9 @@ def near_duplicates(
         "classes",
     )
     signs, tables = table_shape(classes.count(), threshold)
+    first = max(1, min(tables, SKETCH // signs))  # tables whose buckets are the sketch
+    most = most_apart(first * signs, threshold)
+    weights = 1 << np.arange(signs, dtype=np.int64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,30 +170,20 @@ def near_duplicates(
             ends = np.cumsum(dims)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                matrix = _scaled(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
-                buckets = _signs(matrix, signs, tables)
                 for start in range(0, len(at), 1024):
-                    part = slice(start, start + 1024)
-                    n, where = len(at[part]), np.repeat(at[part], tables)
-                    turns = np.tile(np.arange(tables, dtype=np.int32), n)
-                    own = [r.tobytes() for r in buckets[part].astype(np.int64)]
-                    data = [r.tobytes() for r in matrix[part]]
-                    again = np.repeat(np.arange(n), tables)
+                    own = at[start:start + 1024]
+                    buckets = _signs(_scaled(flat[(ends[own] - dim)[:, None] + np.arange(dim)]), signs, tables)
+                    bits = (buckets[:, :first, None] & weights > 0).reshape(len(own), -1)
+                    sketch = [r.tobytes() for r in np.packbits(bits, axis=1)]
+                    where, again = pa.array(np.repeat(own, tables)), pa.array(np.repeat(np.arange(len(own)), tables))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(where), dim, np.int32)), batch.column(1).take(pa.array(where)), pa.array(turns), pa.array(buckets[part].ravel()),
-                            batch.column(0).take(pa.array(where)), batch.column(3).take(pa.array(where)),
-                            pa.array(own, pa.binary()).take(pa.array(again)), pa.array(data, pa.binary()).take(pa.array(again)),
+                            pa.array(np.full(len(where), dim, np.int32)), batch.column(1).take(where), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))),
+                            pa.array(buckets.ravel()), batch.column(0).take(where), pa.array(sketch, pa.binary()).take(again),
                         ],
-                        names=["dim", "label", "turn", "bucket", "class_id", "copies", "signs", "vector"],
+                        names=["dim", "label", "turn", "bucket", "class_id", "sketch"],
                     )
 
-    signed = classes.select("class_id", "label", "vector", "copies").mapInArrow(
-        sign, "dim int, label string, turn int, bucket long, class_id long, copies long, signs binary, vector binary"
-    )
-    order = ["dim", "label", "turn", "bucket", "class_id"]
-    dealt = signed.repartitionByRange(*order).sortWithinPartitions(*order)
-
     def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         return {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
 
@@ -178,16 +191,39 @@ def near_duplicates(
         _, label = np.unique(part["label"].astype(str), return_inverse=True)
         return np.rec.fromarrays([part["dim"], label, part["turn"], part["bucket"]])
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bounds, is_open in sorted_pieces(batches, arrays, key, PIECE):
+            packed = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part["turn"]), -1)
+            sketch = np.unpackbits(packed, axis=1, count=first * signs).reshape(-1, first, signs) @ weights
+            wanted = np.repeat(is_open, np.diff(bounds))  # the rest of a long bucket stands elsewhere
+            for i, j in _pairs_of_runs(bounds):
+                for side in _likely(sketch, part["turn"], i, j, most):
+                    wanted[side] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[c][wanted]) for c in ("turn", "bucket", "class_id")], schema=pa.schema([("turn", pa.int32()), ("bucket", pa.int64()), ("class_id", pa.int64())])
+            )
+
+    order = ["dim", "label", "turn", "bucket", "class_id"]
+    signed = classes.select("class_id", "label", "vector").mapInArrow(sign, "dim int, label string, turn int, bucket long, class_id long, sketch binary")
+    wanted = stored(
+        signed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(likely, "turn int, bucket long, class_id long"), "likely-near"
+    )
+    dealt = wanted.join(classes.select("class_id", "label", "vector", "copies"), "class_id").select(
+        F.size("vector").alias("dim"), "label", "turn", "bucket", "class_id", "copies", "vector"
+    ).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def matrix(column: pa.ListArray | list, at: np.ndarray, dim: int) -> np.ndarray:
+        return _scaled(np.stack([column[k] for k in at]).astype(np.float64).reshape(-1, dim))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, is_open in sorted_pieces(batches, arrays, key, PIECE):
-            own = np.frombuffer(b"".join(part["signs"]), dtype=np.int64).reshape(-1, tables)
             runs = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             for dim in np.unique(part["dim"]):
                 at = np.flatnonzero(part["dim"] == dim)  # adjacent rows, sorted by dimension first
-                unit = _unit(np.frombuffer(b"".join(part["vector"][at]), dtype=np.float64).reshape(-1, dim))
+                vectors = matrix(part["vector"], at, dim)
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(runs[at])) + 1, [len(at)]])
-                signs_at, turn_at = own[at], part["turn"][at]
-                found = (_near(unit, signs_at, turn_at, i, j, threshold) for i, j in _pairs_of_runs(edges))
+                own, unit, turn = _signs(vectors, signs, tables), _unit(vectors), part["turn"][at]
+                found = (_near(unit, own, turn, i, j, threshold) for i, j in _pairs_of_runs(edges))
                 yield from _results(part["class_id"][at], part["copies"][at], found)
             for r in np.flatnonzero(is_open):
                 for s in range(bounds[r], bounds[r + 1], CHUNK):
@@ -195,12 +231,12 @@ def near_duplicates(
                     yield _batch(2, chunk={
                         **{c: [part[c][s]] for c in ("dim", "label", "turn", "bucket")}, "a": [part["class_id"][s]], "b": [part["class_id"][bounds[r]]],
                         "ids": [part["class_id"][s:to].tobytes()], "copies": [part["copies"][s:to].tobytes()],
-                        "signs": [own[s:to].tobytes()], "vectors": [b"".join(part["vector"][s:to])],
+                        "vectors": [matrix(part["vector"], np.arange(s, to), part["dim"][s]).tobytes()],
                     })
 
     found = stored(dealt.mapInArrow(compare, FOUND), "found")
     bucket = ["dim", "label", "turn", "bucket"]
-    data = ["a", "b", "ids", "copies", "signs", "vectors"]
+    data = ["a", "b", "ids", "copies", "vectors"]
     left, right = (found.where("kind = 2").select(*bucket, *(F.col(c).alias(f"{c}_{side}") for c in data)) for side in "lr")
     pairs = left.join(right, bucket).where("a_l < a_r AND b_l <> b_r")  # chunks of one piece have met
     pairs = pairs.select("dim", "turn", *(f"{c}_{s}" for s in "lr" for c in data[2:]))
@@ -209,12 +245,12 @@ def near_duplicates(
         for batch in batches:
             for row in range(batch.num_rows):
                 dim, turn, *sides = (c[row].as_py() for c in batch.columns)
-                ids, copies, own = (np.frombuffer(sides[k] + sides[k + 4], dtype=np.int64) for k in range(3))
-                unit = _unit(np.frombuffer(sides[3] + sides[7], dtype=np.float64).reshape(-1, dim))
+                ids, copies = (np.frombuffer(sides[k] + sides[k + 3], dtype=np.int64) for k in range(2))
+                vectors = np.frombuffer(sides[2] + sides[5], dtype=np.float64).reshape(-1, dim)
+                unit, own = _unit(vectors), _signs(vectors, signs, tables)
                 n = len(sides[0]) // 8
                 i, j = np.nonzero(unit[:n] @ unit[n:].T >= threshold)
-                turns = np.full(len(ids), turn)
-                yield from _results(ids, copies, [_near(unit, own.reshape(-1, tables), turns, i, j + n, threshold)])
+                yield from _results(ids, copies, [_near(unit, own, np.full(len(ids), turn), i, j + n, threshold)])
 
     found = stored(found.where("kind < 2").select("kind", "a", "b", "n").union(pairs.mapInArrow(across, FOUND).select("kind", "a", "b", "n")), "links")
     degree = found.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from careflow.llm.common import ship_package
+
 #: Fixed values of byte-level BPE: the pattern that cuts a text to words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode white space, as the pattern's ``\\s``. A word of the pattern has a space at most at its start, so that a text may be
@@ -189,6 +191,7 @@ def _slices(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Itera
 
 def load(spark: SparkSession, path: str):
     """The tokenizer file at ``path``, read by the driver and sent to the executors; its size is that of a vocabulary."""
+    ship_package(spark)
     with open(path, encoding="utf-8") as file:
         return spark.sparkContext.broadcast(file.read())
 

@@ -32,7 +32,7 @@ def ship_package(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the cluster's shared folder and read again, which cuts its lineage.
 
-    The files survive the loss of executors. They are removed when the session's JVM ends.
+    The files survive the loss of executors. They are removed by ``discard``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more: what was made of it is stored itself."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        where = context._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with as many underscores before it as make it differ from the columns of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import stored
+from careflow.llm.common import discard, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the links are stars around the smallest nodes; the number of rounds grows with the logarithm of the
     longest path. Links with a NULL end are no links; a link of a node to itself makes it a component.
     The minima are dealt out anew before they are joined, so that both sides of the join are exchanges of their own and adaptive execution may split
-    the links of a node that many others are linked to. Every round is stored in the shared folder. The driver sees two numbers a round.
+    the links of a node that many others are linked to. Every round is stored in the shared folder in place of the one before. The driver sees two numbers a round.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL")
     loops = links.select(F.col("a").alias("node")).union(links.select("b"))
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             break
         before = now
-        edges = stored(_small_star(_large_star(edges)), "links")
+        edges, old = stored(_small_star(_large_star(edges)), "links"), edges
+        discard(old)
     return (
         edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         .union(loops.select("node", "node"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import merge_roots, sorted_pieces, stored
+from careflow.llm.common import discard, merge_roots, ship_package, sorted_pieces, stored
 from careflow.llm.components import connected_components
 
 SEED = 20240229
@@ -150,6 +150,7 @@ def near_duplicates(
     Rows whose label or vector is NULL, whose vector is zero or holds NULL or a number that is not finite, have no links and are their own
     component; so do rows whose id is NULL, whose component is NULL. An empty table gives no rows.
     """
+    ship_package(vectors.sparkSession)
     rows = vectors.select(
         F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label")
     ).withColumn("usable", usable("vector", "label", "vec_id"))
@@ -252,9 +253,11 @@ def near_duplicates(
                 i, j = np.nonzero(unit[:n] @ unit[n:].T >= threshold)
                 yield from _results(ids, copies, [_near(unit, own, np.full(len(ids), turn), i, j + n, threshold)])
 
-    found = stored(found.where("kind < 2").select("kind", "a", "b", "n").union(pairs.mapInArrow(across, FOUND).select("kind", "a", "b", "n")), "links")
-    degree = found.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
-    sets = connected_components(found.where("kind = 0").select("a", "b"))
+    discard(wanted)
+    links = stored(found.where("kind < 2").select("kind", "a", "b", "n").union(pairs.mapInArrow(across, FOUND).select("kind", "a", "b", "n")), "links")
+    discard(found)
+    degree = links.where("kind = 1").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("linked"))
+    sets = connected_components(links.where("kind = 0").select("a", "b"))
     named = (
         classes.join(degree, "class_id", "left").join(sets.withColumnRenamed("node", "class_id"), "class_id", "left")
         .withColumn("component", F.coalesce("component", "class_id"))
@@ -265,6 +268,8 @@ def near_duplicates(
         (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
     )
     named = stored(named, "named-classes")
+    discard(links)
+    discard(classes)
     same = F.col("usable") & (F.col("label") == F.col("_label")) & (F.col("vector") == F.col("_vector"))
     return rows.join(named, same, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.llm.common import merge_roots, sorted_pieces, stored, unused, words
+from careflow.llm.common import discard, merge_roots, ship_package, sorted_pieces, stored, unused, words
 from careflow.llm.components import connected_components
 
 SEED = 42
@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints and ``component_id`` is its smallest id. Equal fingerprints collapse before the join. Repeated rows
     stay; an id of NULL is never a component's id unless all ids of the component are NULL. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     marked = stored(
         docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), fingerprint(F.col(text_col), width).alias("fingerprint")),
         "fingerprints",
@@ -222,6 +223,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     first = classes.groupBy("class_id").agg(F.min("first_id").alias("component_id"))
     named = stored(classes.select("value", "class_id").join(first, "class_id"), "fingerprint-components")
+    discard(values)
+    discard(classes)
     return marked.join(named.withColumnRenamed("value", "fingerprint"), "fingerprint", "left").select(
         "id", "text_hash", "fingerprint", "class_id", "component_id"
     )

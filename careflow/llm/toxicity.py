@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from careflow.llm.common import ship_package
+
 #: Lengths of the n-grams, and the buckets that their hashes fall in.
 GRAMS, BUCKETS = (3, 4, 5), 1 << 20
 #: Fitting reads at most so many labelled rows: those with the smallest hashes of their ids.
 MOST_ROWS = 8192
-#: An n-gram is a feature if it occurs in so many of these rows, and its log-count ratio stands out by so many
+#: Unless ``fit`` is told otherwise: an n-gram is a feature if it occurs in so many of these rows, and its log-count ratio stands out by so many
 #: standard errors; at most so many features, those that stand out most.
 LEAST_ROWS, STANDS_OUT, MOST_FEATURES = 5, 4.0, 1 << 16
 #: Rows of average make-up added to the counts of an n-gram before taking their ratio.
@@ -67,15 +69,18 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_ROWS,
+    least_rows: int = LEAST_ROWS, stands_out: float = STANDS_OUT, most_features: int = MOST_FEATURES,
 ) -> Model:
     """Learn from the whole texts of ``docs`` that ``labels`` (id, label 0 or 1) names, at most ``most`` rows of them.
 
     An n-gram's log-count ratio compares the shares of toxic and of other rows that hold it. Those that stand out become
-    features with the ratio as value, and a logistic regression with an L2 penalty weighs them. Counting is done in Spark; what
-    the driver fits is bounded by ``most`` rows and ``MOST_FEATURES``. Rows whose label is NULL are not used; without both labels
+    features with the ratio as value, and a logistic regression with an L2 penalty weighs them: n-grams of at least ``least_rows`` rows whose
+    ratio is ``stands_out`` standard errors or more, at most ``most_features``. Counting is done in Spark; what
+    the driver fits is bounded by ``most`` rows and ``most_features``. Rows whose label is NULL are not used; without both labels
     the model has no feature and its intercept is the share of toxic rows. A row labelled twice is toxic if once.
     """
+    ship_package(docs.sparkSession)
     rows = labelled(docs, labels, id_col, text_col, label_col, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +106,9 @@ def fit(
     a, b = F.col("toxic") + F.lit(SMOOTHING * prior), F.col("other") + F.lit(SMOOTHING * (1 - prior))
     ratio = F.log(a / F.lit(float(toxic))) - F.log(b / F.lit(float(other)))
     kept = (
-        sums.where("bucket >= 0").where(F.col("toxic") + F.col("other") >= LEAST_ROWS)
+        sums.where("bucket >= 0").where(F.col("toxic") + F.col("other") >= least_rows)
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / a + 1 / b)).alias("stands_out"))
-        .where(F.col("stands_out") >= STANDS_OUT).orderBy(F.desc("stands_out"), "bucket").limit(MOST_FEATURES)
+        .where(F.col("stands_out") >= stands_out).orderBy(F.desc("stands_out"), "bucket").limit(most_features)
     ).toPandas()
     if kept.empty:
         return nothing

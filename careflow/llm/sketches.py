@@ -117,10 +117,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, sketch_col: str = "sk
         "text", "sketch", k, width,
     )
     first = stored(first.select("last_of", F.col("text").alias("first_text"), F.col("sketch").alias("first_sketch")), "first-of-ranges")
-    sketched = with_sketch(placed.repartition("range"), "text", "sketch", k, width)
+    sketched = with_sketch(placed.repartitionById(len(borders) + 2, F.col("range") + 1), "text", "sketch", k, width)
     order = Window.partitionBy("range").orderBy(F.desc_nulls_last("id"), F.desc("tie"))
     beside = sketched.select("*", F.lead("text").over(order).alias("next_text"), F.lead("sketch").over(order).alias("next_sketch"))
-    joined = beside.join(F.broadcast(first), F.col("range") == F.col("last_of"), "left")
+    joined = beside.join(first, F.col("range") == F.col("last_of"), "left")
     return joined.select(
         F.col("id").alias(id_col), F.col("text").alias(text_col), F.col("sketch").alias(sketch_col),
         F.coalesce("next_text", "first_text").alias("next_text"), F.coalesce("next_sketch", "first_sketch").alias("next_sketch"),

@@ -35,6 +35,24 @@ def test_kpi_snapshots_group_without_shuffling_rows(plan_of):
     assert "Expand" not in plan
 
 
+def line_scans(plan: str) -> int:
+    return len(re.findall(r"FileScan parquet \[l_", plan))
+
+
+def test_state_kpis_shuffle_no_sums_by_practitioner(plan_of):
+    """One row a patient travels to the states; of practitioners only the names do, and not even these where no KPI needs them."""
+    plan = plan_of("g7_encounter_kpis_by_state")
+    assert line_scans(plan) == 2 and re.search(r"HashAggregate\(keys=\[geolocated_state#\d+, practioner_id#\d+\], functions=\[\]", plan)
+    assert not re.search(r"HashAggregate\(keys=\[geolocated_state#\d+, practioner_id#\d+\], functions=\[\w", plan)
+    plan = plan_of("g1_state_kpi_by_id")
+    assert line_scans(plan) == 1 and "practioner_id" not in plan
+
+
+def test_parts_cut_lines_before_they_travel_to_the_orders(plan_of):
+    plan = plan_of("a12_severity_distribution")
+    assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [l_partkey")
+
+
 def test_latest_row_is_cut_before_the_shuffle(spark):
     from careflow.sources.store import latest_by_key
 

@@ -526,3 +526,23 @@ def test_snapshots_of_conditions_patients_and_allergies(spark, table):
         assert sorted(rows(snapshots.patient_snapshots(spark.table(f"{table}_p"), AS_OF, status))) == sorted(rows(pa.patient_kpis(whole["p"], AS_OF, status)))
     want = sorted(rows(al.allergy_kpis(whole["a"], whole["p"], whole["e"], AS_OF)))
     assert sorted(rows(snapshots.allergy_snapshots(spark.table(f"{table}_a"), AS_OF))) == want and len(want) == 4
+
+
+def test_counted_values_are_those_of_the_operators(spark):
+    from careflow.operators import encounters as en
+    from careflow.plans import proxy
+
+    e = proxy.encounters(spark, "/root/testdata/sf0.001")
+    facts = en.facts_by_key(e, "CAST({} AS STRING)".format, counted=["encounter_type", "encounter_reason"])
+    assert rows(en.counts_of_facts(facts, "encounter_type"), "encounter_type") == rows(en.encounters_by_type(e), "encounter_type")
+    assert len(rows(en.counts_of_facts(facts, "encounter_reason"))) > 10
+    assert rows(en.kpis_of_facts(facts, AS_OF), "period") == rows(en.encounter_kpis(e, AS_OF), "period")
+
+
+def test_results_are_stored_from_one_pass_over_the_encounters(spark, monkeypatch):
+    from careflow.queries import loading
+
+    seen = []
+    monkeypatch.setattr(loading.en, "started", lambda d, f=loading.en.started: seen.append(1) or f(d))
+    monkeypatch.setattr(loading.en, "_typed", lambda *_: seen.append(1))
+    assert len(rows(loading.s3_result_upsert(spark, "/root/testdata/sf0.001"))) == 4 and seen == [1]

@@ -48,6 +48,11 @@ def test_state_kpis_shuffle_no_sums_by_practitioner(plan_of):
     assert line_scans(plan) == 1 and "practioner_id" not in plan
 
 
+def test_encounter_kpis_read_encounters_once(plan_of):
+    assert line_scans(plan_of("e_kpis_by_period")) == 1
+    assert line_scans(plan_of("r9_tidy_kpis")) == 1
+
+
 def test_parts_cut_lines_before_they_travel_to_the_orders(plan_of):
     plan = plan_of("a12_severity_distribution")
     assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [l_partkey")

@@ -8,12 +8,11 @@ batch is added in one step, once, and its rows are the only ones that are read.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.functions.periods import by_period
 from careflow.operators import allergies as al
 from careflow.operators import conditions as co
 from careflow.operators import encounters as en
@@ -29,22 +28,12 @@ def _key(*columns: str) -> str:
     return f"concat_ws('|', {parts})"
 
 
-def encounter_state(encounters: DataFrame) -> DataFrame:
-    """(kind, key, first_on, sums): a row for each day, patient and practitioner of some encounters.
+def encounter_state(encounters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``encounters.facts_by_key``, whose ``key`` is the value after its length, or empty for NULL.
 
-    ``kind`` is ``day``, ``patient`` or ``practitioner``; ``key`` is the value after its length, or empty for NULL; only days have sums. Partial sums
-    are combined before the shuffle, so a patient or day with a third of all rows sends one row from each task.
+    With ``by``, a column that names the batch of each row, these are the states of several batches, made in one pass: see ``add_batches``.
     """
-    facts = ", ".join(f"'{n}', {{{n}}}" for n in en.ADDENDS)
-    day = facts.format(**en.ADDENDS)
-    none = facts.format(**dict.fromkeys(en.ADDENDS, "CAST(NULL AS BIGINT)"))
-    key = lambda c: f"'key', {_key(c)}"
-    rows = en.started(encounters).selectExpr(
-        "_started",
-        f"inline(array(named_struct('kind', 'day', {key('_started')}, {day}), named_struct('kind', 'patient', {key('uuid')}, {none}),"
-        f" named_struct('kind', 'practitioner', {key('practioner_id')}, {none})))",
-    )
-    return rows.groupBy(*KEYS).agg(F.min("_started").alias("first_on"), *[F.sum(n).alias(n) for n in en.ADDENDS])
+    return en.facts_by_key(encounters, _key, by)
 
 
 def _part(rows: DataFrame, kind: str, *keys: str) -> DataFrame:
@@ -65,15 +54,15 @@ def patient_state(patients: DataFrame) -> DataFrame:
     return cells.unionByName(incomes, allowMissingColumns=True)
 
 
-def allergy_state(allergies: DataFrame, patients: DataFrame, encounters: DataFrame) -> DataFrame:
+def allergy_state(allergies: DataFrame, patients: DataFrame, encounters: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Of new allergies, patients and encounters: a row for each make-up of an allergy (``allergy``), each patient and code (``code``), each life
-    (``life``) and each patient's day with a visit (``visit``)."""
-    counted = al.counted_allergies(allergies)
+    (``life``) and each patient's day with a visit (``visit``). With ``by``, the states of several batches as in ``encounter_state``."""
+    counted = al.counted_allergies(allergies, by)
     parts = [
-        _part(counted, "allergy", *[c for c in counted.columns if c != "n"]),
-        _part(al.code_dates(allergies), "code", "uuid", "allergy_code"),
-        _part(al.counted_lives(patients), "life", "birth_date", "death_date"),
-        _part(al.visit_days(encounters).distinct(), "visit", "uuid", "day"),
+        _part(counted, "allergy", *[c for c in counted.columns if c not in ("n", *by)]),
+        _part(al.code_dates(allergies, by), "code", "uuid", "allergy_code"),
+        _part(al.counted_lives(patients, by), "life", "birth_date", "death_date"),
+        _part(al.visit_days(encounters, by).distinct(), "visit", "uuid", "day"),
     ]
     state = parts[0]
     for part in parts[1:]:
@@ -119,12 +108,18 @@ def add_batch(spark: SparkSession, table: str, batch: str, state: DataFrame, buc
     return True
 
 
+def add_batches(spark: SparkSession, table: str, states: DataFrame, batches: Sequence[str], batch_col: str = "batch") -> None:
+    """Add the states of several batches, told apart by ``batch_col``, one after another; they are made and written once, and read from there."""
+    path = store.scratch_path(spark, "batch-states")
+    states.write.parquet(path)
+    made = spark.read.schema(states.schema).parquet(path)
+    for batch in batches:
+        add_batch(spark, table, batch, made.where(F.col(batch_col) == batch).drop(batch_col))
+
+
 def encounter_snapshots(state: DataFrame, as_of: dt.date) -> DataFrame:
     """The rows of ``encounters.encounter_kpis``, from a state alone, by one aggregate."""
-    seen = en.seen_by_period(key="key <> ''")
-    sums = en.sums_by_period("first_on", {n: f"IF(kind = 'day', {n}, NULL)" for n in en.ADDENDS})
-    rows = by_period(state.where("kind <> 'batch'"), as_of, lambda p: sums(p) | seen(p))
-    return rows.where(F.col("visits") > 0).select("period", *en.kpi_columns())
+    return en.kpis_of_facts(state.where("kind <> 'batch'"), as_of, key="key <> ''")
 
 
 def condition_snapshots(state: DataFrame, as_of: dt.date) -> DataFrame:

@@ -47,14 +47,15 @@ def a_kpis_by_period(spark, sf_dir):
 
 @query("a10_incremental_snapshots", with_views(["allergies", "patients", "encounters", "periods"], "SELECT * FROM allergy_kpis", KPIS_SQL))
 def a10_incremental_snapshots(spark, sf_dir):
-    """Allergies, patients and encounters in two batches each, the first of them twice."""
+    """Allergies, patients and encounters in two batches each, the first of them twice; the states of both are made in one pass."""
     table = f"{store.scratch_database(spark, 'snapshots')}.allergies"
     a, p, e = allergies(spark, sf_dir), patients(spark, sf_dir), encounters(spark, sf_dir)
     early = F.col("visit_start") < F.lit(dt.datetime(1998, 1, 1))
-    first = a.where("category = 'food'"), p.where("gender = 'F'"), e.where(early)
-    rest = a.where("category IS DISTINCT FROM 'food'"), p.where("gender IS DISTINCT FROM 'F'"), e.where(~early | early.isNull())
-    for name, batch in (("first", first), ("first", first), ("rest", rest)):
-        snapshots.add_batch(spark, table, name, snapshots.allergy_state(*batch))
+    named = lambda df, is_first: df.withColumn("batch", F.when(is_first, "first").otherwise("rest"))
+    path = store.scratch_path(spark, "allergies")
+    named(a, F.col("category") == "food").drop("encounter_id").write.parquet(path)  # as the state reads them twice
+    states = snapshots.allergy_state(spark.read.parquet(path), named(p, F.col("gender") == "F"), named(e, early), by=["batch"])
+    snapshots.add_batches(spark, table, states, ["first", "first", "rest"])
     return snapshots.allergy_snapshots(spark.table(table), AS_OF)
 
 

@@ -528,6 +528,24 @@ def test_snapshots_of_conditions_patients_and_allergies(spark, table):
     assert sorted(rows(snapshots.allergy_snapshots(spark.table(f"{table}_a"), AS_OF))) == want and len(want) == 4
 
 
+def test_allergy_states_of_batches_made_in_one_pass(spark):
+    from careflow.plans import snapshots
+
+    d = date
+    a = spark.createDataFrame([
+        ("x", "a", 1, d("2020-06-01"), None, "Penicillin", "food", "drug", "MILD", "N/A", "Rash"), ("y", "a", 1, d("2019-06-01"), None, "Nut", None, None, None, None, None),
+        ("y", None, 1, None, d("2020-01-01"), "Nut", None, None, None, None, None),
+    ], "batch string, uuid string, allergy_code bigint, allergy_detection_date date, allergy_cure_date date, allergy_description string, category string, "
+       "allergen_nature string, primary_symptom_severity string, secondary_symptom_severity string, primary_symptom_description string")
+    p = spark.createDataFrame([("x", d("1990-01-01"), None), ("y", d("1990-01-01"), None), ("y", None, None)], "batch string, birth_date date, death_date date")
+    e = spark.createDataFrame([("x", "a", dt.datetime(2020, 1, 1)), ("y", "a", dt.datetime(2020, 1, 1)), ("y", None, None)], "batch string, uuid string, visit_start timestamp")
+    states = snapshots.allergy_state(a, p, e, by=["batch"])
+    for name in ("x", "y"):
+        own = snapshots.allergy_state(*[df.where(f"batch = '{name}'") for df in (a, p, e)])
+        mine = states.where(f"batch = '{name}'").select(own.columns)
+        assert rows(mine, *own.columns) == rows(own, *own.columns) and mine.count() > 2
+
+
 def test_counted_values_are_those_of_the_operators(spark):
     from careflow.operators import encounters as en
     from careflow.plans import proxy

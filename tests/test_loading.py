@@ -528,6 +528,32 @@ def test_snapshots_of_conditions_patients_and_allergies(spark, table):
     assert sorted(rows(snapshots.allergy_snapshots(spark.table(f"{table}_a"), AS_OF))) == want and len(want) == 4
 
 
+def test_states_of_batches_made_in_one_pass(spark, table, monkeypatch):
+    """The same rows as states made batch by batch; a batch named twice is added once, and the encounters are planned once."""
+    from careflow.operators import encounters as en
+    from careflow.plans import snapshots
+
+    schema = (
+        "batch string, visit_start timestamp, visit_end timestamp, uuid string, practioner_id string, encounter_type string, "
+        "visiting_base_fees double, visting_total_fees double, coverage double"
+    )
+    day = dt.datetime(2020, 6, 1)
+    df = spark.createDataFrame([
+        ("x", day, day, "a", "p", "t", 1.0, 2.0, None), ("y", day, None, "a", None, None, 3.0, None, 1.0), ("x", None, day, None, "q", "t", None, 5.0, 1.0), ("y", day, day, "", "p", "u", 1.0, 1.0, 1.0),
+    ], schema)
+    calls = []
+    monkeypatch.setattr(en, "started", lambda d, f=en.started: calls.append(1) or f(d))
+    states = snapshots.encounter_state(df, by=["batch"])
+    order = ["kind", "key", "first_on"]
+    for name in ("x", "y"):
+        own = snapshots.encounter_state(df.where(f"batch = '{name}'"))
+        assert rows(states.where(f"batch = '{name}'").drop("batch"), *order) == rows(own, *order)
+    del calls[:]
+    snapshots.add_batches(spark, table, snapshots.encounter_state(df, by=["batch"]), ["x", "y", "y"])
+    assert len(calls) == 1
+    assert sorted(rows(snapshots.encounter_snapshots(spark.table(table), AS_OF))) == sorted(rows(en.encounter_kpis(df, AS_OF)))
+
+
 def test_allergy_states_of_batches_made_in_one_pass(spark):
     from careflow.plans import snapshots
 

@@ -53,6 +53,11 @@ def test_encounter_kpis_read_encounters_once(plan_of):
     assert line_scans(plan_of("r9_tidy_kpis")) == 1
 
 
+def test_condition_kpis_read_conditions_once_for_all_distinct_measures(plan_of):
+    assert line_scans(plan_of("c_kpis_by_period")) == 2
+    assert line_scans(plan_of("r11_executive_summary")) == 3
+
+
 def test_parts_cut_lines_before_they_travel_to_the_orders(plan_of):
     plan = plan_of("a12_severity_distribution")
     assert plan.index("SortMergeJoin [l_orderkey") < plan.index("SortMergeJoin [l_partkey")

@@ -172,6 +172,36 @@ def test_probabilities_add_up():
     assert chance.min() > 0 and np.allclose(chance.sum(axis=1), 1)
 
 
+def test_contexts_of_the_language_model_are_words(spark):
+    """"york" and "cats" follow words that end alike, but not the same word."""
+    rows = [(i, ("new york", "few cats")[i % 2], True) for i in range(400)] + [(1000, "new york", False), (1001, "new cats", False), (1002, "few york", False)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, use boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.score(table, F.col("use")).collect()}
+    assert got[1000] > got[1001] + 1 and got[0] == got[1000] and got[1] > got[1002] + 1
+
+
+def test_next_words_add_up(spark, monkeypatch):
+    """Scores of texts of up to two words are walks from end to end; scaled by the scores of one word they give a matrix similar to that of
+    the probabilities of a next word, whose greatest eigenvalue is 1 if those of each context, unknown words included, add up to 1."""
+    monkeypatch.setattr(language_model, "BLOCK", 1500)  # several blocks
+    rng = random.Random(3)
+    vocabulary = [w + e for w in "abcd" for e in ("", "x", "yz")]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(12, 0, -1), k=rng.randint(0, 40))), True) for i in range(200)]
+    unknown: dict[int, str] = {}
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_"
+    for a in letters:
+        for b in letters:
+            unknown.setdefault(int(language_model._word_ids([f"not-{a}{b}".encode()])[0]) & 0xFF, f"not-{a}{b}")
+    assert len(unknown) == language_model.CLASSES
+    words = vocabulary + list(unknown.values())
+    asked = ["", *words, *(f"{a} {b}" for a in words for b in words)]
+    table = spark.createDataFrame(rows + [(10_000 + i, t, False) for i, t in enumerate(asked)], "doc_id long, text string, use boolean")
+    got = {r["doc_id"]: r["score"] for r in language_model.score(table, F.col("use")).where("not train").collect()}
+    score = {t: 10 ** got[10_000 + i] for i, t in enumerate(asked)}
+    walk = np.array([[score[""], *[1.0] * len(words)], *([score[a], *(score[f"{a} {b}"] / score[b] for b in words)] for a in words)])
+    assert abs(max(np.linalg.eigvals(walk).real) - 1) < 1e-6
+
+
 def test_language_model_without_training_rows(spark):
     table = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in language_model.score(table, F.lit(False)).collect()}
